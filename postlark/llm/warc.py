@@ -120,13 +120,15 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 def planned(pages: DataFrame) -> DataFrame:
     """Each page with its payload, digest and, for revisits, the page that it refers to.
 
-    Only digests that occur twice or more go through the join, so pages of their own aren't moved by digest.
+    Payloads stay where they are read: digests that occur twice or more meet the narrow columns alone,
+    and the few pages that become revisits are then joined by page_id.
     """
     plain = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = plain.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html"))
-    groups = keyed.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = keyed.join(groups, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when((F.col("bytes") >= REVISIT_BYTES) & (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to"))
+    keyed = plain.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    large = keyed.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "digest")
+    groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = large.join(groups, "digest").where("page_id <> refers_to").distinct()
+    return keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write_bundles(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -157,8 +159,8 @@ def write_bundles(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTE
         if rows:
             yield close()
 
-    ordered = planned(pages).withColumn("refers_to", F.col("refers_to").cast("string")).repartition("page_id").sortWithinPartitions("page_id", "url", "digest")
-    return written(ordered.mapInPandas(run, INDEX), "index")
+    records = planned(pages).withColumn("refers_to", F.col("refers_to").cast("string"))
+    return written(records.mapInPandas(run, INDEX), "index")
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
