@@ -242,11 +242,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = judged_sample.where(~base_failed()).select("doc_id", "quality", *LEARNED)
     try:
         marks = [k / BINS for k in range(BINS)]
-        # shares are mostly 0, so quantiles of all rows and of the bad rows both serve as edges
-        cuts = known.groupBy((F.col("quality") == 0).alias("bad")).agg(*[F.percentile_approx(f, marks, 2000).alias(f) for f in LEARNED]).collect()
+        # shares are mostly 0: quantiles of what isn't, among good and among bad rows, and the places midway between them serve as edges
+        cuts = known.groupBy((F.col("quality") == 0).alias("bad")).agg(*[F.percentile_approx(F.nullif(F.col(f), F.lit(0.0)), marks, 2000).alias(f) for f in LEARNED]).collect()
         if len(cuts) < 2:
             return []
-        seen = [sorted({float(v) for row in cuts for v in row[f]}) for f in LEARNED]
+        seen = [sorted({0.0, *(float(v) for row in cuts for v in row[f] or ())}) for f in LEARNED]
         edges = [sorted({*own, *((a + b) / 2 for a, b in zip(own, own[1:], strict=False))}) for own in seen]
         binned = [sum((F.col(f) > e).cast("int") for e in own) for f, own in zip(LEARNED, edges, strict=True)]
         third = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(3)) == 0
