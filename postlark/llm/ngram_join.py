@@ -28,9 +28,9 @@ from .rolling import Ranges, mix
 
 WORDS, SIMILARITY = 5, 80  # per cent
 #: An n-gram that more documents meet in than this is frequent; at most so many, the most frequent, go last in the order.
-FREQUENT, MOST_FREQUENT = 24, 1 << 19
-#: Rounds in which groups are compared with a pivot.
-PIVOT_ROUNDS = 2
+FREQUENT, MOST_FREQUENT = 8, 1 << 18
+#: Rounds in which n-grams are found frequent; rounds in which groups are compared with a pivot.
+DEMOTIONS, PIVOT_ROUNDS = 3, 3
 #: Up to so many ids, a list of documents is sent to all tasks; a longer one is joined by shuffling.
 LISTED = 1_000_000
 _CHUNK = 1 << 20
@@ -155,7 +155,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _signatures(docs: DataFrame, frequent=None, whole: bool = False, reach: float = 1.0) -> DataFrame:
+def _signatures(docs: DataFrame, frequent=None, whole: bool = False) -> DataFrame:
     """(doc_id, n, a, b, keys): set size, two hashes of the set, and its prefix (or the whole set) in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def _signatures(docs: DataFrame, frequent=None, whole: bool = False, reach: floa
                     a.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0x1234567)), initial=np.uint64(0)).view(np.int64)))
                     o = in_order(s, last)
-                    keys.append(o if whole else o[: int(prefix_length(len(s)) * reach)])
+                    keys.append(o if whole else o[: prefix_length(len(s))])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _lists(keys)], ["doc_id", "n", "a", "b", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>")
@@ -210,7 +210,7 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame) -> DataFra
     """The pairs that are links: left by the prefixes' walk, then by that of the whole sets."""
     left = written(_alive(pairs, prefixes), "alive")
     ids = written(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = _signatures(restricted(docs, ids), whole=True).dropDuplicates(["doc_id"]).select("doc_id", "n", "keys")
+    sets = _signatures(restricted(docs, ids), whole=True).groupBy("doc_id").agg(F.min_by(F.struct("n", "keys"), F.struct("n", "a", "b")).alias("s")).select("doc_id", "s.n", "s.keys")
     return written(_alive(left, written(sets, "sets")), "links")
 
 
@@ -219,19 +219,14 @@ def linked(docs: DataFrame) -> DataFrame:
 
     Words are lower-cased in A-Z and split at ASCII white space; a set is the distinct five-word shingles,
     or the whole sequence of a shorter text. Documents without words have an empty set and are linked with
-    nothing: component_id is their own doc_id. Rows that share a doc_id are one document with several
-    texts. Rows without a doc_id have a null component. An empty table gives an empty result.
+    nothing: component_id is their own doc_id. Of rows that share a
+    doc_id but not the text, one takes part in the join; each has its own n_shingles. Rows without a doc_id have a null component. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    first = written(_signatures(docs, reach=1.5), "signatures")
+    first = written(_signatures(docs), "signatures")
     known = first.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "a", "b", "n")
-    met = known.join(reps.select("doc_id", "a", "b"), ["doc_id", "a", "b"], "left_semi").select(F.explode("keys").alias("k")).groupBy("k").count().where(F.col("count") > FREQUENT)
-    frequent = met.orderBy(F.desc("count"), "k").limit(MOST_FREQUENT).select("k").collect()
-    last = spark.sparkContext.broadcast(np.sort(np.array([r.k for r in frequent], np.int64).view(np.uint64)))
-    own = _signatures(docs.where("doc_id is not null"), frequent=last).where("n > 0").join(reps.select("doc_id", "a", "b"), ["doc_id", "a", "b"], "left_semi").dropDuplicates(["doc_id", "a", "b"])
-    prefixes = written(own.select("doc_id", "n", "keys"), "prefixes")
+    prefixes = _demoted(docs, written(known.join(reps, ["doc_id", "a", "b", "n"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("n", "keys"), F.struct("n", "a", "b")).alias("s")).select("doc_id", "s.n", "s.keys"), "prefixes"))
 
     by_key = Window.partitionBy("k")
     postings = prefixes.select("doc_id", "n", F.explode("keys").alias("k"))
@@ -257,6 +252,29 @@ def linked(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
 
+def _demoted(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The prefixes (doc_id, n, keys) under an order that puts frequent n-grams last.
+
+    An n-gram that too many prefixes hold becomes frequent; documents that held it get a new prefix, which
+    may bring in others. What the order is doesn't touch the result, only how many documents meet.
+    """
+    spark = docs.sparkSession
+    last, news = np.zeros(0, np.uint64), prefixes
+    for _ in range(DEMOTIONS):
+        held = news.select("doc_id", F.explode("keys").alias("k")).where("k >= 0")  # the highest bit marks those that are last already
+        met = held.groupBy("k").count().where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "k").limit(MOST_FREQUENT - len(last)).select("k")
+        found = np.array([r.k for r in met.collect()], np.int64).view(np.uint64)
+        if not len(found):
+            break
+        last = np.sort(np.concatenate([last, found]))
+        keys = spark.createDataFrame([(int(k),) for k in found.view(np.int64)], "k long")  # MOST_FREQUENT bounds it
+        touched = written(prefixes.select("doc_id", F.explode("keys").alias("k")).join(F.broadcast(keys), "k", "left_semi").select("doc_id").distinct(), "touched")
+        again = _signatures(restricted(docs, touched), frequent=spark.sparkContext.broadcast(last))
+        news = written(again.groupBy("doc_id").agg(F.min_by(F.struct("n", "keys"), F.struct("n", "a", "b")).alias("s")).select("doc_id", "s.n", "s.keys"), "again")
+        prefixes = written(prefixes.join(touched, "doc_id", "left_anti").unionByName(news), "prefixes")
+    return prefixes
+
+
 def _placed(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return postings.withColumn("label", F.col("doc_id"))
