@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, ngram_join, pii, rules, token_files, warc
+from . import bpe, chat, mixing, ngram_join, pii, repeats, rules, spotsigs, token_files, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -45,9 +49,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_hostile(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_rules, op3_warc, op5_pii, op6_token_files, op7_bpe, op8_mixing, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_rules, op3_warc, op4_spotsigs, op5_pii, op6_token_files, op7_bpe, op8_mixing, op9_repeats, op10_chat)}
 ORACLE_SQL: dict[str, str] = {"op3_warc": warc.WARC_SQL, "op8_mixing": mixing.MIXING_SQL}
