@@ -24,7 +24,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: At most so many labelled rows are learned from, those whose hashed doc_id is least.
 SAMPLE_ROWS = 20_000
 #: Bins of a feature; rules of a list; conditions of a rule; rows that a rule covers at least.
-BINS, MAX_RULES, MAX_CONDITIONS, LEAST_COVER = 16, 12, 3, 8
+BINS, MAX_RULES, MAX_CONDITIONS, LEAST_COVER = 16, 12, 3, 4
 #: A rule is kept if so large a part of what it covers is bad, both where it grew and where it was pruned.
 PRECISION = 0.97
 LEARNED = ("symbol_share", "repeat_share", "upper_share", "mark_share", "bar_share", "word_length", "dup_line_share", "digit_share", "distinct_share")
