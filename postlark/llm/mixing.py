@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Without given weights, a source weighs as its characters to this power: small sources are repeated, large ones thinned.
 TEMPERATURE = 0.7
 SEED = "mix-1"
 #: Longest tail of the distribution that is tabled, beyond the rate itself in standard deviations.
 TAIL = 12
+#: Up to so many sources, their rates are sent to all tasks; more are joined by shuffling, and Spark splits skewed ones.
+FEW_SOURCES = 20_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -57,7 +61,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, repetition:
     refused when weights ask for them.
     """
     rates = source_rates(docs, weights, repetition).select("source_key", F.when(F.col("rate") < 700, F.col("rate")).otherwise(F.raise_error(F.lit("a repetition rate of 700 or more"))).alias("rate"))
-    tables = rates.select("source_key", poisson_table(F.col("rate")).alias("cumulative"))
+    tables = written(rates.select("source_key", poisson_table(F.col("rate")).alias("cumulative")), "rates")
+    if tables.count() <= FEW_SOURCES:  # documents then stay where they are, however many one source has
+        tables = F.broadcast(tables)
     drawn = docs.withColumn("source_key", F.coalesce("source", F.lit("null"))).join(tables, "source_key").withColumn("u", uniform(seed, F.col("doc_id")))
     count = F.size(F.filter("cumulative", lambda c: c <= F.col("u")))
     copies = drawn.withColumn("copies", count).where("copies > 0").drop("cumulative", "u", "source_key").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
