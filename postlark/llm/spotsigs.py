@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .rules import bound
 
 #: Common words of English, German, French and Spanish.
@@ -26,6 +27,8 @@ ANCHORS = tuple(
 CHAIN, AHEAD = 2, 8
 #: Consecutive documents that are put side by side: those whose doc_id agrees but for so many low bits.
 SIDE_BITS, LEVEL_BITS = 8, 12
+#: Up to so many groups, where the first of each goes is sent to all tasks; more are joined by shuffling.
+FEW_GROUPS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -92,11 +95,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     their texts; a null doc_id comes before all others.
     """
     keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_group", F.shiftright("_id", SIDE_BITS))
-    groups = keyed.groupBy("_group").agg(F.min("_id").alias("_first"))
+    groups = written(docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).groupBy(F.shiftright("_id", SIDE_BITS).alias("_group")).agg(F.min("_id").alias("_first")), "groups")
     before = _neighbours(groups.select(F.col("_group").alias("key")))
     last = groups.agg(F.max("_group").alias("_last"))  # one row
-    host = before.crossJoin(F.broadcast(last)).select(F.col("key").alias("_group"), F.coalesce("before", "_last").alias("_host")).join(groups, "_group")
-    placed = keyed.join(host, "_group").withColumn("_place", F.explode(F.when(F.col("_id") == F.col("_first"), F.array(F.struct(F.lit(0).alias("guest"), F.col("_group").alias("group")), F.struct(F.lit(1).alias("guest"), F.col("_host").alias("group")))).otherwise(F.array(F.struct(F.lit(0).alias("guest"), F.col("_group").alias("group"))))))
+    host = written(before.crossJoin(F.broadcast(last)).select(F.col("key").alias("_group"), F.coalesce("before", "_last").alias("_host")).join(groups, "_group"), "hosts")
+    placed = keyed.join(F.broadcast(host) if host.count() <= FEW_GROUPS else host, "_group").withColumn("_place", F.explode(F.when(F.col("_id") == F.col("_first"), F.array(F.struct(F.lit(0).alias("guest"), F.col("_group").alias("group")), F.struct(F.lit(1).alias("guest"), F.col("_host").alias("group")))).otherwise(F.array(F.struct(F.lit(0).alias("guest"), F.col("_group").alias("group"))))))
     order = Window.partitionBy("_place.group").orderBy("_place.guest", "_id", "text")
     led = placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return led.where("_place.guest = 0").drop("_id", "_group", "_first", "_host", "_place")
