@@ -47,26 +47,31 @@ class Grammar:
 
     def compress(self, stream: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """The shorter stream and its marks of ends."""
-        seq, ends = stream.astype(np.uint64), ends.astype(bool)
+        seq, ends = stream.astype(np.uint32), ends.astype(bool)
         for _ in range(rounds):
             if len(seq) < 2:
                 break
-            code = (seq[:-1] << np.uint64(32)) | seq[1:]
             inside = ~(ends[:-1] | ends[1:])
-            pairs, counts = np.unique(code[inside], return_counts=True)
+            # two symbols of 16 bits each are sorted as one number of 32
+            kind, bits = (np.uint32, 16) if self.first + len(self.rules) <= 1 << 16 else (np.uint64, 32)
+            narrow = seq.astype(kind)
+            code = (narrow[:-1] << kind(bits)) | narrow[1:]
+            ordered = np.sort(code[inside])
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+            pairs, counts = ordered[starts], np.diff(np.append(starts, len(ordered)))
             often = np.flatnonzero(counts >= least)
             if not len(often):
                 break
             often = often[np.argsort(-counts[often], kind="stable")[:rules]]
             chosen = np.sort(pairs[often])
-            names = np.uint64(self.first + len(self.rules)) + np.arange(len(chosen), dtype=np.uint64)
-            sides = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1)
+            names = np.uint32(self.first + len(self.rules)) + np.arange(len(chosen), dtype=np.uint32)
+            sides = np.stack([chosen >> kind(bits), chosen & kind((1 << bits) - 1)], 1).astype(np.uint64)
             known = np.concatenate([np.ones(self.first, np.uint64), self.lengths])
             self.lengths = np.concatenate([self.lengths, known[sides.astype(np.int64)].sum(1)])
             self.rules = np.concatenate([self.rules, sides.astype(np.uint32)])
             left = np.zeros(int(seq.max()) + 1, bool)
             left[sides[:, 0].astype(np.int64)] = True
-            at = np.flatnonzero(inside & left[seq[:-1].astype(np.int64)])
+            at = np.flatnonzero(inside & left[seq[:-1]])
             where = np.searchsorted(chosen, code[at])
             where[where == len(chosen)] = 0
             hit = chosen[where] == code[at]
