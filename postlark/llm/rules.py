@@ -236,9 +236,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rule rejects anyway, and labels without a document or a quality, teach nothing. Without labels, or
     with labels of one kind only, the list is empty and the base rule decides alone.
     """
+    # sample_rows bounds the sample's size, so documents are filtered where they are read
     order = F.xxhash64(F.lit("rules"), F.col("doc_id"))
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(sample_rows)
-    judged_sample = features(docs.join(sample, "doc_id").select("doc_id", "text", "quality"), keep=["quality"]).persist()
+    judged_sample = features(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality"), keep=["quality"]).persist()
     known = judged_sample.where(~base_failed()).select("doc_id", "quality", *LEARNED)
     try:
         marks = [k / BINS for k in range(BINS)]
