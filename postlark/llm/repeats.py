@@ -1,13 +1,16 @@
-"""Removal of byte strings that an earlier document holds.
-
-Every string of SPAN bytes is assigned the least hash among the K-byte strings in it: equal strings have
-the same. A maximal run of neighbouring windows with the same least hash is an occurrence of that anchor;
-its context is all bytes of its windows. One shuffle by anchor tells which anchors occur in several
-documents, and which contexts: an occurrence whose whole context is in an earlier document goes as a
-whole, one whose anchor is nowhere earlier stays, and only the windows of the others are compared one
-by one, by their hashes. Documents with equal texts are settled beforehand.
-
-Why not suffixes sorted by a difference cover: see the README.
+"""Removal of byte strings that an earlier document holds, by a difference cover.
+
+Positions of a text whose remainder modulo PERIOD lies in COVER are sampled. COVER is a perfect difference
+set: whatever two positions i and j are, some k below PERIOD makes i + k and j + k both sampled. Two equal
+strings of SPAN bytes hence have a sampled position each, k bytes in, that starts the same TUPLE bytes.
+
+The sampled tuples of all documents are sorted and named, and those that only one document has are left
+out. The others are named again at nearly twice the length, once for the strings that begin shortly before
+the position and once for those that begin further ahead; as only SPAN bytes are ever compared, the
+recursion ends there. A name at a position stands for a run of strings, the unsampled positions before it
+included. Within each name, sorted neighbours are compared: an occurrence whose whole context (all bytes of
+its strings) is in an earlier document goes as a whole, and the strings of the others are merged and
+compared one by one, by their hashes. Documents with equal texts are settled beforehand.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,63 +29,144 @@ from .common import written
 from .ngram_join import restricted
 from .rolling import Ranges, mix
 
-#: Bytes of a string that counts as repeated, and of the strings whose hashes are compared to choose an anchor.
-SPAN, K = 50, 18
-
-
-def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
-    """The least of each ``size`` neighbouring values, by doubling."""
-    n = len(values) - size + 1
-    if n <= 0:
-        return values[:0]
-    have, out = 1, values
-    while 2 * have <= size:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    rest = size - have
-    return np.minimum(out[:n], out[rest : rest + n]) if rest else out[:n]
+#: Bytes of a string that counts as repeated.
+SPAN = 50
+#: A perfect difference set: each remainder but 0 is the difference of exactly one pair.
+PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Bytes that are left of a string at its sampled position, however far in that is.
+TUPLE = SPAN - PERIOD + 1
+#: Strings that begin fewer bytes before the position than this are named apart from those that begin further ahead.
+NEAR = 16
+#: Sampled tuples that are sorted together, and that a task packs at once.
+SORTED, PACKED = 1 << 20, 1 << 20
 
 
-class Anchored:
-    """The windows of one text and the runs of them that share an anchor."""
+class Sampled:
+    """The sampled positions of one text, their tuples, and the runs of strings that they stand for."""
 
     def __init__(self, data: bytes):
-        self.ranges = Ranges(np.frombuffer(data, np.uint8))
-        least = sliding_least(self.ranges.windows(K), SPAN - K + 1)
-        self.first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, np.int64)
-        self.after = np.concatenate([self.first[1:], [len(least)]]) if len(least) else self.first
-        self.anchor = least[self.first]
-        self.context = mix(self.ranges.hashes(self.first, self.after + (SPAN - 1)) + (self.after - self.first).astype(np.uint64)) if len(least) else least
-
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows in some runs."""
-        starts = np.concatenate([np.arange(self.first[r], self.after[r]) for r in runs]) if len(runs) else np.zeros(0, np.int64)
-        return starts, self.ranges.hashes(starts, starts + SPAN)
+        self.n, self.ranges = len(data), Ranges(np.frombuffer(data, np.uint8))
+        at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
+        self.at = at[at + TUPLE <= self.n] if self.n >= SPAN else at[:0]
+
+    def tuples(self) -> np.ndarray:
+        return self.ranges.hashes(self.at, self.at + TUPLE)
+
+    def runs(self, at: np.ndarray) -> None:
+        """Sets first, after (starts of strings, end exclusive), anchor and context of the runs at some positions."""
+        last = self.n - SPAN
+        far = (np.maximum(at - (PERIOD - 1), 0), np.minimum(at - NEAR, last), np.maximum(at - NEAR, 0), at + TUPLE)
+        near = (np.maximum(at - (NEAR - 1), 0), np.minimum(at, last), at, np.minimum(at + SPAN - NEAR + 1, self.n))
+        parts = []
+        for kind, (first, end, begin, stop) in enumerate((far, near)):
+            some = first <= end
+            first, end, begin, stop, p = first[some], end[some], begin[some], stop[some], at[some]
+            anchor = mix(self.ranges.hashes(begin, stop) + np.uint64(kind))
+            shape = ((p - first) * SPAN + (end - first)).astype(np.uint64)
+            parts.append((first, end + 1, anchor, mix(self.ranges.hashes(first, end + SPAN) ^ mix(anchor + shape))))
+        self.first, self.after, self.anchor, self.context = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def starts(self, contexts) -> np.ndarray:
+        """Starts of all strings in the runs whose context is listed."""
+        self.runs(self.at)
+        chosen = np.isin(self.context.view(np.int64), np.asarray(contexts, np.int64))
+        edge = np.zeros(self.n + 2, np.int64)
+        np.add.at(edge, self.first[chosen], 1)
+        np.add.at(edge, self.after[chosen], -1)
+        return np.flatnonzero(np.cumsum(edge) > 0)
+
+    def windows(self, starts: np.ndarray) -> np.ndarray:
+        return self.ranges.hashes(starts, starts + SPAN)
 
 
 def _bytes(text) -> bytes:
     return text.encode("utf-8") if text else b""
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id), one row for each in a document."""
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers, compressed byte by byte of their places."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, name): tuples of a document that another document has too. Names are the first 32 + bits bits of a hash.
+
+    A task sorts the tuples of some documents and packs them by the first bits. A tuple that several of these
+    documents have needs no further proof: it is passed on for each of them and sorted with the others once
+    only, so a tuple that very many documents have doesn't pile up where it is sorted.
+    """
+    shift, low = np.uint64(32 - bits), np.uint64(0xFFFFFFFF)
+
+    def rows(names: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((ids, names))
+        names, ids = names[order], ids[order]
+        new = np.concatenate([[True], (names[1:] != names[:-1]) | (ids[1:] != ids[:-1])])
+        names, ids = names[new], ids[new]
+        head = np.concatenate([[True], names[1:] != names[:-1]])
+        alone = head & np.concatenate([head[1:], [True]])
+        out = []
+        if not alone.all():
+            out.append((-1 - int(mix(ids[:1].view(np.uint64))[0] % np.uint64(1 << bits)), _packed(names[~alone]), _packed(ids[~alone])))
+        names, ids = names[head], ids[head]
+        parts = names >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = (names[a:b] & low).astype(np.uint32)
+            out.append((int(parts[a]), _packed(np.diff(own, prepend=np.uint32(0))), _packed(ids[a:b])))
+        part, packed, held = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary()), pa.array(held, pa.binary())], ["part", "names", "ids"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, n = [], [], 0
         for batch in batches:
-            ids, held, at, rows = batch.column(0).to_numpy(), [], [], 0
-            for k in range(batch.num_rows):
-                a = Anchored(_bytes(batch.column(1)[k].as_py()))
-                own = np.unique(np.stack([a.anchor, a.context]), axis=1) if len(a.anchor) else np.zeros((2, 0), np.uint64)
-                held.append(own)
-                at.append(own.shape[1])
-                rows += own.shape[1]
-                if rows >= 200_000 or k == batch.num_rows - 1:
-                    both = np.concatenate(held, axis=1).view(np.int64)
-                    last = k + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.repeat(ids[last - len(at) : last], at))], ["anchor", "context", "doc_id"])
-                    held, at, rows = [], [], 0
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "anchor long, context long, doc_id long")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = Sampled(_bytes(text.as_py())).tuples() >> shift
+                names.append(own)
+                ids.append(np.full(len(own), doc_id, np.int64))
+                n += len(own)
+                if n >= PACKED:
+                    yield rows(np.concatenate(names), np.concatenate(ids))
+                    names, ids, n = [], [], 0
+        if n:
+            yield rows(np.concatenate(names), np.concatenate(ids))
+
+    def sort(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        ids = np.concatenate([_unpacked(x, np.int64) for x in frame["ids"]])
+        if part < 0:
+            names = np.concatenate([_unpacked(x, np.uint64) for x in frame["names"]])
+        else:
+            names = np.concatenate([np.cumsum(_unpacked(x, np.uint32), dtype=np.uint64) for x in frame["names"]]) + (np.uint64(part) << np.uint64(32))
+            order = np.argsort(names, kind="stable")
+            names, ids = names[order], ids[order]
+            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+            keep = np.repeat(several, np.diff(np.append(first, len(names))))
+            names, ids = names[keep], ids[keep]
+        return pd.DataFrame({"doc_id": ids, "name": names.view(np.int64)})
+
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "part long, names binary, ids binary")
+    return packed.groupBy("part").applyInPandas(sort, "doc_id long, name long")
+
+
+def _occurrences(texts: DataFrame, bits: int) -> DataFrame:
+    """(anchor, context, doc_id) of the runs at the tuples that are listed in ``names``, one row for each in a document."""
+    shift = np.uint64(32 - bits)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, text, names in frame.itertuples(index=False):
+                s = Sampled(_bytes(text))
+                s.runs(s.at[np.isin((s.tuples() >> shift).view(np.int64), np.asarray(names, np.int64))])
+                _, one = np.unique(s.context, return_index=True)
+                yield pd.DataFrame({"anchor": s.anchor[one].view(np.int64), "context": s.context[one].view(np.int64), "doc_id": doc_id})
+
+    return texts.select("doc_id", "text", "names").mapInPandas(run, "anchor long, context long, doc_id long")
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -112,15 +197,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copies = written(placed.where((F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= SPAN)).select("doc_id").distinct(), "copies")
     own = restricted(plain, copies, "left_anti")
 
+    # as many parts as keep what is sorted together bounded
+    tuples = (digests.agg(F.sum("n_bytes")).first()[0] or 0) * len(COVER) // PERIOD
+    bits = min(32, max(6, (tuples // SORTED).bit_length()))
+    names = written(_shared_tuples(own, bits), "names")
+    named = restricted(own, written(names.select("doc_id").distinct(), "ids")).join(names.groupBy("doc_id").agg(F.collect_set("name").alias("names")), "doc_id")
+
     by_anchor, by_context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
-    met = _occurrences(own).withColumn("low", F.min("doc_id").over(by_anchor)).withColumn("high", F.max("doc_id").over(by_anchor)).where("low <> high")
+    met = _occurrences(named, bits).withColumn("low", F.min("doc_id").over(by_anchor)).withColumn("high", F.max("doc_id").over(by_anchor)).where("low <> high")
     several = F.min("context").over(by_anchor) != F.max("context").over(by_anchor)
     shared = met.withColumn("several", several).withColumn("earliest", F.min("doc_id").over(by_context))
     # whole: an earlier document has the context; compared: the first to have a context, of several with this anchor
     shared = written(shared.select("anchor", "context", "doc_id", (F.col("earliest") < F.col("doc_id")).alias("whole"), "several").where("whole or several"), "shared")
 
     def of_docs(rows: DataFrame, name: str) -> DataFrame:
-        return written(rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context")).alias("runs")), name)
+        return written(rows.groupBy("doc_id").agg(F.collect_list("context").alias("runs")), name)
 
     compared = of_docs(shared.where("not whole"), "compared")
     texts = restricted(own, written(compared.select("doc_id"), "ids"))
@@ -128,14 +219,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for doc_id, text, runs in frame.itertuples(index=False):
-                a = Anchored(_bytes(text))
-                _, hashes = a.windows(_chosen(a, runs))
-                yield pd.DataFrame({"window": np.unique(hashes).view(np.int64), "doc_id": doc_id})
+                s = Sampled(_bytes(text))
+                yield pd.DataFrame({"window": np.unique(s.windows(s.starts(runs))).view(np.int64), "doc_id": doc_id})
 
     found = texts.join(compared, "doc_id").select("doc_id", "text", "runs").mapInPandas(windows, "window long, doc_id long")
     earlier = written(found.withColumn("least", F.min("doc_id").over(Window.partitionBy("window"))).where("least < doc_id").select("window", "doc_id"), "earlier")
 
-    gone = shared.where("whole").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context")).alias("runs"))
+    gone = shared.where("whole").groupBy("doc_id").agg(F.collect_list("context").alias("runs"))
     some = earlier.groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
     decided = written(gone.join(some, "doc_id", "full"), "decided")
     changed = restricted(own, written(decided.select("doc_id"), "ids")).join(decided, "doc_id")
@@ -145,10 +235,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, runs, hashes in frame.itertuples(index=False):
                 data = _bytes(text)
-                a = Anchored(data)
-                starts = [a.windows(_chosen(a, runs))[0]] if runs is not None else []
+                s = Sampled(data)
+                starts = [s.starts(runs)] if runs is not None else []
                 if hashes is not None:
-                    all_hashes = a.ranges.windows(SPAN)
+                    all_hashes = s.ranges.windows(SPAN)
                     starts.append(np.flatnonzero(np.isin(all_hashes, np.asarray(hashes, np.int64).view(np.uint64))))
                 n, spans, digest, _ = _cut(data, np.unique(np.concatenate(starts)))
                 rows.append((doc_id, len(data), n, spans, digest))
@@ -160,11 +250,3 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     nothing = hashlib.sha256(b"").hexdigest()
     settled = rest.select("doc_id", "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(copied, 1).otherwise(0).cast("long").alias("n_spans"), F.when(copied, nothing).otherwise(F.col("whole")).alias("kept_sha256"))
     return settled.unionByName(cuts).withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
-
-
-def _chosen(a: Anchored, runs) -> np.ndarray:
-    """The places of the runs whose (anchor, context) is listed."""
-    wanted = {(r["anchor"], r["context"]) for r in runs}
-    near = np.flatnonzero(np.isin(a.anchor.view(np.int64), np.fromiter((x[0] for x in wanted), np.int64, len(wanted))))
-    pairs = zip(a.anchor[near].view(np.int64).tolist(), a.context[near].view(np.int64).tolist(), strict=True)
-    return np.array([k for k, p in zip(near, pairs, strict=True) if p in wanted], np.int64)

@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip, or hand-made cases with nulls, ties and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -247,6 +248,27 @@ def test_repeats(docs, texts, spark):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
 
+def test_difference_cover():
+    """Two equal strings have a sampled position the same number of bytes in, wherever they start."""
+    sampled = [{k for k in range(repeats.PERIOD) if (i + k) % repeats.PERIOD in repeats.COVER} for i in range(repeats.PERIOD)]
+    assert all(a & b for a in sampled for b in sampled)
+    values = np.array([0, 1, 255, 256, 2**40], np.int64)
+    assert (repeats._unpacked(repeats._packed(values), np.int64) == values).all()
+
+
+@pytest.mark.parametrize("packed", [64, 1 << 20])
+def test_repeats_shifted_copies(spark, monkeypatch, packed):
+    """Passages of 49 bytes and more, shifted, overlapping, edited and very frequent, packed in few and many parts."""
+    monkeypatch.setattr(repeats, "PACKED", packed)
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("abcdé ") for _ in range(n))
+    passages, common = [text(n) for n in (40, 45, 60, 120, 300)], text(70)
+    rows = {k: text(draw.randrange(90)) + draw.choice(passages)[draw.randrange(12) :] + text(draw.randrange(40)) + common[draw.randrange(20) :] + draw.choice(passages) for k in range(60)}
+    rows |= {60: "x" * 49, 61: "x" * 50, 62: "x" * 81, 63: "y" + "x" * 51, 64: passages[4][:150] + "!" + passages[4][151:], 65: None, 66: ""}
+    out = repeats.without_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == slow_repeats({k: v or "" for k, v in rows.items()})
+
+
 def test_repeats_edges(spark):
     import random
 
