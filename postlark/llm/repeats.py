@@ -39,50 +39,87 @@ TUPLE = SPAN - PERIOD + 1
 NEAR = 16
 #: Sampled tuples that are sorted together, and that a task packs at once.
 SORTED, PACKED = 1 << 20, 1 << 20
+#: Bytes of short texts that are taken together.
+TOGETHER = 1 << 18
 
 
 class Sampled:
-    """The sampled positions of one text, their tuples, and the runs of strings that they stand for."""
+    """The sampled positions of some texts, their tuples, and the runs of strings that they stand for.
 
-    def __init__(self, data: bytes):
-        self.n, self.ranges = len(data), Ranges(np.frombuffer(data, np.uint8))
-        at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
-        self.at = at[at + TUPLE <= self.n] if self.n >= SPAN else at[:0]
+    The texts lie one after the other in one array; nothing reaches from one into the next.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        size = np.array([len(t) for t in texts], np.int64)
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        self.ranges = Ranges(self.data)
+        periods = np.where(size >= SPAN, -(-size // PERIOD), 0)
+        text = np.repeat(np.arange(len(texts)), periods)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(periods) - periods, periods)
+        at = ((self.start[text] + nth * PERIOD)[:, None] + np.array(COVER)).ravel()
+        text = np.repeat(text, len(COVER))
+        inside = at + TUPLE <= self.end[text]
+        self.at, self.text = at[inside], text[inside]
 
     def tuples(self) -> np.ndarray:
         return self.ranges.hashes(self.at, self.at + TUPLE)
 
-    def runs(self, at: np.ndarray) -> None:
-        """Sets first, after (starts of strings, end exclusive), anchor and context of the runs at some positions."""
-        last = self.n - SPAN
-        far = (np.maximum(at - (PERIOD - 1), 0), np.minimum(at - NEAR, last), np.maximum(at - NEAR, 0), at + TUPLE)
-        near = (np.maximum(at - (NEAR - 1), 0), np.minimum(at, last), at, np.minimum(at + SPAN - NEAR + 1, self.n))
+    def runs(self, some: np.ndarray | slice, anchors: bool = True) -> None:
+        """Sets first, after (starts of strings, end exclusive), context, owner (text) and anchor of the runs at some sampled positions."""
+        p, text = self.at[some], self.text[some]
+        begin, last = self.start[text], self.end[text] - SPAN
+        far = (np.maximum(p - (PERIOD - 1), begin), np.minimum(p - NEAR, last), p - NEAR, p + TUPLE)
+        near = (np.maximum(p - (NEAR - 1), begin), np.minimum(p, last), p, p + SPAN - NEAR + 1)
         parts = []
-        for kind, (first, end, begin, stop) in enumerate((far, near)):
-            some = first <= end
-            first, end, begin, stop, p = first[some], end[some], begin[some], stop[some], at[some]
-            anchor = mix(self.ranges.hashes(begin, stop) + np.uint64(kind))
-            shape = ((p - first) * SPAN + (end - first)).astype(np.uint64)
-            parts.append((first, end + 1, anchor, mix(self.ranges.hashes(first, end + SPAN) ^ mix(anchor + shape))))
-        self.first, self.after, self.anchor, self.context = (np.concatenate(x) for x in zip(*parts, strict=True))
-
-    def starts(self, contexts) -> np.ndarray:
-        """Starts of all strings in the runs whose context is listed."""
-        self.runs(self.at)
-        chosen = np.isin(self.context.view(np.int64), np.asarray(contexts, np.int64))
-        edge = np.zeros(self.n + 2, np.int64)
-        np.add.at(edge, self.first[chosen], 1)
-        np.add.at(edge, self.after[chosen], -1)
-        return np.flatnonzero(np.cumsum(edge) > 0)
-
-    def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self.ranges.hashes(starts, starts + SPAN)
+        for kind, (first, end, a, b) in enumerate((far, near)):
+            real = np.flatnonzero(first <= end)
+            first, end = first[real], end[real]
+            shape = (((p[real] - first) * SPAN + (end - first)) * 2 + kind).astype(np.uint64)
+            # the context holds the anchor, at a place that the shape gives
+            context = mix(self.ranges.hashes(first, end + SPAN) + shape)
+            anchor = mix(self.ranges.hashes(a[real], b[real]) + np.uint64(kind)) if anchors else context
+            parts.append((first, end + 1, context, text[real], anchor))
+        self.first, self.after, self.context, self.owner, self.anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def listed(self, lists: list) -> np.ndarray:
+        """For each start of a string, whether it is in a run whose context its text's list has."""
+        self.runs(slice(None), anchors=False)
+        chosen = _in_lists(self.context, self.owner, lists)
+        size = len(self.data) + 1
+        return np.cumsum(np.bincount(self.first[chosen], minlength=size) - np.bincount(self.after[chosen], minlength=size)) > 0
+
+
+def _in_lists(hashes: np.ndarray, text: np.ndarray, lists: list) -> np.ndarray:
+    """Whether each hash is in the list of its text; None is an empty list."""
+    sizes = [0 if x is None else len(x) for x in lists]
+    if not sum(sizes):
+        return np.zeros(len(hashes), bool)
+    apart = mix(np.arange(1, len(lists) + 1, dtype=np.uint64))
+    wanted = np.sort(np.concatenate([np.asarray(x, np.int64) for x in lists if x is not None]).view(np.uint64) + np.repeat(apart, sizes))
+    own = hashes + apart[text]
+    where = np.searchsorted(wanted, own)
+    where[where == len(wanted)] = 0
+    return wanted[where] == own
 
 
 def _bytes(text) -> bytes:
     return text.encode("utf-8") if text else b""
 
 
+def _together(texts: list[bytes]) -> Iterator[slice]:
+    """Slices of neighbouring texts of at most TOGETHER bytes, or of one longer text."""
+    at, n = 0, 0
+    for k, t in enumerate(texts):
+        if k > at and n + len(t) > TOGETHER:
+            yield slice(at, k)
+            at, n = k, 0
+        n += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Numbers, compressed byte by byte of their places."""
     return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
@@ -124,11 +161,12 @@ def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, n = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = Sampled(_bytes(text.as_py())).tuples() >> shift
-                names.append(own)
-                ids.append(np.full(len(own), doc_id, np.int64))
-                n += len(own)
+            doc_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [_bytes(t.as_py()) for t in batch.column(1)]
+            for part in _together(texts):
+                sampled = Sampled(texts[part])
+                names.append(sampled.tuples() >> shift)
+                ids.append(doc_ids[part][sampled.text])
+                n += len(names[-1])
                 if n >= PACKED:
                     yield rows(np.concatenate(names), np.concatenate(ids))
                     names, ids, n = [], [], 0
@@ -160,11 +198,12 @@ def _occurrences(texts: DataFrame, bits: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for doc_id, text, names in frame.itertuples(index=False):
-                s = Sampled(_bytes(text))
-                s.runs(s.at[np.isin((s.tuples() >> shift).view(np.int64), np.asarray(names, np.int64))])
-                _, one = np.unique(s.context, return_index=True)
-                yield pd.DataFrame({"anchor": s.anchor[one].view(np.int64), "context": s.context[one].view(np.int64), "doc_id": doc_id})
+            texts, doc_ids = [_bytes(t) for t in frame["text"]], frame["doc_id"].to_numpy()
+            for part in _together(texts):
+                s = Sampled(texts[part])
+                s.runs(_in_lists(s.tuples() >> shift, s.text, list(frame["names"].iloc[part])))
+                rows = pd.DataFrame({"anchor": s.anchor.view(np.int64), "context": s.context.view(np.int64), "doc_id": doc_ids[part][s.owner]})
+                yield rows.drop_duplicates()
 
     return texts.select("doc_id", "text", "names").mapInPandas(run, "anchor long, context long, doc_id long")
 
@@ -172,15 +211,21 @@ def _occurrences(texts: DataFrame, bits: int) -> DataFrame:
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(data: bytes, starts: np.ndarray) -> tuple[int, int, str, bytes]:
-    """Removed bytes, spans and the digest of the rest, when the windows at ``starts`` go."""
-    edge = np.zeros(len(data) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + SPAN, len(data)), -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-    spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(data) else 0
-    return int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
+def _cut(texts: list[bytes], runs: list, windows: list) -> list[tuple[int, int, int, str]]:
+    """Bytes, removed bytes, spans and the digest of the rest of each text, when the strings of its listed runs and its listed strings go."""
+    s = Sampled(texts)
+    gone_starts = s.listed(runs)
+    for k in (k for k, w in enumerate(windows) if w is not None):
+        starts = np.arange(s.start[k], s.end[k] - SPAN + 1)
+        gone_starts[starts[_in_lists(s.ranges.hashes(starts, starts + SPAN), np.zeros(len(starts), np.int64), [windows[k]])]] = True
+    starts, size = np.flatnonzero(gone_starts), len(s.data) + 1
+    gone = (np.cumsum(np.bincount(starts, minlength=size) - np.bincount(starts + SPAN, minlength=size)) > 0)[:-1]
+    out = []
+    for a, b in zip(s.start, s.end, strict=True):
+        own = gone[a:b]
+        spans = int(np.count_nonzero(own[1:] & ~own[:-1])) + int(len(own) > 0 and own[0])
+        out.append((int(b - a), int(np.count_nonzero(own)), spans, hashlib.sha256(s.data[a:b][~own].tobytes()).hexdigest()))
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -218,9 +263,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for doc_id, text, runs in frame.itertuples(index=False):
-                s = Sampled(_bytes(text))
-                yield pd.DataFrame({"window": np.unique(s.windows(s.starts(runs))).view(np.int64), "doc_id": doc_id})
+            data, doc_ids = [_bytes(t) for t in frame["text"]], frame["doc_id"].to_numpy()
+            for part in _together(data):
+                s = Sampled(data[part])
+                starts = np.flatnonzero(s.listed(list(frame["runs"].iloc[part])))
+                owner = np.searchsorted(s.end, starts, "right")
+                yield pd.DataFrame({"window": s.ranges.hashes(starts, starts + SPAN).view(np.int64), "doc_id": doc_ids[part][owner]}).drop_duplicates()
 
     found = texts.join(compared, "doc_id").select("doc_id", "text", "runs").mapInPandas(windows, "window long, doc_id long")
     earlier = written(found.withColumn("least", F.min("doc_id").over(Window.partitionBy("window"))).where("least < doc_id").select("window", "doc_id"), "earlier")
@@ -232,17 +280,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for doc_id, text, runs, hashes in frame.itertuples(index=False):
-                data = _bytes(text)
-                s = Sampled(data)
-                starts = [s.starts(runs)] if runs is not None else []
-                if hashes is not None:
-                    all_hashes = s.ranges.windows(SPAN)
-                    starts.append(np.flatnonzero(np.isin(all_hashes, np.asarray(hashes, np.int64).view(np.uint64))))
-                n, spans, digest, _ = _cut(data, np.unique(np.concatenate(starts)))
-                rows.append((doc_id, len(data), n, spans, digest))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            data, rows = [_bytes(t) for t in frame["text"]], []
+            for part in _together(data):
+                rows += _cut(data[part], list(frame["runs"].iloc[part]), list(frame["windows"].iloc[part]))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
+            yield out
 
     cuts = changed.select("doc_id", "text", "runs", "windows").mapInPandas(cut, SCHEMA)
     rest = placed.join(decided.select("doc_id"), "doc_id", "left_anti")
