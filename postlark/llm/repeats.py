@@ -108,16 +108,22 @@ def _bytes(text) -> bytes:
     return text.encode("utf-8") if text else b""
 
 
-def _together(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of neighbouring texts of at most TOGETHER bytes, or of one longer text."""
-    at, n = 0, 0
-    for k, t in enumerate(texts):
-        if k > at and n + len(t) > TOGETHER:
-            yield slice(at, k)
-            at, n = k, 0
-        n += len(t)
-    if at < len(texts):
-        yield slice(at, len(texts))
+def _together(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
+    """Neighbouring texts of at most TOGETHER bytes, or one longer text, and where they are."""
+    at, held, n = 0, [], 0
+    for k, t in enumerate(column):
+        data = _bytes(t.as_py())
+        if held and n + len(data) > TOGETHER:
+            yield slice(at, k), held
+            at, held, n = k, [], 0
+        held.append(data)
+        n += len(data)
+    if held:
+        yield slice(at, at + len(held)), held
+
+
+def _lists(column: pa.Array, part: slice) -> list:
+    return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column[part]]
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -161,9 +167,9 @@ def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, n = [], [], 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [_bytes(t.as_py()) for t in batch.column(1)]
-            for part in _together(texts):
-                sampled = Sampled(texts[part])
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for part, texts in _together(batch.column(1)):
+                sampled = Sampled(texts)
                 names.append(sampled.tuples() >> shift)
                 ids.append(doc_ids[part][sampled.text])
                 n += len(names[-1])
@@ -196,16 +202,16 @@ def _occurrences(texts: DataFrame, bits: int) -> DataFrame:
     """(anchor, context, doc_id) of the runs at the tuples that are listed in ``names``, one row for each in a document."""
     shift = np.uint64(32 - bits)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts, doc_ids = [_bytes(t) for t in frame["text"]], frame["doc_id"].to_numpy()
-            for part in _together(texts):
-                s = Sampled(texts[part])
-                s.runs(_in_lists(s.tuples() >> shift, s.text, list(frame["names"].iloc[part])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids = batch.column(0).to_numpy()
+            for part, held in _together(batch.column(1)):
+                s = Sampled(held)
+                s.runs(_in_lists(s.tuples() >> shift, s.text, _lists(batch.column(2), part)))
                 rows = pd.DataFrame({"anchor": s.anchor.view(np.int64), "context": s.context.view(np.int64), "doc_id": doc_ids[part][s.owner]})
-                yield rows.drop_duplicates()
+                yield pa.RecordBatch.from_pandas(rows.drop_duplicates(), preserve_index=False)
 
-    return texts.select("doc_id", "text", "names").mapInPandas(run, "anchor long, context long, doc_id long")
+    return texts.select("doc_id", "text", "names").mapInArrow(run, "anchor long, context long, doc_id long")
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -261,16 +267,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     compared = of_docs(shared.where("not whole"), "compared")
     texts = restricted(own, written(compared.select("doc_id"), "ids"))
 
-    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            data, doc_ids = [_bytes(t) for t in frame["text"]], frame["doc_id"].to_numpy()
-            for part in _together(data):
-                s = Sampled(data[part])
-                starts = np.flatnonzero(s.listed(list(frame["runs"].iloc[part])))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids = batch.column(0).to_numpy()
+            for part, held in _together(batch.column(1)):
+                s = Sampled(held)
+                starts = np.flatnonzero(s.listed(_lists(batch.column(2), part)))
                 owner = np.searchsorted(s.end, starts, "right")
-                yield pd.DataFrame({"window": s.ranges.hashes(starts, starts + SPAN).view(np.int64), "doc_id": doc_ids[part][owner]}).drop_duplicates()
+                rows = pd.DataFrame({"window": s.ranges.hashes(starts, starts + SPAN).view(np.int64), "doc_id": doc_ids[part][owner]})
+                yield pa.RecordBatch.from_pandas(rows.drop_duplicates(), preserve_index=False)
 
-    found = texts.join(compared, "doc_id").select("doc_id", "text", "runs").mapInPandas(windows, "window long, doc_id long")
+    found = texts.join(compared, "doc_id").select("doc_id", "text", "runs").mapInArrow(windows, "window long, doc_id long")
     earlier = written(found.withColumn("least", F.min("doc_id").over(Window.partitionBy("window"))).where("least < doc_id").select("window", "doc_id"), "earlier")
 
     gone = shared.where("whole").groupBy("doc_id").agg(F.collect_list("context").alias("runs"))
@@ -278,16 +285,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     decided = written(gone.join(some, "doc_id", "full"), "decided")
     changed = restricted(own, written(decided.select("doc_id"), "ids")).join(decided, "doc_id")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            data, rows = [_bytes(t) for t in frame["text"]], []
-            for part in _together(data):
-                rows += _cut(data[part], list(frame["runs"].iloc[part]), list(frame["windows"].iloc[part]))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, held in _together(batch.column(1)):
+                rows = pd.DataFrame(_cut(held, _lists(batch.column(2), part), _lists(batch.column(3), part)), columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.insert(0, "doc_id", batch.column(0).to_numpy()[part])
+                yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
-    cuts = changed.select("doc_id", "text", "runs", "windows").mapInPandas(cut, SCHEMA)
+    cuts = changed.select("doc_id", "text", "runs", "windows").mapInArrow(cut, SCHEMA)
     rest = placed.join(decided.select("doc_id"), "doc_id", "left_anti")
     copied = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= SPAN)
     nothing = hashlib.sha256(b"").hexdigest()
