@@ -6,10 +6,15 @@ The candidate's wishes are literals of the plan, so a match is one projection ov
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import contains_any, text_or_null, timestamp, tokens
 from .contract import truth
@@ -156,17 +161,75 @@ def feedback_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("profile_id", "event").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _composed(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """The maps that do ``first`` and then ``then``. A map w -> min(high, max(low, factor * w)) is (factor, low, high) on axis 1.
+
+    Where low meets high a map is constant; its factor is set to 1 there, so that no product runs over or under.
+    """
+    low, high = [np.minimum(then[:, 2], np.maximum(then[:, 1], then[:, 0] * first[:, k])) for k in (1, 2)]
+    return np.stack([np.where(low == high, 1.0, first[:, 0] * then[:, 0]), low, high], 1)
+
+
+def _composed_runs(runs: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """One map for each run of equal numbers, from its maps in their order; neighbours are composed until one is left."""
+    while len(runs):
+        starts = np.concatenate([[True], runs[1:] != runs[:-1]])
+        if starts.all():
+            break
+        place = np.arange(len(runs))
+        even = (place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0
+        paired = np.flatnonzero(even[:-1] & ~starts[1:])
+        maps[paired] = _composed(maps[paired], maps[paired + 1])
+        runs, maps = runs[even], maps[even]
+    return maps
+
+
+def feedback_maps(events: DataFrame) -> DataFrame:
+    """(profile_id, piece, factor, low, high): what the events of one profile in one range of the order do to its weights.
+
+    Events are dealt to tasks by ranges of (profile, time, id), so a profile with many events is spread over
+    many tasks; each task reads its range in order, holds one batch of it, and gives one row per profile.
+    """
+    known = events.where(F.col("event").isin(*FACTORS))
+    order = ["profile_id", "recorded_at", "event_id", "event"]
+    kind = F.coalesce(*[F.when(F.col("event") == k, F.lit(n)) for n, k in enumerate(FACTORS)])
+    each = np.array([[f, np.full(len(f), LOWEST), np.full(len(f), HIGHEST)] for f in FACTORS.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held = TaskContext.get().partitionId(), None
+
+        def rows(profiles: pa.Array, maps: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([profiles, pa.array([piece] * len(maps), pa.int32()), *[pa.array(list(maps[:, k]), pa.list_(pa.float64())) for k in range(3)]], ["profile_id", "piece", "factor", "low", "high"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            profiles, maps = batch.column(0), each[batch.column(1).to_numpy()]
+            if held is not None:  # the last profile of one batch may go on in the next
+                profiles, maps = pa.concat_arrays([held[0], profiles]), np.concatenate([held[1], maps])
+            runs = profiles.dictionary_encode("encode").indices.to_numpy()
+            profiles = profiles.take(pa.array(np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))))
+            maps = _composed_runs(runs, maps)
+            held = profiles[-1:], maps[-1:].copy()
+            yield rows(profiles[:-1], maps[:-1])
+        if held is not None:
+            yield rows(*held)
+
+    schema = StructType([events.schema["profile_id"], StructField("piece", IntegerType()), *[StructField(c, ArrayType(DoubleType())) for c in ("factor", "low", "high")]])
+    return known.repartitionByRange(*order).sortWithinPartitions(*order).select("profile_id", kind.alias("kind")).mapInArrow(run, schema)
+
+
 def feedback_weights(events: DataFrame) -> DataFrame:
     """(profile_id, signal, weight): each event multiplies a profile's weights in its order, clamped after each.
 
-    A clamp can't be reordered, so a profile's events are put in order; an event takes a few bytes there.
+    Ranges of a profile's events are composed to one map each, and these are put in order: one row of a
+    profile holds at most as many as there are tasks. Factors between two clamps are multiplied in another
+    order than one by one, so a weight's last digits may differ.
     """
-    known = events.where(F.col("event").isin(*FACTORS))
-    ordered = known.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("recorded_at", "event_id", "event"))).alias("events"))
-    factor = lambda e, n: F.coalesce(*[F.when(e["event"] == k, F.lit(v[n])) for k, v in FACTORS.items()])
+    ordered = feedback_maps(events).groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("piece", "factor", "low", "high"))).alias("maps"))
 
     def fold(n: int) -> Column:
-        return F.aggregate("events", F.lit(1.0), lambda w, e: F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), w * factor(e, n))))
+        return F.aggregate("maps", F.lit(1.0), lambda w, m: F.greatest(m["low"][n], F.least(m["high"][n], w * m["factor"][n])))
 
     folded = [F.struct(F.lit(s).alias("signal"), fold(n).alias("weight")) for n, s in enumerate(WEIGHTS)]
     return ordered.select("profile_id", F.explode(F.array(*folded)).alias("s")).select("profile_id", "s.*")

@@ -2,6 +2,8 @@
 
 import glob
 import os
+import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -78,6 +80,33 @@ def test_feedback_order_matters(spark):
     assert abs(out["skills"] - 1.5 * 0.95) < 1e-12 and abs(out["recency"] - 1.0) < 1e-12
 
 
+def test_feedback_of_a_hot_profile_is_split(spark):
+    """Most events are one profile's: they go to many tasks, and the maps of these give the same weights as one by one."""
+    rng = random.Random(4)
+    kinds = [*matching.FACTORS, "seen", None]
+    rows = [(p, None if rng.random() < 0.01 else rng.randrange(5000), k, rng.choice(kinds)) for k in range(30_000) for p in ["hot" if k % 20 else rng.choice(["a", "b", None, "z"])]]
+    want = defaultdict(lambda: [1.0] * len(matching.WEIGHTS))
+    for p, _, _, e in sorted((r for r in rows if r[3] in matching.FACTORS), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        want[p] = [max(matching.LOWEST, min(matching.HIGHEST, w * f)) for w, f in zip(want[p], matching.FACTORS[e], strict=True)]
+    events = spark.createDataFrame(rows, "profile_id string, recorded_at long, event_id long, event string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = Counter(r.profile_id for r in matching.feedback_maps(events).collect())
+        out = {(r.profile_id, r.signal): r.weight for r in matching.feedback_weights(events).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 4 <= pieces["hot"] <= 8 and set(pieces) == set(want)
+    assert out.keys() == {(p, s) for p in want for s in matching.WEIGHTS}
+    assert all(abs(out[p, s] - v) < 1e-9 for p, w in want.items() for s, v in zip(matching.WEIGHTS, w, strict=True))
+
+
+def test_feedback_maps_neither_overflow_nor_vanish(spark):
+    """Thousands of equal events: their product alone would run over or under."""
+    rows = [(e, k, k, e) for e in matching.FACTORS for k in range(30_000)]
+    out = {(r.profile_id, r.signal): r.weight for r in matching.feedback_weights(spark.createDataFrame(rows, "profile_id string, recorded_at long, event_id long, event string")).collect()}
+    assert out["interviewed", "skills"] == 1.5 and out["not_relevant", "skills"] == 0.5 and out["applied", "recency"] == 1.0
+
+
 def test_empty_frames(spark):
     empty = spark.createDataFrame([], "title string, company string, posted_at string, source string, x double")
     assert profile.quality_score(empty).first().score_percent == 100.0 and profile.deciles(empty, ["x"]).count() == 0
