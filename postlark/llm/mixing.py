@@ -18,6 +18,10 @@ TEMPERATURE = 0.7
 SEED = "mix-1"
 #: Longest tail of the distribution that is tabled, beyond the rate itself in standard deviations.
 TAIL = 12
+#: From this rate on the distribution's first term would run under; a draw is then the sum of draws of smaller, equal rates.
+PART_RATE = 700
+#: Copies of a row are made in blocks of so many, so that no array of one row grows with the rate.
+BLOCK = 65_536
 #: Up to so many sources, their rates are sent to all tasks; more are joined by shuffling, and Spark splits skewed ones.
 FEW_SOURCES = 20_000
 
@@ -57,17 +61,20 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, repetition:
 
     The draw of a row hangs on the seed, its doc_id and its text's length alone, so rows that agree in
     these share it; results don't depend on partitions. Null ids and texts draw as "null" and length 0.
-    An empty table stays empty. Rates above about 700 would underflow the distribution at 0 and are
-    refused when weights ask for them.
+    An empty table stays empty. A rate of ``PART_RATE`` or more is met by several draws, each from a hash of its own,
+    whose sum has that rate's distribution.
     """
-    rates = source_rates(docs, weights, repetition).select("source_key", F.when(F.col("rate") < 700, F.col("rate")).otherwise(F.raise_error(F.lit("a repetition rate of 700 or more"))).alias("rate"))
-    tables = written(rates.select("source_key", poisson_table(F.col("rate")).alias("cumulative")), "rates")
+    rates = source_rates(docs, weights, repetition).withColumn("_parts", F.floor(F.col("rate") / PART_RATE).cast("long") + 1)
+    tables = written(rates.select("source_key", "_parts", poisson_table(F.col("rate") / F.col("_parts")).alias("cumulative")), "rates")
     if tables.count() <= FEW_SOURCES:  # documents then stay where they are, however many one source has
         tables = F.broadcast(tables)
     drawn = docs.withColumn("source_key", F.coalesce("source", F.lit("null"))).join(tables, "source_key").withColumn("u", uniform(seed, F.col("doc_id")))
-    count = F.size(F.filter("cumulative", lambda c: c <= F.col("u")))
-    copies = drawn.withColumn("copies", count).where("copies > 0").drop("cumulative", "u", "source_key").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    keyed = copies.withColumn("copy", F.col("copy").cast("long")).withColumn("shuffle_key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")), 256), 1, 15), 16, 10).cast("long"))
+    count = lambda u: F.size(F.filter("cumulative", lambda c: c <= u)).cast("long")
+    several = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_parts")), lambda k: uniform(seed, "part", k, F.col("doc_id")))
+    counted = drawn.withColumn("copies", F.when(F.col("_parts") == 1, count(F.col("u"))).otherwise(F.aggregate(several, F.lit(0).cast("long"), lambda n, u: n + count(u))))
+    blocks = counted.where("copies > 0").drop("cumulative", "u", "source_key", "_parts").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(BLOCK).cast("long"))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence("_block", F.least(F.col("_block") + (BLOCK - 1), F.col("copies") - 1)))).drop("copies", "_block")
+    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")), 256), 1, 15), 16, 10).cast("long"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

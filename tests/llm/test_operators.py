@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from postlark.llm import bpe, chat, mixing, ngram_join, pii, repeats, rules, spotsigs, token_files, warc
@@ -228,6 +229,18 @@ def test_mixing(docs, spark):
     assert mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixing_of_large_rates(spark, monkeypatch):
+    """A rate too large for one table of probabilities is drawn in parts; copies come in blocks and are numbered through."""
+    monkeypatch.setattr(mixing, "BLOCK", 256)
+    rows = [(k, "x" * 400_000 if k < 1 else "y", "big" if k < 1 else "tiny") for k in range(201)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"big": 1, "tiny": 3})
+    counts = {r.doc_id: (r.n, r.least, r.most, r.kinds) for r in out.where("source = 'tiny'").groupBy("doc_id").agg(*[F.expr(x) for x in ("count(*) n", "min(copy) least", "max(copy) most", "count(distinct copy) kinds")]).collect()}
+    rate = 400_200 * 0.75 / 200
+    n = np.array([c[0] for c in counts.values()])
+    assert len(counts) == 200 and all((0, c[0] - 1, c[0]) == c[1:] for c in counts.values())
+    assert abs(n.mean() - rate) < 4 * (rate / 200) ** 0.5 and 0.7 < n.var() / rate < 1.4
+
+
 def slow_repeats(texts):
     seen, out = set(), {}
     for d in sorted(texts):
