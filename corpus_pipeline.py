@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]
-#: Learned rules and BPE can't be said in SQL; tests hold the stages against brute force.
+#: Learned rules and BPE can't be said in SQL; a test holds each stage's rows and the chain's against plain Python.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip, or hand-made cases with nulls, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -333,3 +334,75 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in step.select("doc_id").collect()}
     assert out.columns == ["doc_id", "ids", "n_tokens"] and {r.doc_id for r in out.select("doc_id").distinct().collect()} <= ids
     assert not any(r.n_email for r in pii.pii_report(step).collect())
+
+
+def slow_quality(spark, rows, docs, labels):
+    learned = rules.learn(docs, labels)
+    shares = {r.doc_id: r for r in rules.features(docs).collect()}
+    met = lambda r, c: r[c.feature] is not None and (r[c.feature] > c.threshold if c.above else r[c.feature] <= c.threshold)
+    out = []
+    for r in rows:
+        w = WORDS.findall(r.text)
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        again = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        if len(w) >= 10 and 100 * len(again) <= 20 * len(w) and not any(all(met(shares[r.doc_id], c) for c in rule.conditions) for rule in learned):
+            out.append(tuple(r))
+    return out
+
+
+def slow_near_duplicates(rows):
+    sets, group = {}, {r.doc_id: r.doc_id for r in rows}
+    for r in rows:
+        w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                x, y = sorted((group[a], group[b]))
+                group = {d: x if g == y else g for d, g in group.items()}
+    return [tuple(r) for r in rows if group[r.doc_id] == r.doc_id]
+
+
+def slow_mixture(rows):
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += max(len(r.text), 1)
+    weight = {s: n**mixing.TEMPERATURE for s, n in sizes.items()}
+    out = []
+    for r in rows:
+        rate = sum(sizes.values()) * weight[r.source] / sum(weight.values()) / sizes[r.source]
+        u = (int(hashlib.sha256(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        k, p = 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        out += [tuple(r)] * k
+    return out
+
+
+def test_pipeline_stages_keep_and_give_exactly_what_they_should(spark):
+    """Every stage's rows, and those of the whole chain, against plain Python over the rows of the stage before."""
+    import corpus_pipeline
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    plain = {
+        "quality": lambda rows: slow_quality(spark, rows, documents, labels),
+        "near_duplicates": slow_near_duplicates,
+        "personal_data": lambda rows: [(r.doc_id, t := pii.redact(r.text, pii.find_spans(r.text)), r.lang, r.source, len(t)) for r in rows],
+        "mixture": slow_mixture,
+        "tokens": lambda rows: [(r.doc_id, ids := tokenizer.encode(r.text, add_special_tokens=False).ids, len(ids)) for r in rows],
+    }
+    assert [name for name, _ in corpus_pipeline.STAGES] == list(plain) and documents.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    step, rows, kept = documents, documents.collect(), []
+    for name, stage in corpus_pipeline.STAGES:
+        want = sorted(plain[name](rows))
+        step = mixing.written(stage(spark, step, SF), name)
+        rows = step.collect()
+        assert sorted(map(tuple, rows)) == want, name
+        kept.append(len(rows))
+    assert len(documents.collect()) > kept[0] > kept[1] == kept[2] and kept[3] == kept[4] > 0
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
