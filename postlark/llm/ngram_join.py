@@ -92,7 +92,8 @@ def walk(own: np.ndarray, own_size: int, others: list[np.ndarray], sizes: np.nda
 
     ``own`` and ``others`` are ordered sequences, whole or their beginnings; sizes are those of the whole
     sets. For whole sequences the answer is exact. The trie is that of the sorted sequences: a node is a
-    range of them with a common beginning.
+    range of them with a common beginning. A node matches what it adds to its parent's beginning, once for
+    all its sequences, and hands the overlap down; what lies below a node that is left is never matched.
     """
     found = np.zeros(len(others), bool)
     if not own_size:
@@ -102,7 +103,6 @@ def walk(own: np.ndarray, own_size: int, others: list[np.ndarray], sizes: np.nda
     rank = sorted(range(len(others)), key=lambda k: others[k].byteswap().tobytes())
     rows, lengths = [others[k] for k in rank], np.array([len(others[k]) for k in rank])
     size = sizes[rank].astype(np.int64)
-    hits = [np.concatenate([[0], np.cumsum(_member(r, own))]) for r in rows]
     need = percent * (own_size + size)  # (100 + percent) * overlap must reach it
 
     def shared(a: np.ndarray, b: np.ndarray, at: int) -> int:
@@ -110,15 +110,16 @@ def walk(own: np.ndarray, own_size: int, others: list[np.ndarray], sizes: np.nda
         differ = np.flatnonzero(a[at:n] != b[at:n])
         return at + int(differ[0]) if len(differ) else n
 
-    stack = [(0, len(rows), 0)]
+    stack = [(0, len(rows), 0, 0, 0)] if rows else []
     while stack:
-        lo, hi, depth = stack.pop()
+        lo, hi, depth, matched, passed = stack.pop()
         if hi - lo == 1:
             end = int(lengths[lo])
         else:
             end = shared(rows[lo], rows[hi - 1], depth)
-        matched = int(hits[lo][end])
-        passed = int(np.searchsorted(own, rows[lo][end - 1], "right")) if end else 0
+        if end > depth:
+            matched += int(_member(rows[lo][depth:end], own[passed:]).sum())
+            passed = int(np.searchsorted(own, rows[lo][end - 1], "right"))
         remain = np.minimum(size[lo:hi] - end, own_size - passed)
         alive = (100 + percent) * (matched + remain) >= need[lo:hi]
         if not alive.any():
@@ -126,14 +127,16 @@ def walk(own: np.ndarray, own_size: int, others: list[np.ndarray], sizes: np.nda
         if hi - lo == 1:
             found[rank[lo]] = True
             continue
+        top = lo
         while lo < hi and lengths[lo] == end:  # sequences that end at this node come first
-            if alive[lo - hi]:
+            if alive[lo - top]:
                 found[rank[lo]] = True
             lo += 1
         start = lo
         for k in range(lo + 1, hi + 1):
             if k == hi or rows[k][end] != rows[start][end]:
-                stack.append((start, k, end))
+                if alive[start - top : k - top].any():
+                    stack.append((start, k, end, matched, passed))
                 start = k
     return found
 

@@ -76,6 +76,18 @@ def test_trie_walk_is_exact():
         assert all(p or not w for p, w in zip(part, want, strict=True))
 
 
+def test_trie_walk_shares_its_matching(monkeypatch):
+    """Shared beginnings are matched once, and what lies below a pruned node isn't matched."""
+    matched, member = [], ngram_join._member
+    monkeypatch.setattr(ngram_join, "_member", lambda values, own: matched.append(len(values)) or member(values, own))
+    own = np.arange(1000, 1200, dtype=np.uint64)
+    alike = [np.append(own[:190], np.uint64(5000 + k)) for k in range(50)]
+    other = [np.concatenate([np.arange(100, dtype=np.uint64), own[k : k + 100]]) for k in range(50)]
+    sets = alike + other
+    assert ngram_join.walk(own, len(own), sets, np.array([len(o) for o in sets])).tolist() == [True] * 50 + [False] * 50
+    assert sum(matched) <= 190 + 50 + 100
+
+
 def test_frequent_shingles_and_chains(spark):
     """Many documents share one passage, and a chain of near copies hangs together."""
     passage = [f"p{k}" for k in range(30)]
