@@ -21,11 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, unpacked, written
 from .ngram_join import restricted
 from .rolling import Ranges, mix
 
@@ -126,16 +125,6 @@ def _lists(column: pa.Array, part: slice) -> list:
     return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column[part]]
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Numbers, compressed byte by byte of their places."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
-
-
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
     """(doc_id, name): tuples of a document that another document has too. Names are the first 32 + bits bits of a hash.
 
@@ -154,13 +143,13 @@ def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
         alone = head & np.concatenate([head[1:], [True]])
         out = []
         if not alone.all():
-            out.append((-1 - int(mix(ids[:1].view(np.uint64))[0] % np.uint64(1 << bits)), _packed(names[~alone]), _packed(ids[~alone])))
+            out.append((-1 - int(mix(ids[:1].view(np.uint64))[0] % np.uint64(1 << bits)), packed(names[~alone]), packed(ids[~alone])))
         names, ids = names[head], ids[head]
         parts = names >> np.uint64(32)
         cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = (names[a:b] & low).astype(np.uint32)
-            out.append((int(parts[a]), _packed(np.diff(own, prepend=np.uint32(0))), _packed(ids[a:b])))
+            out.append((int(parts[a]), packed(np.diff(own, prepend=np.uint32(0))), packed(ids[a:b])))
         part, packed, held = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary()), pa.array(held, pa.binary())], ["part", "names", "ids"])
 
@@ -181,11 +170,11 @@ def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
-        ids = np.concatenate([_unpacked(x, np.int64) for x in frame["ids"]])
+        ids = np.concatenate([unpacked(x, np.int64) for x in frame["ids"]])
         if part < 0:
-            names = np.concatenate([_unpacked(x, np.uint64) for x in frame["names"]])
+            names = np.concatenate([unpacked(x, np.uint64) for x in frame["names"]])
         else:
-            names = np.concatenate([np.cumsum(_unpacked(x, np.uint32), dtype=np.uint64) for x in frame["names"]]) + (np.uint64(part) << np.uint64(32))
+            names = np.concatenate([np.cumsum(unpacked(x, np.uint32), dtype=np.uint64) for x in frame["names"]]) + (np.uint64(part) << np.uint64(32))
             order = np.argsort(names, kind="stable")
             names, ids = names[order], ids[order]
             first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))

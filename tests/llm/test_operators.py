@@ -64,30 +64,79 @@ def test_ngram_join(spark, docs, texts):
     assert ngram_join.linked(empty(spark)).count() == 0
 
 
-def test_trie_walk_is_exact():
+def test_trie_is_exact_for_whole_sets_and_safe_for_beginnings():
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        own = np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64))
-        others = [np.unique(np.concatenate([rng.choice(own, rng.integers(0, len(own) + 1)), rng.integers(0, 60, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(9)]
-        sizes = np.array([len(o) for o in others])
-        want = [bool(len(o)) and 100 * len(np.intersect1d(own, o)) >= 80 * len(np.union1d(own, o)) for o in others]
-        assert [bool(x) and bool(len(o)) for x, o in zip(ngram_join.walk(own, len(own), others, sizes), others, strict=True)] == want
-        part = ngram_join.walk(own[: len(own) // 2 + 1], len(own), [o[: len(o) // 2 + 1] for o in others], sizes)
-        assert all(p or not w for p, w in zip(part, want, strict=True))
-
-
-def test_trie_walk_shares_its_matching(monkeypatch):
+    for turn in range(300):
+        base = np.unique(rng.integers(0, 60, rng.integers(3, 40)))
+        draw = lambda: np.unique(np.concatenate([rng.choice(base, rng.integers(len(base) // 2, len(base) + 1), replace=False), rng.integers(0, 60, rng.integers(0, 6))]))
+        own, others = [draw() for _ in range(7)], [draw() for _ in range(9)]
+        alone = rng.integers(0, 3, 16)  # elements that no other set has, in the sizes only
+        n_own, n_others = np.array([len(o) for o in own]) + alone[:7], np.array([len(o) for o in others]) + alone[7:]
+        label_own, label_others = (np.arange(7), np.arange(7, 16)) if turn % 3 else (rng.integers(0, 3, 7), rng.integers(0, 3, 9))
+        want = {(x, y) for x in range(7) for y in range(9) if label_own[x] != label_others[y] and 180 * len(np.intersect1d(own[x], others[y])) >= 80 * (n_own[x] + n_others[y])}
+        x, y = ngram_join.similar(ngram_join.Sequences(own, n_own, label=label_own), ngram_join.Sequences(others, n_others, label=label_others))
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(x) == len(want)
+        cut = rng.integers(1, 12, 16)
+        begun = [s[: cut[k]] for k, s in enumerate([*own, *others])]
+        rest = np.array([len(s) - len(b) for s, b in zip([*own, *others], begun, strict=True)])
+        x, y = ngram_join.similar(ngram_join.Sequences(begun[:7], n_own, rest[:7], label_own), ngram_join.Sequences(begun[7:], n_others, rest[7:], label_others))
+        assert want <= set(zip(x.tolist(), y.tolist(), strict=True))
+
+
+def test_trie_shares_its_matching(monkeypatch):
     """Shared beginnings are matched once, and what lies below a pruned node isn't matched."""
-    matched, member = [], ngram_join._member
-    monkeypatch.setattr(ngram_join, "_member", lambda values, own: matched.append(len(values)) or member(values, own))
-    own = np.arange(1000, 1200, dtype=np.uint64)
-    alike = [np.append(own[:190], np.uint64(5000 + k)) for k in range(50)]
-    other = [np.concatenate([np.arange(100, dtype=np.uint64), own[k : k + 100]]) for k in range(50)]
+    matched, plain = [], ngram_join._matches
+    monkeypatch.setattr(ngram_join, "_matches", lambda has, who, at: matched.append(len(at)) or plain(has, who, at))
+    own = np.arange(1000, 1200)
+    alike = [np.append(own[:190], 5000 + k) for k in range(50)]
+    other = [np.concatenate([np.arange(100), own[k : k + 100]]) for k in range(50)]
     sets = alike + other
-    assert ngram_join.walk(own, len(own), sets, np.array([len(o) for o in sets])).tolist() == [True] * 50 + [False] * 50
+    _, found = ngram_join.similar(ngram_join.Sequences([own], [len(own)], label=[0]), ngram_join.Sequences(sets, [len(o) for o in sets]))
+    assert sorted(found.tolist()) == list(range(50))
     assert sum(matched) <= 190 + 50 + 100
 
 
+def components_by_force(rows):
+    sets, group = {}, {d: d for d, _ in rows}
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {d: root(d) for d in group}
+
+
+def test_large_groups_near_the_threshold(spark, monkeypatch):
+    """Copies of one text with more or fewer edits, over several blocks of a root, equal brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(5)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for d in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 4])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        rows.append((d * 3 + 1, " ".join(words)))
+    out = {r.doc_id: r.component_id for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = components_by_force(rows)
+    assert out == want and len(set(want.values())) > 3
+
+
+def test_join_of_rows_without_or_with_one_doc_id(spark):
+    text, other = "a b c d e f g h", "k l m n o p q r"
+    rows = [(None, text), (5, text), (9, text), (None, other), (7, "x"), (7, other), (8, other), (7, None)]
+    out = sorted(map(tuple, ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert out == sorted([(None, 4, None), (5, 4, 5), (9, 4, 5), (None, 4, None), (7, 1, 7), (7, 4, 7), (8, 4, 7), (7, 0, 7)], key=str)
+
+
 def test_frequent_shingles_and_chains(spark):
     """Many documents share one passage, and a chain of near copies hangs together."""
     passage = [f"p{k}" for k in range(30)]
