@@ -3,11 +3,14 @@
 The template language has text, ``{{ expression }}``, ``{% for name in messages %}``, ``{% if %}``,
 ``{% elif %}``, ``{% else %}``, ``{% set name = expression %}`` and ``{% generation %}``; expressions
 have strings, integers, names, ``a.b``, ``a['b']``, ``+``, ``==``, ``!=``, ``and``, ``or``, ``not``
-and the filters ``trim``, ``upper``, ``lower`` and ``escape``. There is nothing else, so a template
+and the filters ``trim``, ``upper``, ``lower``, ``escape`` and ``line``. There is nothing else, so a template
 can't reach Python: names look up the given values and attributes look up dictionary keys only. The
 source becomes a syntax tree, constant parts of the tree are folded, and each node becomes a Python
 closure that yields pieces of (text, generated?). Pieces are made one message at a time, so a
 conversation of any length is rendered in bounded memory.
+
+The output is a table of segments of formatted text, in order, each under the loss mask or not; reading
+back needs nothing else.
 """
 
 from __future__ import annotations
@@ -16,15 +19,18 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Assistant texts are what the model learns to generate.
 CHATML = (
-    "{% for message in messages %}{{ '<|im_start|>' + message.role|escape }}{{ '\\n' }}"
+    "{% for message in messages %}{{ '<|im_start|>' + message.role|escape|line }}{{ '\\n' }}"
     "{% if message.role == 'assistant' %}{% generation %}{{ message.text|escape }}{% endgeneration %}"
     "{% else %}{{ message.text|escape }}{% endif %}{{ '<|im_end|>' + '\\n' }}{% endfor %}"
 )
@@ -41,6 +47,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text) if "|" in text else text
 
 
+def line(text: str) -> str:
+    """The text on one line: line ends and backslashes become a backslash and a sign."""
+    return text.replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def unline(text: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text)
+
+
 class TemplateError(ValueError):
     pass
 
@@ -98,7 +113,7 @@ class Generation:
     body: tuple
 
 
-FILTERS: dict[str, Callable] = {"trim": str.strip, "upper": str.upper, "lower": str.lower, "escape": escape}
+FILTERS: dict[str, Callable] = {"trim": str.strip, "upper": str.upper, "lower": str.lower, "escape": escape, "line": line}
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[+|.\[\]()]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -363,7 +378,7 @@ def read_chat(pieces: Iterable[Piece]) -> Iterator[tuple[str, str, str]]:
             if not turn.startswith(START):
                 raise TemplateError("a turn doesn't begin with its start marker")
             role, _, body = turn[len(START) :].partition("\n")
-            yield unescape(role), unescape(body), unescape(masked)
+            yield unescape(unline(role)), unescape(body), unescape(masked)
             masked = ""
     if held:
         raise TemplateError("the output ends within a turn")
@@ -380,20 +395,26 @@ def with_hostile(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
 
 
-def chat_digests(conversations: DataFrame, template: str = CHATML) -> DataFrame:
-    """Format each conversation by its turns, read the output back and describe what it holds.
+#: Characters of a segment of the output.
+SEGMENT = 1 << 16
+SEGMENTS = "conv_id long, nameless boolean, segment long, text string, learned boolean"
 
-    Rows of a conversation come in the order of turn, role, text; repeated rows stay. A null role or
-    text counts as empty; a null conv_id is a conversation of its own. Line ends within a role would
-    end its line, so they become spaces. Rows stream through sorted tasks: a conversation of any
-    length needs the memory of one turn. An empty table gives an empty result.
+
+def formatted_chats(conversations: DataFrame, template: str = CHATML) -> DataFrame:
+    """(conv_id, nameless, segment, text, learned): each conversation's formatted text, in segments from 0 on.
+
+    A segment is wholly under the loss mask (learned) or wholly not. Rows of a conversation come in the
+    order of turn, role, text; repeated rows stay. A null role or text counts as empty; rows with a null
+    conv_id are a conversation of their own, conv_id 0 and nameless. Rows stream through sorted tasks: a
+    conversation of any length needs the memory of one turn. An empty table gives an empty result.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         render = compile_template(template)
-        rows = ((c, o, r, t) for f in frames for c, o, r, t in zip(f["conv_id"], f["none"], f["role"], f["text"], strict=True))
+        rows = ((c, o, r, t) for f in frames for c, o, r, t in zip(f["conv_id"], f["nameless"], f["role"], f["text"], strict=True))
         row = next(rows, None)
         out: list[tuple] = []
+        chars = 0
         while row is not None:
             key = row[:2]
 
@@ -403,32 +424,90 @@ def chat_digests(conversations: DataFrame, template: str = CHATML) -> DataFrame:
                     yield {"role": row[2], "text": row[3]}
                     row = next(rows, None)
 
+            for number, (text, learned) in enumerate(_segments(render(messages()))):
+                out.append((*key, number, text, learned))
+                chars += len(text)
+                if chars >= 1 << 22:
+                    yield pd.DataFrame(out, columns=["conv_id", "nameless", "segment", "text", "learned"])
+                    out, chars = [], 0
+            while row is not None and row[:2] == key:  # what a template didn't ask for
+                row = next(rows, None)
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "nameless", "segment", "text", "learned"])
+
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = conversations.select(F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv_id"), F.col("conv_id").isNull().alias("nameless"), "turn", text("role"), text("text"))
+    return rows.repartition("conv_id", "nameless").sortWithinPartitions("conv_id", "nameless", "turn", "role", "text").mapInPandas(run, SEGMENTS)
+
+
+def _segments(pieces: Iterable[Piece]) -> Iterator[Piece]:
+    """Pieces put together while they agree on the mask and stay short; long ones are cut."""
+    held, mask = "", False
+    for text, learned in pieces:
+        if held and (learned != mask or len(held) + len(text) > SEGMENT):
+            yield held, mask
+            held = ""
+        held, mask = held + text, learned
+        while len(held) > SEGMENT:
+            yield held[:SEGMENT], mask
+            held = held[SEGMENT:]
+    if held:
+        yield held, mask
+
+
+def read_chats(segments: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from formatted_chats' output alone."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (x for f in frames for x in zip(f["conv_id"], f["nameless"], f["text"], f["learned"], strict=True))
+        out: list[tuple] = []
+        for (conv_id, nameless), own in groupby(rows, key=lambda x: x[:2]):
             length = 0
 
-            def counted() -> Iterator[Piece]:
+            def counted(own=own) -> Iterator[Piece]:
                 nonlocal length
-                for piece in render(messages()):  # noqa: B023
-                    length += len(piece[0])
-                    yield piece
+                for *_, text, learned in own:
+                    length += len(text)
+                    yield text, learned
 
             turns, loss, n, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
             for role, text, learned in read_chat(counted()):
                 turns.update(f"{role}\n{text}\n".encode())
                 loss.update(learned.encode())
                 n, chars = n + 1, chars + len(learned)
-            while row is not None and row[:2] == key:  # what a template didn't ask for
-                row = next(rows, None)
-            out.append((None if key[1] else int(key[0]), n, turns.hexdigest(), chars, loss.hexdigest(), length))
+            out.append((None if nameless else str(conv_id), n, turns.hexdigest(), chars, loss.hexdigest(), length))
             if len(out) >= 5000:
-                yield frame_of(out)
+                yield pd.DataFrame(out, columns=names)
                 out = []
         if out:
-            yield frame_of(out)
+            yield pd.DataFrame(out, columns=names)
+
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    in_order = segments.repartition("conv_id", "nameless").sortWithinPartitions("conv_id", "nameless", "segment").select("conv_id", "nameless", "text", "learned")
+    # ids travel as text: pandas would make a column of longs with a null one of doubles
+    return in_order.mapInPandas(run, SCHEMA.replace("conv_id long", "conv_id string")).withColumn("conv_id", F.col("conv_id").cast("long"))
 
-    def frame_of(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-        return frame.astype({"conv_id": "Int64"})
 
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = conversations.select(F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("none"), "turn", F.regexp_replace(text("role"), "\n", " ").alias("role"), text("text").alias("text"))
-    return rows.repartition("conv_id", "none").sortWithinPartitions("conv_id", "none", "turn", "role", "text").mapInPandas(run, SCHEMA)
+def chat_digests(conversations: DataFrame, template: str = CHATML) -> DataFrame:
+    """Format each conversation, store the output, read it back and describe what it holds.
+
+    Nulls, repeated rows and empty tables are as in ``formatted_chats``; a null conv_id stays null.
+    """
+    return read_chats(written(formatted_chats(conversations, template), "chats"))
+
+
+CHAT_SQL = f"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '{HOSTILE}'
+    union all select -1, 1, 'assistant', '{HOSTILE}'
+), escaped as (
+    select *, regexp_replace(role, '<(\\\\*)[|]', '<\\\\\\1|', 'g') as r, regexp_replace(text, '<(\\\\*)[|]', '<\\\\\\1|', 'g') as t from turns
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum({len(START) + len(END) + 2} + length(replace(replace(r, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')) + length(t))::bigint as formatted_chars
+from escaped group by conv_id
+"""

@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 80  # per cent
 #: Up to so many ids, a list of documents is sent to all tasks; a longer one is joined by shuffling.
 LISTED = 1_000_000
 #: n-grams that are sorted together, and that a task packs at once; bits of an n-gram that are kept within a part.
-SORTED, PACKED, LOW_BITS = 1 << 21, 1 << 21, 28
+SORTED, PACKED, LOW_BITS = 1 << 21, 1 << 20, 28
 #: Documents in a block of a root; how many prefixes' length of a set a block holds.
 BLOCK, LONGER = 1024, 2
 #: Entries of the matrix in which documents go down a trie together.
@@ -364,7 +364,7 @@ def _pivot_pairs(roots: DataFrame) -> DataFrame:
 
 
 def _block_pairs(roots: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(x, y): pairs of different labels that no trie of a root rules out.
+    """(x, y): pairs of different labels that no trie of a root rules out, each in the root of its first common element.
 
     A root's documents are put into blocks: a label with many documents has blocks of its own, which needn't
     be compared with one another; the others share blocks.
@@ -383,19 +383,23 @@ def _block_pairs(roots: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
     known = F.slice("keys", F.lit(1), prefix.cast("int"))
     begun = sets.select("a", known.alias("known"), (F.size("keys") - F.size(known)).cast("long").alias("rest"))
     rows = placed.join(sides.select("k", F.col("s.block").alias("block"), "s.side", "block_l", "block_r"), ["k", "block"]).join(begun, "a")
-    rows = rows.select("k", "block_l", "block_r", "side", "a", "n", "label", "rest", "known")
+    rows = rows.select("k", "block_l", "block_r", "side", "a", "n", "label", "rest", "known", F.array_position("known", F.col("k")).alias("at"))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("a")
-        groups = [frame[frame["side"] == s] for s in (0, 1)]
-        one, two = (Sequences(list(g["known"]), g["n"], g["rest"], g["label"]) for g in groups)
-        x, y = similar(one, one if not len(two) else two)
-        a, b = groups[0]["a"].to_numpy()[x], groups[0 if not len(two) else 1]["a"].to_numpy()[y]
-        if not len(two):
-            a, b = a[x < y], b[x < y]
+        one, two = (frame[frame["side"] == s] for s in (0, 1))
+        same = not len(two)
+        # what lies before the root is common to no pair whose first common element it is; other pairs meet elsewhere
+        below = [Sequences([k[i - 1 :] for k, i in zip(g["known"], g["at"], strict=True)], g["n"], g["rest"], g["label"]) for g in ((one,) if same else (one, two))]
+        x, y = similar(below[0], below[-1])
+        if same:
+            x, y = x[x < y], y[x < y]
+        above = [[k[: i - 1] for k, i in zip(g["known"], g["at"], strict=True)] for g in ((one,) if same else (one, two))]
+        first = np.array([not len(np.intersect1d(above[0][i], above[-1][j], assume_unique=True)) for i, j in zip(x, y, strict=True)], bool)
+        a, b = one["a"].to_numpy()[x[first]], (one if same else two)["a"].to_numpy()[y[first]]
         return pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)})
 
-    return rows.groupBy("k", "block_l", "block_r").applyInPandas(meet, "x long, y long").distinct()
+    return rows.groupBy("k", "block_l", "block_r").applyInPandas(meet, "x long, y long")
 
 
 def linked(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Personal data: patterns propose spans, checks confirm them, nearby words adjust the score.
 
-A pattern gives a candidate a starting score. A checksum or a count of digits then confirms or
-drops it, and words such as "phone" or "account" shortly before it raise the score. A candidate
-becomes a span if its score reaches the threshold and no earlier kind covers it. The four base
-kinds are certain once confirmed; the others need a passing checksum or context.
+A pattern gives a candidate a starting score. A check of its digits drops it or lets it pass, and a
+passed checksum raises the score. Words shortly before it then adjust the score: those of its kind, such
+as "phone" or "account", raise it, those of other numbers, such as "order" or "isbn", lower it. A
+candidate becomes a span if its score reaches the threshold and no earlier kind covers it. The four
+base kinds are spans whenever they are confirmed, whatever their score; the others need a checksum or
+context.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A candidate needs this score; a context word within so many code points before it adds this much.
-THRESHOLD, CONTEXT_CHARS, CONTEXT_GAIN = 0.6, 48, 0.4
+#: A candidate needs this score; a passed checksum adds so much, a context word within so many code points before it as much as it says.
+THRESHOLD, CHECKSUM_GAIN, CONTEXT_CHARS, CONTEXT_GAIN, CONTEXT_LOSS = 0.6, 0.4, 48, 0.4, 0.3
 BASE = ("email", "ip", "card", "phone")
 
 
@@ -71,19 +73,23 @@ class Rule:
     pattern: re.Pattern
     confirms: Callable[[str], bool]
     score: float
+    checksum: bool = False
     context: re.Pattern | None = None
     needs: str = ""  # a text without it has no candidate
 
 
+#: Words of numbers that aren't personal.
+AGAINST = re.compile(r"(?i)\b(?:isbn|issn|order|invoice|serial|version|model|part)\b")
 #: Digits before a run can't begin a match that the run itself doesn't, so the looks behind only save time.
 RULES = (
-    Rule("ip", re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), _ip, 1.0, needs="."),
-    Rule("card", re.compile(r"[0-9](?:[ -]?[0-9])+"), _card, 1.0),
-    Rule("phone", re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), _phone, 1.0, needs="+"),
-    Rule("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban, 0.9, re.compile(r"(?i)\b(?:iban|account|konto|cuenta|compte)\b")),
-    Rule("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _social, 0.3, re.compile(r"(?i)\b(?:ssn|social security)\b"), needs="-"),
-    Rule("national_phone", re.compile(r"(?<![0-9+(])\(?0?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"), lambda t: True, 0.3, re.compile(r"(?i)\b(?:phone|tel|telefon|call|mobile|fax|tél|teléfono)\b")),
+    Rule("ip", re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), _ip, 0.7, context=re.compile(r"(?i)\b(?:ip|host|server|address)\b"), needs="."),
+    Rule("card", re.compile(r"[0-9](?:[ -]?[0-9])+"), _card, 0.4, checksum=True, context=re.compile(r"(?i)\b(?:card|visa|mastercard|karte|tarjeta|carte)\b")),
+    Rule("phone", re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), _phone, 0.7, context=re.compile(r"(?i)\b(?:phone|tel|telefon|call|mobile|fax|tél|teléfono)\b"), needs="+"),
+    Rule("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban, 0.4, checksum=True, context=re.compile(r"(?i)\b(?:iban|account|konto|cuenta|compte)\b")),
+    Rule("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _social, 0.3, context=re.compile(r"(?i)\b(?:ssn|social security)\b"), needs="-"),
+    Rule("national_phone", re.compile(r"(?<![0-9+(])\(?0?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"), lambda t: True, 0.3, context=re.compile(r"(?i)\b(?:phone|tel|telefon|call|mobile|fax|tél|teléfono)\b")),
 )
+EMAIL_SCORE = 0.9
 KINDS = ("email", *(r.kind for r in RULES))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,27 +115,35 @@ def emails(text: str) -> list[Span]:
 _ANY_DIGIT = re.compile("[0-9]")
 
 
-def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
-    """(kind, start, end) in code points, by start, then by kind as listed. Null texts have none.
+def scored_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[Span, float]]:
+    """((kind, start, end) in code points, score), by start, then by kind as listed. Null texts have none.
 
     Base kinds are reported whatever covers them. An added kind gives way to any span that it overlaps.
     """
     if not text:
         return []
-    spans = emails(text)
+    spans = [(s, EMAIL_SCORE) for s in emails(text)]
     if _ANY_DIGIT.search(text):
         for rule in RULES:
             if rule.needs and rule.needs not in text:
                 continue
             for m in rule.pattern.finditer(text):
-                score = rule.score
-                if rule.context and score < threshold and rule.context.search(text, max(0, m.start() - CONTEXT_CHARS), m.start()):
-                    score += CONTEXT_GAIN
-                if score < threshold or not rule.confirms(m[0]):
+                if not rule.confirms(m[0]):
                     continue
-                if rule.kind in BASE or not any(a < m.end() and m.start() < b for _, a, b in spans):
-                    spans.append((rule.kind, m.start(), m.end()))
-    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+                score = rule.score + CHECKSUM_GAIN * rule.checksum
+                near = max(0, m.start() - CONTEXT_CHARS), m.start()
+                if rule.context and rule.context.search(text, *near):
+                    score += CONTEXT_GAIN
+                elif AGAINST.search(text, *near):
+                    score -= CONTEXT_LOSS
+                if rule.kind in BASE or score >= threshold and not any(a < m.end() and m.start() < b for (_, a, b), _ in spans):
+                    spans.append(((rule.kind, m.start(), m.end()), round(min(score, 1.0), 2)))
+    return sorted(spans, key=lambda s: (s[0][1], KINDS.index(s[0][0]), s[0][2]))
+
+
+def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
+    """The spans without their scores."""
+    return [s for s, _ in scored_spans(text, threshold)]
 
 
 def listed(spans: list[Span]) -> str:
@@ -151,37 +165,48 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
     return "".join(out)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, their digest and all spans, for every document.
+    """Counts of the base kinds, their digest, all spans and their scores, for every document.
 
     Null and empty texts have no span; their digest is that of the empty string. Each row is judged on
-    its own, so repeated rows give repeated results. Other columns aren't read.
+    its own, so repeated rows give repeated results; a null doc_id stays null. Other columns aren't read.
     """
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                spans = find_spans(text)
-                base = [s for s in spans if s[0] in BASE]
-                rows.append((doc_id, *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+            for text in batch.column(1):
+                found = scored_spans(text.as_py())
+                base = [s for s, _ in found if s[0] in BASE]
+                rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(listed(base).encode()).hexdigest(), listed([s for s, _ in found]), ",".join(f"{x:.2f}" for _, x in found)))
+            kinds = [pa.int64()] * len(BASE) + [pa.string()] * 3
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, personal data in ``text`` replaced by marks; n_chars counts the new text."""
-    names = docs.columns
+    """The same rows and columns, personal data in ``text`` replaced by marks.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["text"] = [redact(t, find_spans(t)) for t in frame["text"]]
-            if "n_chars" in frame:
-                frame["n_chars"] = pd.array([None if pd.isna(n) and not isinstance(t, str) else len(t or "") for n, t in zip(frame["n_chars"], frame["text"], strict=True)], "Int64")
-            yield frame[names]
+    n_chars, where there is one, counts the new text; null stays null where the text is null too. All other
+    columns, nulls among them, stay as they are.
+    """
+    names = docs.columns
 
-    return docs.mapInPandas(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = [redact(t, find_spans(t)) for t in batch.column(names.index("text")).to_pylist()]
+            columns[names.index("text")] = pa.array(texts, batch.schema.field("text").type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                before = batch.column(k).to_pylist()
+                columns[k] = pa.array([None if n is None and t is None else len(t or "") for n, t in zip(before, texts, strict=True)], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -58,4 +58,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_rules, op3_warc, op4_spotsigs, op5_pii, op6_token_files, op7_bpe, op8_mixing, op9_repeats, op10_chat)}
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.WARC_SQL, "op8_mixing": mixing.MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.WARC_SQL, "op8_mixing": mixing.MIXING_SQL, "op10_chat": chat.CHAT_SQL}

@@ -225,6 +225,20 @@ def test_pii(docs, texts, spark):
     assert pii.pii_report(empty(spark)).count() == 0 and pii.redacted(docs).columns == docs.columns
 
 
+def test_pii_keeps_large_ids_and_nulls(spark):
+    rows = [(2**60 + 1, "a@b.c", None, 2**60 + 3), (None, None, 4, None), (None, "x", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, k long").coalesce(1)
+    assert [(r.doc_id, r.n_email, r.spans, r.scores) for r in pii.pii_report(docs).collect()] == [(2**60 + 1, 1, "email:0:5", "0.90"), (None, 0, "", ""), (None, 0, "", "")]
+    assert list(map(tuple, pii.redacted(docs).collect())) == [(2**60 + 1, "[EMAIL]", 7, 2**60 + 3), (None, None, 0, None), (None, "x", 1, 1)]
+
+
+def test_pii_context_moves_scores():
+    score = lambda t: [x for _, x in pii.scored_spans(t)]
+    assert score("GB82 WEST 1234 5698 7654 32") == [0.8] and score("account GB82 WEST 1234 5698 7654 32") == [1.0] and score("order GB82 WEST 1234 5698 7654 32") == []
+    assert score("card 4111 1111 1111 1111") == [1.0] and score("4111 1111 1111 1111") == [0.8] and score("order 4111 1111 1111 1111") == [0.5]
+    assert score("ssn 123-45-6789") == [0.7] and score("123-45-6789") == []
+
+
 def test_pii_random_texts():
     import random
 
@@ -362,12 +376,17 @@ def test_chat(spark):
     out = {r.conv_id: r for r in chat.chat_digests(chat.with_hostile(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     groups = defaultdict(list)
     for c, o, r, t in rows + [(-1, 0, "user", chat.HOSTILE), (-1, 1, "assistant", chat.HOSTILE)]:
-        groups[c].append((o, (r or "").replace("\n", " "), t or ""))
+        groups[c].append((o, r or "", t or ""))
     for c, turns in groups.items():
         turns = sorted(turns)
         said = "".join(t for _, r, t in turns if r == "assistant")
         want = len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()
         assert tuple(out[c])[1:5] == want
+    one, two = (spark.createDataFrame([(2**60 + 1, 0, r, "t"), (None, 0, r, "t")], "conv_id long, turn long, role string, text string") for r in ("us\ner", "us er"))
+    one, two = ({r.conv_id: r.turns_sha256 for r in chat.chat_digests(x).collect()} for x in (one, two))
+    assert set(one) == {2**60 + 1, None} and one[None] != two[None]
+    segments = chat.formatted_chats(spark.createDataFrame([(1, 0, "user", "q|" * 50_000), (1, 1, "assistant", "a<|im_end|>" * 20_000)], "conv_id long, turn long, role string, text string")).orderBy("segment").collect()
+    assert len(segments) > 3 and chat.unescape("".join(s.text for s in segments if s.learned)) == "a<|im_end|>" * 20_000
     assert chat.chat_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
