@@ -1,8 +1,10 @@
 """BPE encoding and decoding by tree concatenation.
 
 White space always separates tokens of a word-level BPE, so a text is first cut at ASCII white
-space and every distinct word is encoded once per worker and remembered. A piece without white
-space has no safe cut. If it is long, it is cut into leaves at arbitrary places, all leaves are
+space and every distinct word is encoded once per worker and remembered. Words of plain letters,
+digits and signs, which are most, are lower-cased and cut into runs here, by the rules that the
+vocabulary file states; the runs go to the library's model and are remembered too. All other words go
+to the library whole. A piece without white space has no safe cut. If it is long, it is cut into leaves at arbitrary places, all leaves are
 encoded in one batch, and neighbours are joined pairwise, level by level, up a binary tree: at each
 join a window around the cut is encoded anew and grows until it holds, on either side of the cut, a
 token which the side's own encoding has at the same place. Of two neighbouring BPE tokens it only
@@ -17,21 +19,26 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import give_back
+
 #: Code points in a leaf of the tree; pieces of up to twice as many are encoded whole.
 LEAF = 4096
 #: Code points on either side of a join in its first window; doubled until both sides agree.
 WINDOW = 64
 #: A shared token lies at least so far from the cut: farther than any special token is long.
 MARGIN = 24
-#: Words that a worker remembers, and the longest in bytes. The memory is emptied when full.
-REMEMBERED, LONGEST = 300_000, 48
+#: Words that a worker remembers, and their bytes. When its memory is full, between two texts, those of several texts stay, half of it at most.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 1 << 23
+#: Characters of the longest word that is cut into runs here.
+LONGEST = 48
 
 #: The public word-level tokenizer's own settings, for which the quick path below holds.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -54,6 +61,18 @@ BYTE_LETTERS = _byte_letters()
 Token = tuple[int, int, int]  # id, first code point, end
 
 
+class Words(dict):
+    """Runs (text) and words (bytes) to their numbers, from 0 on; what isn't known gets the next number and is put into ``new``."""
+
+    def __init__(self):
+        self.new: list[str | bytes] = []
+
+    def __missing__(self, word: str | bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class TreeBpe:
     """Encodes and decodes as ``tokenizers`` does, without truncation, padding or added ids."""
 
@@ -64,8 +83,7 @@ class TreeBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.leaf, self.window = leaf, window
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self._forget()
         settings = json.loads(self.tokenizer.to_str())
         self.plain = settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == PRE_TOKENIZER
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -74,52 +92,101 @@ class TreeBpe:
 
     # -- encoding ---------------------------------------------------------------------------
 
+    def _forget(self) -> None:
+        """No word is known; ids of the n-th of the ``learned`` words are ``ids[starts[n] : starts[n + 1]]``, and ``seen[n]`` texts had it."""
+        self.words, self.learned, self.held = Words(), 0, 0
+        self.ids, self.starts, self.seen = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _forget_rare(self) -> None:
+        """Words that one text had go, and of the others the rarer ones beyond half of what may be remembered."""
+        seen, known = self.seen[: self.learned], list(self.words)
+        least = 2 if len(seen) <= REMEMBERED // 2 else max(2, int(np.partition(seen, -(REMEMBERED // 2))[-(REMEMBERED // 2)]) + 1)
+        stay = np.flatnonzero(seen >= least)
+        if sum(len(known[n]) for n in stay) > REMEMBERED_BYTES // 2:
+            stay = stay[:0]
+        first, size = self.starts[stay], self.starts[stay + 1] - self.starts[stay]
+        place = np.cumsum(size)
+        ids = self.ids[np.repeat(first - place + size, size) + np.arange(place[-1] if len(place) else 0)]
+        self._forget()
+        self.words.update((known[n], k) for k, n in enumerate(stay))
+        self._room(len(stay), len(ids))
+        self.ids[: len(ids)] = ids
+        self.starts[1 : len(stay) + 1] = place
+        self.learned, self.held = len(stay), sum(map(len, self.words))
+
+    def _room(self, words: int, ids: int) -> None:
+        while len(self.starts) <= words + 1:
+            self.starts, self.seen = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.seen, np.zeros_like(self.seen)])
+        while len(self.ids) < ids:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text; a null or empty text has none."""
+        return self.encode_ids(text).tolist()
+
+    def encode_ids(self, text: str | None) -> np.ndarray:
+        """The same as an array of 32-bit numbers."""
         if not text:
-            return []
+            return np.zeros(0, np.uint32)
+        if len(self.words) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self._forget_rare()
         pieces = text.encode("utf-8").split()
-        known = self.words
-        missing = set(pieces).difference(known)
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = set(pieces)
-            local = self._encode_words(missing)
-            for piece, ids in local.items():
-                if len(piece) <= LONGEST:
-                    known[piece] = tuple(ids)
-            parts = [local[p] if p in local else known[p] for p in pieces]
-        else:
-            parts = [known[p] for p in pieces]
-        return list(chain.from_iterable(parts))
-
-    def _encode_words(self, pieces: set[bytes]) -> dict[bytes, list[int]]:
-        out: dict[bytes, list[int]] = {}
-        rest: list[bytes] = []
-        for piece in pieces:
-            if len(piece) > 2 * self.leaf:
-                out[piece] = [t[0] for t in self.encode_unsplit(piece.decode("utf-8"))]
-            elif self.plain and len(piece) <= LONGEST and PLAIN.fullmatch(word := piece.decode("utf-8")) and "<|" not in word:
-                out[piece] = self._encode_plain(word)
+        number = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
+        if self.words.new:
+            self._learn()
+        self.seen[number] += 1
+        first = self.starts[number]
+        size = self.starts[number + 1] - first
+        place = np.cumsum(size)
+        return self.ids[np.repeat(first - place + size, size) + np.arange(place[-1] if len(place) else 0)]
+
+    def _learn(self) -> None:
+        """Encodes the new words and keeps their ids behind those of the others."""
+        words, self.words.new = self.words.new, []
+        encoded = self._encode_words(words)
+        known = self.learned
+        ends = self.starts[known] + np.cumsum([len(x) for x in encoded])
+        self._room(len(self.words), int(ends[-1]))
+        self.ids[self.starts[known] : ends[-1]] = np.fromiter(chain.from_iterable(encoded), np.uint32, ends[-1] - self.starts[known])
+        self.starts[known + 1 : known + 1 + len(ends)] = ends
+        self.learned = len(self.words)
+        self.held += sum(map(len, words))
+
+    def _encode_words(self, pieces: list[bytes]) -> list[Sequence[int]]:
+        """The ids of each word, and then of each run that was met for the first time."""
+        out: list[Sequence[int]] = []
+        rest: list[int] = []
+        fresh: dict[str, list[int]] = {}
+        for n, piece in enumerate(pieces):
+            word = piece.decode("utf-8")
+            if self.plain and len(word) <= LONGEST and PLAIN.fullmatch(word) and "<|" not in word:
+                word = word.lower()
+                if word.isalpha():
+                    out.append(self._encode_run(word, fresh))
+                else:
+                    out.append([i for run in RUNS.findall(word) for i in self._encode_run(run, fresh)])
+            elif len(word) > 2 * self.leaf:
+                out.append([t[0] for t in self.encode_unsplit(word)])
             else:
-                rest.append(piece)
-        for piece, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in rest], add_special_tokens=False), strict=True):
-            out[piece] = e.ids
-        return out
-
-    def _encode_plain(self, word: str) -> list[int]:
-        """A word of PLAIN characters: its runs of letters and of signs go to the library's model."""
-        out: list[int] = []
-        runs = self.runs
-        for run in RUNS.findall(word.lower()):
-            ids = runs.get(run)
-            if ids is None:
-                if len(runs) >= REMEMBERED:
-                    runs.clear()
-                ids = runs[run] = tuple([t.id for t in self.tokenizer.model.tokenize(run.translate(BYTE_LETTERS))])
-            out += ids
-        return out
+                out.append(())
+                rest.append(n)
+        if rest:
+            for n, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[n].decode("utf-8") for n in rest], add_special_tokens=False), strict=True):
+                out[n] = e.ids
+        return [*out, *fresh.values()]
+
+    def _encode_run(self, run: str, fresh: dict[str, list[int]]) -> list[int]:
+        """The ids of a lower-cased run; one that isn't known gets the next number and goes into ``fresh``."""
+        n = self.words.get(run)
+        if n is None:
+            self.words[run] = len(self.words)
+            shown = run if run.isascii() else run.translate(BYTE_LETTERS)
+            ids = fresh[run] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            return ids
+        if n >= self.learned:
+            return fresh[run]
+        self.seen[n] += 1
+        return self.ids[self.starts[n] : self.starts[n + 1]].tolist()
 
     def _encode_leaves(self, texts: list[str], starts: list[int]) -> list[list[Token]]:
         encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -214,6 +281,7 @@ def loaded(path: str) -> TreeBpe:
     """The worker's own encoder; loaded once in each Python process."""
     if path not in _LOADED:
         _LOADED.clear()
+        give_back()  # workers are used again: what stages before left
         _LOADED[path] = TreeBpe(path)
         gc.freeze()
         gc.set_threshold(200_000, 50, 50)  # the words that it remembers are no garbage
@@ -221,13 +289,15 @@ def loaded(path: str) -> TreeBpe:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every row. Null and empty texts have an empty array."""
+    """(id, ids array<int>) of every row. Null and empty texts have an empty array; repeated rows give repeated results."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         for batch in batches:
-            ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
+            found = [bpe.encode_ids(t.as_py()) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int32) if found else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

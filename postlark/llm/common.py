@@ -15,11 +15,14 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a
-    temporary folder is made once and the setting is filled in.
+    It is the one named by ``spark.checkpoint.dir``, else the one that was set as the checkpoint directory.
+    Where neither is there, a session on one machine (tests) gets a temporary folder; on a cluster, whose
+    machines share no temporary folder, that is an error.
     """
-    folder = spark.conf.get(_SETTING, None)
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="postlark-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
@@ -42,11 +45,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write a file from a task: under a name of its own first, so that a repeated attempt replaces it whole."""
+#: Names by which Spark calls a store that Arrow calls otherwise.
+_SAME_STORE = {"s3a": "s3", "s3n": "s3"}
+
+
+def _store(uri: str):
+    """Arrow's file system of an address and the path there; it knows files, HDFS, S3, Google and Azure stores."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{_SAME_STORE.get(scheme, scheme)}://{rest}" if rest else uri)
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Write a file from a task: under a name of its own first, so that a repeated attempt replaces it whole."""
+    store, path = _store(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(own) as f:
@@ -56,12 +69,25 @@ def put_file(uri: str, data: bytes) -> None:
 
 def open_file(uri: str):
     """A seekable file for reading, in any store that Arrow knows."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = _store(uri)
     return store.open_input_file(path)
 
 
+def give_back() -> None:
+    """Hand memory that a worker has freed back to the machine; workers live on from stage to stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to hand back
+
+
 def as_uri(folder: str) -> str:
     return folder if ":/" in folder else f"file://{folder}"
 

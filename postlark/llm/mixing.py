@@ -59,8 +59,8 @@ def poisson_table(rate: Column) -> Column:
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, repetition: float = 1.0, seed: str = SEED) -> DataFrame:
     """Each row as often as its draw says, with ``copy`` (from 0) and ``shuffle_key``, in shuffled order.
 
-    The draw of a row hangs on the seed, its doc_id and its text's length alone, so rows that agree in
-    these share it; results don't depend on partitions. Null ids and texts draw as "null" and length 0.
+    The draw of a row hangs on the seed, its doc_id and its source's rate alone, so rows that agree in these
+    share it; results don't depend on partitions. Null ids and sources count as "null", null texts as one character.
     An empty table stays empty. A rate of ``PART_RATE`` or more is met by several draws, each from a hash of its own,
     whose sum has that rate's distribution.
     """
@@ -80,7 +80,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, repetition:
 
 MIXING_SQL = f"""
 with sizes as (
-    select source, sum(greatest(length(text), 1)::double) as size from documents group by source
+    select coalesce(source, 'null') as source, sum(greatest(coalesce(length(text), 0), 1)::double) as size from documents group by 1
 ), weighed as (
     select source, size, pow(size, {TEMPERATURE}) as weight from sizes
 ), rates as (
@@ -92,9 +92,9 @@ with sizes as (
         select source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) from t where k < ceil(rate + {TAIL} * sqrt(rate) + 20)
     ) select * from t
 ), drawn as (
-    select *, (('0x' || substr(sha256('{SEED}:' || doc_id), 1, 12))::bigint::double + 0.5) / {float(2**48)} as u from documents
+    select *, (('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint::double + 0.5) / {float(2**48)} as u from documents
 ), counted as (
-    select d.doc_id, count(*) as copies from drawn d join terms t on d.source = t.source and t.c <= d.u group by d.doc_id
+    select d.doc_id, count(*) as copies from drawn d join terms t on coalesce(d.source, 'null') = t.source and t.c <= d.u group by d.doc_id
 )
 select d.doc_id, d.text, d.lang, d.source, d.n_chars, copy,
     ('0x' || substr(sha256('{SEED}:order:' || d.doc_id || ':' || copy), 1, 15))::bigint as shuffle_key

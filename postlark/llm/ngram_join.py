@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, written
+from .common import give_back, packed, unpacked, written
 from .components import components
 from .rolling import Ranges, mix
 
@@ -279,6 +279,8 @@ def _shared_counts(docs: DataFrame, total: int) -> DataFrame:
                     names, ids, n = [], [], 0
         if n:
             yield rows(names, ids)
+        names.clear()
+        give_back()
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         if int(frame["part"].iloc[0]) < 0:

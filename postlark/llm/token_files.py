@@ -1,19 +1,21 @@
 """Token ids in binary files, compressed by Re-Pair grammars.
 
 A shard holds consecutive documents. Its token stream is rewritten in rounds: count all neighbouring
-id pairs inside documents, give the most frequent ones a nonterminal each, replace them from the left,
-and go on with the shorter stream. The file keeps the rules and the length to which each nonterminal
-expands, so that one document, or one position in it, is decoded without the others.
+id pairs inside documents, give each that is frequent a nonterminal, replace them from the left, and go
+on with the shorter stream until no pair is frequent any more. A pair is frequent if its rule takes less
+room than it saves. The file keeps the rules and the length to which each nonterminal expands, so that
+one document, or one position in it, is decoded without the others.
 
 Layout of a shard, little-endian:
     8 bytes  magic
-    6 x u64  documents, rules, symbols, tokens, first nonterminal, bytes of a symbol (2 or 4)
+    6 x u64  documents, rules, symbols, tokens, first nonterminal, bits of a symbol above 16
     i64[documents]      document ids, ascending
     u64[documents + 1]  first symbol of each document
     u64[documents + 1]  first token of each document, within the shard
     u32[rules][2]       right-hand sides
-    u64[rules]          expansion lengths
-    symbols             2 or 4 bytes each
+    u32[rules]          expansion lengths
+    u16[symbols]        the lower 16 bits of each symbol
+    for each bit above: the bits of all symbols, the first in the highest place, filled up to bytes
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +36,12 @@ from .common import as_uri, fresh_path, open_file, put_file, written
 
 MAGIC = b"RPSHARD1"
 END_ID = 2
-#: A shard is closed when it holds so many tokens; rounds of replacement, rules of each, least count of a pair.
-SHARD_TOKENS, ROUNDS, RULES_A_ROUND, LEAST = 2_000_000, 5, 3_000, 6
+#: A shard is closed when it holds so many tokens.
+SHARD_TOKENS = 2_000_000
+#: A pair that occurs so often is frequent: a rule takes 12 bytes, a symbol 2 and some bits.
+LEAST = 6
+#: Documents that are read and expanded together.
+READ = 256
 
 
 class Grammar:
@@ -45,48 +52,71 @@ class Grammar:
         self.rules = np.zeros((0, 2), np.uint32)
         self.lengths = np.zeros(0, np.uint64)
 
-    def compress(self, stream: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-        """The shorter stream and its marks of ends."""
+    def compress(self, stream: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """The shorter stream and its marks of ends. Every round but the last replaces something.
+
+        A pair of symbols that were there a round before can't have become frequent since, so a round counts
+        pairs with a new symbol only; when none is frequent, all are counted once more.
+        """
         seq, ends = stream.astype(np.uint32), ends.astype(bool)
-        for _ in range(rounds):
-            if len(seq) < 2:
-                break
-            inside = ~(ends[:-1] | ends[1:])
-            # two symbols of 16 bits each are sorted as one number of 32
-            kind, bits = (np.uint32, 16) if self.first + len(self.rules) <= 1 << 16 else (np.uint64, 32)
-            narrow = seq.astype(kind)
-            code = (narrow[:-1] << kind(bits)) | narrow[1:]
-            ordered = np.sort(code[inside])
-            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-            pairs, counts = ordered[starts], np.diff(np.append(starts, len(ordered)))
-            often = np.flatnonzero(counts >= least)
-            if not len(often):
-                break
-            often = often[np.argsort(-counts[often], kind="stable")[:rules]]
-            chosen = np.sort(pairs[often])
-            names = np.uint32(self.first + len(self.rules)) + np.arange(len(chosen), dtype=np.uint32)
-            sides = np.stack([chosen >> kind(bits), chosen & kind((1 << bits) - 1)], 1).astype(np.uint64)
+        newest = 0  # symbols from here on are new; 0: all count as such
+        while len(seq) > 1:
+            counted = ~(ends[:-1] | ends[1:])
+            if newest:
+                fresh = seq >= newest
+                counted &= fresh[:-1] | fresh[1:]
+            pairs, counts, at, which = self._pairs(seq, np.flatnonzero(counted), least)
+            at, which = self._apart(at, which)
+            used = np.bincount(which, minlength=len(pairs)) >= least
+            if len(pairs) and not used.any():  # they stand in one another's way: take the most frequent one alone
+                _, _, at, which = self._pairs(seq, np.flatnonzero(counted), int(counts.max()))
+                at, which = self._apart(at[which == 0], which[which == 0])
+                pairs, used = pairs[[np.argmax(counts)]], np.array([len(at) >= least])
+            if not used.any():
+                if not newest:
+                    break
+                newest = 0
+                continue
+            pairs, which, at = pairs[used], (np.cumsum(used) - 1)[which[used[which]]], at[used[which]]
+            newest = self.first + len(self.rules)
             known = np.concatenate([np.ones(self.first, np.uint64), self.lengths])
-            self.lengths = np.concatenate([self.lengths, known[sides.astype(np.int64)].sum(1)])
-            self.rules = np.concatenate([self.rules, sides.astype(np.uint32)])
-            left = np.zeros(int(seq.max()) + 1, bool)
-            left[sides[:, 0].astype(np.int64)] = True
-            at = np.flatnonzero(inside & left[seq[:-1]])
-            where = np.searchsorted(chosen, code[at])
-            where[where == len(chosen)] = 0
-            hit = chosen[where] == code[at]
-            at, where = at[hit], where[hit]
-            if len(at):  # of neighbouring hits, every second one stays, counted from the left
-                new_run = np.concatenate([[True], np.diff(at) != 1])
-                begun = np.maximum.accumulate(np.where(new_run, at, 0))
-                keep = (at - begun) % 2 == 0
-                at, where = at[keep], where[keep]
+            self.lengths = np.concatenate([self.lengths, known[pairs].sum(1)])
+            self.rules = np.concatenate([self.rules, pairs.astype(np.uint32)])
             seq = seq.copy()
-            seq[at] = names[where]
+            seq[at] = newest + which
             stay = np.ones(len(seq), bool)
             stay[at + 1] = False
             seq, ends = seq[stay], ends[stay]
-        return seq.astype(np.uint32), ends
+        return seq, ends
+
+    def _pairs(self, seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The frequent ones of the pairs that begin at some places, their counts, and all places where they stand, in order, with their numbers."""
+        symbol, place = max(1, int(seq.max()).bit_length()), len(seq).bit_length()
+        code = (seq[at].astype(np.uint64) << np.uint64(symbol)) | seq[at + 1]
+        if 2 * symbol + place <= 64:  # the places are sorted along with the pairs
+            keys = np.sort((code << np.uint64(place)) | at.astype(np.uint64))
+            code, at = keys >> np.uint64(place), (keys & np.uint64((1 << place) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(code, kind="stable")
+            code, at = code[order], at[order]
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(begin, len(code)))
+        often = counts >= least
+        number = np.full(len(seq), -1, np.int32)
+        number[at[np.repeat(often, counts)]] = np.repeat(np.arange(int(often.sum()), dtype=np.int32), counts[often])
+        at = np.flatnonzero(number >= 0)
+        chosen = code[begin[often]]
+        return np.stack([chosen >> np.uint64(symbol), chosen & np.uint64((1 << symbol) - 1)], 1).astype(np.int64), counts[often], at, number[at]
+
+    @staticmethod
+    def _apart(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places without overlaps: of neighbouring ones every second is left out, from the left."""
+        if not len(at):
+            return at, which
+        new_run = np.concatenate([[True], np.diff(at) != 1])
+        begun = np.maximum.accumulate(np.where(new_run, at, 0))
+        keep = (at - begun) % 2 == 0
+        return at[keep], which[keep]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         return expand(symbols, self.first, self.rules)
@@ -116,9 +146,10 @@ def pack(doc_ids: list[int], encoded: list[np.ndarray], first: int) -> bytes:
     grammar = Grammar(first)
     symbols, marks = grammar.compress(stream, ends)
     symbols_at = np.concatenate([[0], np.flatnonzero(marks) + 1]).astype(np.uint64)
-    width = 2 if first + len(grammar.rules) <= 1 << 16 else 4
-    head = struct.pack("<6Q", len(doc_ids), len(grammar.rules), len(symbols), len(stream), first, width)
-    return b"".join([MAGIC, head, np.array(doc_ids, "<i8").tobytes(), symbols_at.astype("<u8").tobytes(), tokens_at.astype("<u8").tobytes(), grammar.rules.astype("<u4").tobytes(), grammar.lengths.astype("<u8").tobytes(), symbols.astype(f"<u{width}").tobytes()])
+    above = max(0, int(first + len(grammar.rules) - 1).bit_length() - 16)
+    head = struct.pack("<6Q", len(doc_ids), len(grammar.rules), len(symbols), len(stream), first, above)
+    planes = [np.packbits((symbols >> np.uint32(16 + b)).astype(np.uint8) & 1).tobytes() for b in range(above)]
+    return b"".join([MAGIC, head, np.array(doc_ids, "<i8").tobytes(), symbols_at.astype("<u8").tobytes(), tokens_at.astype("<u8").tobytes(), grammar.rules.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(), (symbols & np.uint32(0xFFFF)).astype("<u2").tobytes(), *planes])
 
 
 class Shard:
@@ -128,16 +159,21 @@ class Shard:
         self.file = file
         if file.read(8) != MAGIC:
             raise ValueError("not a shard of token ids")
-        n, rules, symbols, tokens, self.first, self.width = struct.unpack("<6Q", file.read(48))
+        n, rules, self.n_symbols, tokens, self.first, self.above = struct.unpack("<6Q", file.read(48))
         array = lambda kind, count: np.frombuffer(file.read(count * np.dtype(kind).itemsize), kind)
         self.doc_ids, self.symbols_at, self.tokens_at = array("<i8", n), array("<u8", n + 1), array("<u8", n + 1)
-        self.rules, self.lengths = array("<u4", 2 * rules).reshape(-1, 2), array("<u8", rules)
+        self.rules, self.lengths = array("<u4", 2 * rules).reshape(-1, 2), array("<u4", rules)
         self.n_tokens, self.body = tokens, file.tell()
 
     def symbols(self, first: int, last: int) -> np.ndarray:
         a, b = int(self.symbols_at[first]), int(self.symbols_at[last])
-        self.file.seek(self.body + a * self.width)
-        return np.frombuffer(self.file.read((b - a) * self.width), f"<u{self.width}")
+        self.file.seek(self.body + 2 * a)
+        out = np.frombuffer(self.file.read(2 * (b - a)), "<u2").astype(np.uint32)
+        for k in range(self.above):
+            self.file.seek(self.body + 2 * self.n_symbols + k * -(-self.n_symbols // 8) + a // 8)
+            bits = np.unpackbits(np.frombuffer(self.file.read(-(-b // 8) - a // 8), np.uint8))
+            out |= bits[a % 8 : a % 8 + b - a].astype(np.uint32) << np.uint32(16 + k)
+        return out
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, its end id included."""
@@ -146,8 +182,8 @@ class Shard:
     def tokens(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the k-th document; only the nonterminals that overlap them are expanded."""
         symbols = self.symbols(k, k + 1).astype(np.int64)
-        known = np.concatenate([np.ones(self.first, np.uint64), self.lengths])
-        ends = np.cumsum(known[symbols]).astype(np.int64)
+        known = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
+        ends = np.cumsum(known[symbols])
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         skipped = int(ends[a - 1]) if a else 0
         return expand(symbols[a:b], self.first, self.rules)[start - skipped : stop - skipped]
@@ -156,31 +192,32 @@ class Shard:
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode all documents, in ascending doc_id order, into shards under ``folder``.
 
-    Returns one row per shard: path, part, seq, n_docs, n_tokens and base (tokens in all shards before
-    it). Null texts count as empty: they hold the end id alone. Rows that share a doc_id stay separate,
+    Returns one row per shard: path, part, seq, n_docs, n_tokens, n_bytes (of the file) and base (tokens in
+    all shards before it). Null texts count as empty: they hold the end id alone. Rows that share a doc_id stay separate,
     in the order of their texts. A null doc_id is stored as the smallest long. An empty table has no
     shard. The files are written once: the returned table is read from what the tasks reported.
     """
     spark = docs.sparkSession
     uri = as_uri(folder)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         part, seq = TaskContext.get().partitionId(), 0
         first = len(bpe.tokens)
+        end = np.array([END_ID], np.uint32)
         ids: list[int] = []
         encoded: list[np.ndarray] = []
         held = 0
 
-        def close() -> pd.DataFrame:
-            path = f"{uri}/shard-{part:06d}-{seq:06d}.rps"
-            put_file(path, pack(ids, encoded, first))
-            return pd.DataFrame({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [held]})
+        def close() -> pa.RecordBatch:
+            path, data = f"{uri}/shard-{part:06d}-{seq:06d}.rps", pack(ids, encoded, first)
+            put_file(path, data)
+            return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [held], "n_bytes": [len(data)]})
 
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                tokens = np.array([*bpe.encode(text), END_ID], np.uint32)
-                ids.append(int(doc_id))
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                tokens = np.concatenate([bpe.encode_ids(text.as_py()), end])
+                ids.append(doc_id.as_py())
                 encoded.append(tokens)
                 held += len(tokens)
                 if held >= shard_tokens:
@@ -190,15 +227,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_token
             yield close()
 
     ordered = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = written(ordered.mapInPandas(run, "path string, part long, seq long, n_docs long, n_tokens long"), "shards")
+    shards = written(ordered.mapInArrow(run, "path string, part long, seq long, n_docs long, n_tokens long, n_bytes long"), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the writing job
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("part_base"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.join(parts, "part").select("path", "part", "seq", "n_docs", "n_tokens", (F.col("part_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("base"))
+    return shards.join(parts, "part").select("path", "part", "seq", "n_docs", "n_tokens", "n_bytes", (F.col("part_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("base"))
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of write_token_files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of write_token_files, read a few documents at a time."""
     tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,10 +243,11 @@ def read_token_files(shards: DataFrame) -> DataFrame:
             for path, base in zip(frame["path"], frame["base"], strict=True):
                 with open_file(path) as f:
                     shard = Shard(f)
-                    n = len(shard.doc_ids)
-                    ids = expand(shard.symbols(0, n), shard.first, shard.rules).astype("<u4")
-                at = shard.tokens_at.astype(np.int64)
-                crc = [zlib.crc32(ids[at[k] : at[k + 1]]) for k in range(n)]
+                    n, at, crc = len(shard.doc_ids), shard.tokens_at.astype(np.int64), []
+                    for a in range(0, n, READ):
+                        b = min(n, a + READ)
+                        ids = expand(shard.symbols(a, b), shard.first, shard.rules).astype("<u4")
+                        crc += [zlib.crc32(ids[at[k] - at[a] : at[k + 1] - at[a]]) for k in range(a, b)]
                 yield pd.DataFrame({"doc_id": shard.doc_ids.astype(np.int64), "start": base + at[:-1], "n_tokens": np.diff(at), "ids_crc32": np.array(crc, np.int64)})
 
     return shards.select("path", "base").repartition(tasks, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

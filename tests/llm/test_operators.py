@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip, or hand-made cases with nulls, ties and clashing columns."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -282,6 +283,45 @@ def test_bpe_tree():
         assert [i for i, *_ in tree.encode_unsplit(t)] == tree.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_words_one_character_at_a_time(monkeypatch):
+    """Every character that words are cut at here, alone, among letters and beside signs, as the library does; with words remembered and forgotten."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    own, rng = bpe.TreeBpe(VOCABULARY), random.Random(2)
+    letters = [c for c in map(chr, range(0x21, 0x250)) if bpe.PLAIN.fullmatch(c)]
+    texts = [f"{c} a{c}b\t{c}{c} ,{c}1 '{c}\n {c}s" for c in letters]
+    texts += [f"{t} \u4e00" for t in texts]  # one sign that isn't plain sends every word its own way
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(20)) for _ in range(300)]
+    texts += ["it's IT'S we'll 'tis O'Neil's x'RE", "\u0130stanbul \u212a \ufb01n", "a\u0301b \u1e9e <|endoftext|>x"]
+    for n, t in enumerate(texts):
+        if n % 90 == 0:
+            own._forget_rare()
+        assert own.encode(t) == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert own.encode_ids(t).tolist() == own.encode(t)
+
+
+def test_grammar_goes_on_until_nothing_pays():
+    rng = np.random.default_rng(4)
+    for first, size in ((40, 5000), (70_000, 3000), (5, 4000)):
+        parts = [rng.integers(0, first, n) for n in (3, 7, 11)]
+        stream = np.concatenate([parts[k] for k in rng.integers(0, 3, size // 5)] + [np.zeros(64, np.int64)]).astype(np.uint32)
+        ends = rng.random(len(stream)) < 0.02
+        ends[-1] = True
+        docs = np.split(stream, np.flatnonzero(ends)[:-1] + 1)
+        data = token_files.pack(list(range(len(docs))), docs, first)
+        shard = token_files.Shard(io.BytesIO(data))
+        assert all(shard.document(k).tolist() == d.tolist() for k, d in enumerate(docs)) and shard.above == max(0, int(first + len(shard.rules) - 1).bit_length() - 16)
+        symbols = shard.symbols(0, len(docs)).astype(np.int64)
+        at = shard.symbols_at.astype(np.int64)
+        inside = np.ones(len(symbols) - 1, bool)
+        last = at[1:] - 1  # no pair reaches into the last symbol of a document
+        inside[[x for x in np.concatenate([last, last - 1]) if 0 <= x < len(inside)]] = False
+        pairs = Counter(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist(), strict=True))
+        assert all(n < token_files.LEAST or a == b for (a, b), n in pairs.items())
+        k = int(np.argmax(np.diff(shard.tokens_at)))
+        whole = docs[k].tolist()
+        assert all(shard.tokens(k, a, min(a + 3, len(whole))).tolist() == whole[a : a + 3] for a in range(0, len(whole), 2))
+
+
 def test_bpe(docs, texts, spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     extra = [(-1, "Ünïcode x İstanbul \u001c a<|endoftext|>b ΣΑΣ it's 12 é")]
