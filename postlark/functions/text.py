@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,36 @@ def timestamp(c: Column) -> Column:
     return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), plain.try_cast("timestamp"))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def iso_utc(c: Column) -> Column:
+    """A date, ISO date and time (without a zone: UTC) or timestamp as ISO text in UTC, whatever the session's zone; null if unreadable."""
+    clock = r"[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+
+    def zoned(plain: Column) -> Column:
+        day = r"^\d{4}-\d{2}-\d{2}"
+        return F.when(plain.rlike(day + "$"), F.concat(plain, F.lit("T00:00:00Z"))).when(plain.rlike(day + clock + "$"), F.concat(plain, F.lit("Z"))).when(plain.rlike(day + clock + r"(Z|[+-]\d{2}:?\d{2})$"), plain)
+
+    return iso_of(once(strip(c.cast("string")), zoned).try_cast("timestamp"))
+
+
+def iso_of(c: Column) -> Column:
+    """A timestamp as ISO text in UTC."""
+
+    def shown(micros: Column) -> Column:
+        within = F.pmod(micros, F.lit(86_400_000_000))
+        date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int")), "yyyy-MM-dd")
+        two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+        fraction = F.pmod(within, F.lit(1_000_000))
+        clock = F.concat(two(within / 3_600_000_000), F.lit(":"), two(F.pmod(within, F.lit(3_600_000_000)) / 60_000_000), F.lit(":"), two(F.pmod(within, F.lit(60_000_000)) / 1_000_000))
+        return F.concat(date, F.lit("T"), clock, F.when(fraction > 0, F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+    return once(F.unix_micros(c), shown)
+
+
 def tokens(c: Column) -> Column:
     """Distinct lower-case alphanumeric tokens of two characters or more; none for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0)

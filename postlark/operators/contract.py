@@ -111,6 +111,17 @@ def adapt(df: DataFrame, fields: dict[str, Field]) -> tuple[DataFrame, DataFrame
     return df.withColumns(added) if added else df, df.agg(*counts) if counts else df.limit(0)
 
 
+def error_samples(df: DataFrame, fields: dict[str, Field], order: str, limit: int = 20) -> DataFrame:
+    """(field, source, value): what didn't parse, at most ``limit`` in all; fields in their order, then rows by ``order``."""
+    wrong = []
+    for n, (name, f) in enumerate(fields.items()):
+        source = next((s for s in f.sources if s in df.columns), None)
+        if source is not None:
+            wrong.append(F.when(coerced(F.col(source), f)[1], F.struct(F.lit(n).alias("n"), F.lit(name).alias("field"), F.lit(source).alias("source"), strip(F.col(source).cast("string")).alias("value"))))
+    each = df.select(F.col(order).alias("_order"), F.explode(F.array_compact(F.array(*wrong))).alias("s"))
+    return each.orderBy("s.n", "_order").limit(limit).select("s.field", "s.source", "s.value")
+
+
 @dataclass(frozen=True)
 class Aliases:
     names: dict[str, tuple[str, ...]] = field(default_factory=dict)

@@ -6,6 +6,7 @@ The candidate's wishes are literals of the plan, so a match is one projection ov
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..functions.text import contains_any, text_or_null, timestamp, tokens
+from ..functions.text import contains_any, strip, text_or_null, timestamp, tokens
 from .contract import truth
 
 #: Signals in order with their weights, factors of feedback events, modes of work and kinds of employment.
@@ -25,6 +26,9 @@ FACTORS = {"not_relevant": (0.95, 0.95, 0.90, 0.95, 1.0, 0.98), "applied": (1.03
 LOWEST, HIGHEST = 0.5, 1.5
 HALF_LIFE_DAYS = 90.0
 MODES = ("remote", "hybrid", "onsite", "unknown")
+EMPLOYMENT = ("full_time", "part_time", "contract", "internship", "temporary")
+#: What a job says when it gives no visa.
+NO_VISA = ("no sponsorship", "not sponsor")
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,16 @@ class Candidate:
     employment: tuple[str, ...] = ()
     salary_minimum: float | None = None
     requires_sponsorship: bool | None = None
+    authorized_locations: tuple[str, ...] = ()
+    profile_id: str = ""
+
+    def places(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys((*self.locations, *self.authorized_locations)))
+
+    def title_tokens(self) -> list[list[str]]:
+        """The tokens of each wished title; titles without tokens say nothing."""
+        found = [sorted({t for t in re.findall("[a-z0-9]+", title.lower()) if len(t) >= 2}) for title in self.titles]
+        return [t for t in found if t]
 
 
 @dataclass(frozen=True)
@@ -61,26 +75,49 @@ def seniority(title: Column) -> Column:
     return F.when(contains_any(t, ["principal", "staff"]), "staff").when(t.contains("senior"), "senior").when(contains_any(t, ["junior", "intern", "entry"]), "junior").otherwise("mid")
 
 
+def whole_skills(c: Column) -> Column:
+    """Skills as they are listed, lower-cased and without blanks; a skill of several words stays one."""
+    cleaned = F.transform(F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")), lambda x: F.lower(strip(x)))
+    return F.array_distinct(F.filter(cleaned, lambda x: x.isNotNull() & (x != "")))
+
+
+def employment_type(c: Column) -> Column:
+    """One of the known kinds, or unknown; blanks and hyphens count as underscores, case matters."""
+    kind = F.regexp_replace(text_or_null(c), "[- ]", "_")
+    return F.when(kind.isin(*EMPLOYMENT), kind).otherwise("unknown")
+
+
 def index_jobs(df: DataFrame) -> DataFrame:
-    """Canonical jobs with what matching needs: job_id, work_mode, seniority, employment_type, posted and tokens."""
+    """Canonical jobs with what matching needs: job_id, work_mode, seniority, employment_type, posted, skill_tokens and tokens.
+
+    A job without an id of its own gets one from what it says. Skills are whole strings; titles, companies,
+    places and descriptions are cut into tokens.
+    """
     have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    said = F.concat_ws("|", *[F.coalesce(have(c).cast("string"), F.lit("")) for c in ("source", "source_ref", "title", "company", "apply_url")])
-    kind = text_or_null(have("employment_type"))
-    return df.withColumns({
+    said = F.concat_ws("|", *[F.coalesce(have(c).cast("string"), F.lit("")) for c in ("title", "company", "location", "posted_at", "apply_url")])
+    skilled = F.array_union(whole_skills(F.col("skills")), F.array_union(tokens(F.col("title")), tokens(F.col("description_text"))))
+    indexed = df.withColumns({
         "job_id": F.coalesce(text_or_null(have("source_job_id")), text_or_null(have("id")), F.substring(F.sha2(said, 256), 1, 16)),
         "work_mode": work_mode(have("work_mode"), have("remote"), have("location")),
         "seniority": F.coalesce(text_or_null(have("seniority")), seniority(F.col("title"))),
-        "employment_type": F.coalesce(kind, F.lit("unknown")),
+        "employment_type": employment_type(have("employment_type")),
         "posted": timestamp(have("posted_at")),
-        "tokens": F.array_sort(F.array_distinct(F.concat(*[tokens(F.col(c)) for c in ("title", "company", "location", "description_text")], F.flatten(F.transform(F.coalesce("skills", F.array().cast("array<string>")), tokens))))),
+        "skill_tokens": F.array_sort(skilled),
     })
+    return indexed.withColumn("tokens", F.array_sort(F.array_union("skill_tokens", F.array_union(tokens(F.col("company")), tokens(F.col("location"))))))
+
 
+def postings(index: DataFrame, shards: int = 16, block: int = 4096) -> DataFrame:
+    """(token, shard, block, job_ids): the inverted index, in blocks of jobs.
 
-def postings(index: DataFrame, shards: int = 16) -> DataFrame:
-    """(token, shard, job_ids): the inverted index, a row for each token."""
-    each = index.select("job_id", F.explode("tokens").alias("token"))
+    A token's jobs are dealt to blocks by a hash of their ids: as many blocks as give about ``block`` jobs to
+    each, so that what one task gathers stays bounded however common the token is. Most tokens have one.
+    """
+    each = index.select("job_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)  # the few common ones
+    blocks = each.join(counted, "token", "left").withColumn("block", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("job_id"), F.ceil(F.col("n") / block))).cast("long"))
     shard = (F.conv(F.substring(F.sha2("token", 256), 1, 2), 16, 10).cast("int") % shards).alias("shard")
-    return each.groupBy("token").agg(F.array_sort(F.collect_set("job_id")).alias("job_ids")).select("token", shard, "job_ids")
+    return blocks.groupBy("token", "block").agg(F.array_sort(F.collect_set("job_id")).alias("job_ids")).select("token", shard, "block", "job_ids")
 
 
 def facets(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,13 +134,14 @@ def _eligible(c: Candidate) -> dict[str, Column]:
     yes = F.lit(True)
     place = F.lower(F.coalesce("location", F.lit("")))
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(x), F.lit("")) for x in ("title", "description_text", "description_html")]))
-    at = contains_any(place, list(c.locations)) | ((F.col("work_mode") == "remote") & F.lit("remote" in c.locations))
+    places = c.places()
+    at = contains_any(place, list(places)) | ((F.col("work_mode") == "remote") & F.lit("remote" in places))
     return {
-        "FILTER_LOCATION": at if c.locations else yes,
+        "FILTER_LOCATION": at if places else yes,
         "FILTER_WORK_MODE": F.lower(F.coalesce("work_mode", F.lit("unknown"))).isin(*c.work_modes) if c.work_modes else yes,
         "FILTER_EMPLOYMENT_TYPE": F.lower(F.coalesce("employment_type", F.lit("unknown"))).isin(*c.employment) if c.employment else yes,
         "FILTER_SALARY": F.coalesce(offered() >= c.salary_minimum, F.lit(False)) if c.salary_minimum is not None else yes,
-        "FILTER_VISA": ~contains_any(text, ["no sponsorship", "not sponsor"]) if c.requires_sponsorship else yes,
+        "FILTER_VISA": ~contains_any(text, list(NO_VISA)) if c.requires_sponsorship else yes,
     }
 
 
@@ -116,12 +154,12 @@ def signals(c: Candidate, now: str) -> dict[str, Column]:
     known = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
     ok = _eligible(c)
     title = tokens(F.col("title"))
-    likes = [F.size(F.array_intersect(title, tokens(F.lit(t)))) / F.size(F.array_union(title, tokens(F.lit(t)))) for t in c.titles]
+    likes = [F.size(F.array_intersect(title, known(t))) / F.size(F.array_union(title, known(t))) for t in c.title_tokens()]
     age = F.greatest(F.lit(0.0), (F.lit(now).cast("timestamp").cast("double") - F.col("posted").cast("double")) / 86400.0)
     pay = c.salary_minimum
     return {
         "skills": F.size(F.array_intersect(known(c.skills), F.col("tokens"))) / float(len(set(c.skills))) if c.skills else F.lit(0.5),
-        "title": (F.greatest(*likes, F.lit(0.0)) if likes else F.lit(0.5)).cast("double"),
+        "title": (F.greatest(*likes, F.lit(0.0), F.lit(0.0)) if c.titles else F.lit(0.5)).cast("double"),
         "location_work_mode": (ok["FILTER_LOCATION"].cast("int") + ok["FILTER_WORK_MODE"].cast("int")) / 2.0,
         "seniority": F.coalesce(F.lower(F.trim("seniority")).isin(*c.seniority), F.lit(False)).cast("double") if c.seniority else F.lit(0.5),
         "recency": F.coalesce(F.exp(-math.log(2.0) * age / HALF_LIFE_DAYS), F.lit(0.0)),
@@ -129,18 +167,32 @@ def signals(c: Candidate, now: str) -> dict[str, Column]:
     }
 
 
+def reasons(weights: dict[str, Column | float], limit: int) -> Column:
+    """The signals with the highest contributions, those that come first in the order among equals; figures have 6 places."""
+    six = lambda c: F.round(c, 6)
+    each = [F.struct((-six(F.col(f"signal_{k}") * w)).alias("order"), F.lit(n).alias("n"), F.lit(f"SIGNAL_{k.upper()}").alias("code"), six(F.col(f"signal_{k}")).alias("value"), six(F.lit(w) if isinstance(w, float) else w).alias("weight")) for n, (k, w) in enumerate(weights.items())]
+    return F.transform(F.slice(F.array_sort(F.array(*each)), 1, limit), lambda r: F.struct(r["code"].alias("code"), r["value"].alias("value"), r["weight"].alias("weight"), (-r["order"]).alias("contribution")))
+
+
+def missing_skills(c: Candidate) -> Column:
+    return F.array_sort(F.array_except(F.array(*[F.lit(s) for s in c.skills]).cast("array<string>"), F.col("skill_tokens")))
+
+
+def quality_flags(posted: Column | str = "posted_at") -> Column:
+    """Codes of what a job lacks."""
+    said = F.col(posted).isNotNull() if posted == "posted" else text_or_null(F.col(posted)).isNotNull()
+    lacks = {"MISSING_COMPANY": text_or_null(F.col("company")).isNull(), "MISSING_POSTED_AT": ~said, "MISSING_DESCRIPTION": text_or_null(F.col("description_text")).isNull()}
+    return F.array_compact(F.array(*[F.when(is_so, code) for code, is_so in lacks.items()]))
+
+
 def scored(index: DataFrame, c: Candidate, now: str, policy: Policy | None = None, multipliers: dict[str, float] | None = None) -> DataFrame:
-    """All jobs with exclude_reasons, score, signals and match_reasons (highest contributions first)."""
+    """All jobs with exclude_reasons, score (6 places), signals, match_reasons, required_missing_skills and quality_flags."""
     policy = policy or Policy()
     weights = {k: w * (multipliers or {}).get(k, 1.0) for k, w in policy.normalized().items()}
-    values = signals(c, now)
-    out = index.withColumns({"exclude_reasons": exclusions(c), **{f"signal_{k}": v for k, v in values.items()}})
+    out = index.withColumns({"exclude_reasons": exclusions(c), **{f"signal_{k}": v for k, v in signals(c, now).items()}})
     total = sum((F.col(f"signal_{k}") * w for k, w in weights.items()), F.lit(0.0))
-    reasons = F.array(*[F.struct((-F.round(F.col(f"signal_{k}") * w, 6)).alias("order"), F.lit(n).alias("n"), F.lit(f"SIGNAL_{k.upper()}").alias("code"), F.col(f"signal_{k}").alias("value"), F.lit(w).alias("weight")) for n, (k, w) in enumerate(weights.items())])
-    best = F.transform(F.slice(F.array_sort(reasons), 1, policy.reason_limit), lambda r: F.struct(r["code"].alias("code"), r["value"].alias("value"), r["weight"].alias("weight"), (-r["order"]).alias("contribution")))
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(s) for s in c.skills]).cast("array<string>"), F.col("tokens")))
-    flags = F.array_compact(F.array(*[F.when(text_or_null(F.col(k)).isNull(), f"MISSING_{n}") for k, n in (("company", "COMPANY"), ("posted_at", "POSTED_AT"), ("description_text", "DESCRIPTION"))]))
-    return out.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), "match_reasons": best, "required_missing_skills": missing, "quality_flags": flags})
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
+    return out.withColumns({"score": score, "match_reasons": reasons(weights, policy.reason_limit), "required_missing_skills": missing_skills(c), "quality_flags": quality_flags()})
 
 
 def best_matches(index: DataFrame, c: Candidate, now: str, top_k: int = 25, **more) -> DataFrame:
@@ -157,6 +209,25 @@ def relevance(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (10,
     return each.groupBy(F.col("s.k").alias("k")).agg(F.avg(F.col("s.h") / F.col("s.k")).alias("precision"), F.avg(F.col("s.h") / F.col("all")).alias("recall"))
 
 
+#: The least precision and recall that an evaluation must reach.
+LEAST = {("precision", 10): 0.60, ("recall", 25): 0.70}
+
+
+def relevance_checks(measured: DataFrame, least: dict[tuple[str, int], float] | None = None) -> DataFrame:
+    """(code, value, least, status) of a table of relevance; a figure that wasn't measured counts as 0."""
+    least = least or LEAST
+    row = measured.agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.round(name, 6))), F.lit(0.0)).alias(f"{name}_{k}") for name, k in least])
+    checks = [F.struct(F.lit(f"EVAL_{name.upper()}_AT_{k}_BELOW_THRESHOLD").alias("code"), F.col(f"{name}_{k}").alias("value"), F.lit(limit).alias("least"), F.when(F.col(f"{name}_{k}") < limit, "fail").otherwise("pass").alias("status")) for (name, k), limit in least.items()]
+    return row.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+
+
+def index_summary(index: DataFrame) -> DataFrame:
+    """One row: jobs and per cent (4 places) with a company, a date and a description; 0 of an empty index."""
+    n = F.count(F.lit(1))
+    pct = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(text_or_null(F.col(c)).isNotNull()) * 100.0, n), F.lit(0.0)), 4).alias(f"{c}_non_null_pct")
+    return index.agg(n.alias("row_count"), *[pct(c) for c in ("company", "posted_at", "description_text")])
+
+
 def feedback_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("profile_id", "event").agg(F.count(F.lit(1)).alias("count"))
 

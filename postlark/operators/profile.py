@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import timestamp
+from ..functions.text import strip, timestamp
 
 #: What stands for nothing, and the weights of the default quality profile.
 SENTINELS = ("unknown", "n/a", "na", "none", "null")
 CORE_WEIGHTS = {"title": 3.0, "company": 2.5, "description_text": 3.0, "apply_url": 2.5, "source": 1.5, "location": 1.5, "remote": 1.0, "posted_at": 1.5}
+STRICT_WEIGHTS = {
+    "title": 2.0, "company": 2.0, "description_text": 2.0, "apply_url": 1.5, "location": 2.0, "remote": 1.5, "posted_at": 1.5,
+    "salary_min": 2.0, "salary_max": 2.0, "salary_currency": 1.0, "salary_interval": 1.0, "employment_type": 1.0,
+}
+
+
+def quality_weights(profile: str = "core_fields_weighted", columns: list[str] | None = None, overrides: dict[str, float] | None = None) -> dict[str, float]:
+    """The weights of a named profile (core_fields_weighted, strict_recruiting, equal_weight_all), some replaced or added."""
+    named = {"core_fields_weighted": CORE_WEIGHTS, "strict_recruiting": STRICT_WEIGHTS, "equal_weight_all": dict.fromkeys(columns or (), 1.0)}
+    if profile not in named:
+        raise ValueError(f"no quality profile {profile!r}")
+    weights = named[profile] | (overrides or {})
+    if sum(weights.values()) <= 0:
+        raise ValueError("the weights of a quality score must have a positive sum")
+    return dict(sorted(weights.items()))
 
 
 def long_form(row: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
@@ -17,9 +32,14 @@ def long_form(row: DataFrame, names: list[str], key: str, value: str) -> DataFra
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias(key), F.col(f"`{n}`").alias(value)) for n in names])).alias("s")).select("s.*")
 
 
+def _percent(count: Column) -> Column:
+    """Of all rows; 0 where there are none."""
+    return F.coalesce(F.try_divide(count * 100.0, F.count(F.lit(1))), F.lit(0.0))
+
+
 def null_percentages(df: DataFrame) -> DataFrame:
-    """(column, null_pct) of all columns, in one pass."""
-    row = df.agg(*[(F.count_if(F.col(c).isNull()) * 100.0 / F.count(F.lit(1))).alias(c) for c in df.columns])
+    """(column, null_pct) of all columns, in one pass; 0 of an empty frame."""
+    row = df.agg(*[_percent(F.count_if(F.col(c).isNull())).alias(c) for c in df.columns])
     return long_form(row, df.columns, "column", "null_pct")
 
 
@@ -27,7 +47,7 @@ def quality_score(df: DataFrame, weights: dict[str, float] | None = None) -> Dat
     """One row: rows and 100 less the weighted per cent of nulls. Weighted columns that are absent are all null; an empty frame has 100."""
     weights = weights or CORE_WEIGHTS
     n = F.count(F.lit(1))
-    parts = [F.lit(w) * (F.count_if(F.col(c).isNull()) * 100.0 / n if c in df.columns else F.lit(100.0)) for c, w in weights.items()]
+    parts = [F.lit(w) * (_percent(F.count_if(F.col(c).isNull())) if c in df.columns else F.lit(100.0)) for c, w in weights.items()]
     nulls = sum(parts[1:], parts[0]) / sum(weights.values())
     return df.agg(n.alias("row_count"), F.when(n == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - nulls))).alias("score_percent"))
 
@@ -65,27 +85,55 @@ def consistency(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.groupBy(by).agg(*counts) if by else df.agg(*counts)
 
 
-def quality_by_source(df: DataFrame, worst: int = 3) -> DataFrame:
-    """Weighted score of each source and its fields with the most nulls, in one grouping."""
-    names = [c for c in CORE_WEIGHTS if c in df.columns and c != "source"]
-    own = {c: CORE_WEIGHTS[c] for c in names}
-    grouped = df.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *[(F.count_if(F.col(c).isNull()) * 100.0 / F.count(F.lit(1))).alias(f"_{c}") for c in names])
-    nulls = sum((F.col(f"_{c}") * w for c, w in own.items()), F.lit(0.0)) / sum(own.values())
-    order = F.array_sort(F.array(*[F.struct((-F.col(f"_{c}")).alias("p"), F.lit(c).alias("c")) for c in names]))
-    return grouped.select("source", "rows", (100.0 - nulls).alias("score_percent"), F.transform(F.slice(order, 1, worst), lambda s: s["c"]).alias("worst_fields"))
+def consistency_of_both(raw: DataFrame, runtime: DataFrame) -> DataFrame:
+    """By source: rows of both frames, raw rows whose title is their company, runtime rows with inverted salaries, and per cents of each."""
+    named = lambda df: df.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("<null>")))
+    a = named(raw).groupBy("source").agg(F.count(F.lit(1)).alias("rows_raw"), F.count_if(strip(F.col("title")) == strip(F.col("company"))).alias("title_is_company"))
+    b = named(runtime).groupBy("source").agg(F.count(F.lit(1)).alias("rows_runtime"), F.count_if(F.col("salary_min") > F.col("salary_max")).alias("salary_inverted"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    pct = lambda c, n: F.round(F.coalesce(F.try_divide(F.col(c) * 100.0, F.col(n)), F.lit(0.0)), 4)
+    both = a.join(b, "source", "full").select("source", *[zero(c) for c in ("rows_raw", "rows_runtime", "title_is_company", "salary_inverted")])
+    return both.withColumns({"title_is_company_pct": pct("title_is_company", "rows_raw"), "salary_inverted_pct": pct("salary_inverted", "rows_runtime")})
+
+
+def quality_by_source(df: DataFrame, worst: int = 3, weights: dict[str, float] | None = None) -> DataFrame:
+    """Weighted score of each source and its fields with the most nulls, in one grouping; absent fields are all null."""
+    weights = {c: w for c, w in sorted((weights or CORE_WEIGHTS).items()) if w > 0}
+    named = df.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("<null>")))
+    pct = lambda c: _percent(F.count_if(F.col(c).isNull())) if c in df.columns else F.lit(100.0)
+    grouped = named.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *[pct(c).alias(f"_{c}") for c in weights])
+    nulls = sum((F.col(f"_{c}") * w for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    order = F.array_sort(F.array(*[F.struct((-F.col(f"_{c}")).alias("p"), F.lit(c).alias("c")) for c in weights]))
+    return grouped.select("source", "rows", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - nulls)).alias("score_percent"), F.transform(F.slice(order, 1, worst), lambda s: s["c"]).alias("worst_fields"))
+
+
+def key_fields(df: DataFrame, fields: tuple[str, ...] = ("id", "title", "company", "location", "remote", "description_text", "posted_at", "apply_url")) -> DataFrame:
+    """(field, non_null_count, non_null_pct), 4 places; absent fields have 0."""
+    row = df.agg(*[F.struct(F.lit(c).alias("field"), (F.count(c) if c in df.columns else F.lit(0)).cast("long").alias("non_null_count"), F.round(_percent(F.count(c)) if c in df.columns else F.lit(0.0), 4).alias("non_null_pct")).alias(c) for c in fields])
+    return row.select(F.explode(F.array(*[F.col(f"`{c}`") for c in fields])).alias("s")).select("s.*")
+
+
+def high_sentinels(df: DataFrame, limit: int = 10) -> DataFrame:
+    """(column, sentinel_pct) of the columns with the largest share of words that stand for nothing."""
+    row = df.agg(*[_percent(F.count_if(F.lower(F.trim(F.col(c).cast("string"))).isin(*SENTINELS))).alias(c) for c in df.columns])
+    return long_form(row, df.columns, "column", "sentinel_pct").where("sentinel_pct > 0").orderBy(F.desc("sentinel_pct"), "column").limit(limit)
+
+
+#: Ranges that the distinct values of a column are cut into.
+RANGES = 64
 
 
 def deciles(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, quantile, value): the value nearest to each tenth of the sorted rows.
 
-    Values are counted first and ranks come from running sums over sorted ranges of values, so no task
-    needs all rows of a column.
+    Distinct values are counted first. They are cut into ranges of about equal numbers of distinct values,
+    whatever their spread; ranks come from running sums over the ranges and then within each, so no task
+    needs all values of a column.
     """
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")).select("s.*").where("value is not null")
     counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    # ranges of values: first sums of each, then places within
-    edges = values.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("total"))
-    placed = counted.join(F.broadcast(edges), "column").withColumn("slot", F.when(F.col("high") > F.col("low"), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * 255)).otherwise(0))
+    cuts = counted.groupBy("column").agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"), F.sum("n").alias("total"))
+    placed = counted.join(F.broadcast(cuts), "column").withColumn("slot", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     slots = placed.groupBy("column", "slot").agg(F.sum("n").alias("m"))
     before = slots.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("column").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
     within = placed.join(F.broadcast(before), ["column", "slot"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column", "slot").orderBy("value")))
@@ -101,8 +149,17 @@ def distribution_with_rest(df: DataFrame, column: str, k: int = 50) -> DataFrame
     return top.unionByName(rest)
 
 
+def _time(df: DataFrame, column: str) -> Column:
+    return F.col(column) if dict(df.dtypes)[column].startswith("timestamp") else timestamp(F.col(column))
+
+
+def time_range(df: DataFrame, column: str) -> DataFrame:
+    """One row: the first and the last time that can be read, null if none."""
+    return df.agg(F.min(_time(df, column)).alias("first"), F.max(_time(df, column)).alias("last"))
+
+
 def monthly(df: DataFrame, column: str) -> DataFrame:
-    when = F.col(column) if dict(df.dtypes)[column].startswith("timestamp") else timestamp(F.col(column))
+    when = _time(df, column)
     return df.select(F.date_format(when, "yyyy-MM").alias("month")).where("month is not null").groupBy("month").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -116,28 +173,39 @@ def null_diff(base: DataFrame, candidate: DataFrame) -> DataFrame:
     return a.join(b, "column", "full").select("column", zero("base_pct").alias("base_pct"), zero("candidate_pct").alias("candidate_pct"), (zero("candidate_pct") - zero("base_pct")).alias("delta_pct"))
 
 
-def jensen_shannon(base: DataFrame, candidate: DataFrame, column: str) -> DataFrame:
-    """One row: the divergence of a column's distributions, natural logarithm."""
+def source_diff(base: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Two source_profile tables side by side: figures of both, 0 where a source is absent, and what changed."""
+    names = ("rows", "posted_at_pct", "remote_pct")
+    a, b = (df.select("source", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side, df in (("base", base), ("candidate", candidate)))
+    filled = a.join(b, "source", "full").na.fill(0)
+    return filled.withColumns({f"delta_{c}": F.col(f"candidate_{c}") - F.col(f"base_{c}") for c in names})
+
+
+def jensen_shannon(base: DataFrame, candidate: DataFrame, column: str, k: int = 50) -> DataFrame:
+    """One row: the divergence of a column's distributions, natural logarithm.
+
+    Of either frame the k most frequent values count as such and all others as one. Null if a frame is empty.
+    """
     tiny = 1e-12
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        total = df.agg(F.count(F.lit(1)).alias("total"))
-        counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("__null__")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        return counts.crossJoin(F.broadcast(total)).select("value", (F.col("n") / F.col("total")).alias(name))
+        counts = distribution_with_rest(df, column, k)
+        total = counts.agg(F.sum("count").alias("total"))
+        return counts.crossJoin(F.broadcast(total)).select("value", (F.col("count") / F.col("total")).alias(name))
 
     both = shares(base, "p").join(shares(candidate, "q"), "value", "full").select(F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.ln((F.col(c) + tiny) / (F.col("m") + tiny))).otherwise(0.0)
-    return both.agg((0.5 * F.sum(part("p")) + 0.5 * F.sum(part("q"))).alias("jsd"))
+    return both.agg(F.when((F.sum("p") > 0) & (F.sum("q") > 0), 0.5 * F.sum(part("p")) + 0.5 * F.sum(part("q"))).alias("jsd"))
 
 
 def stability_index(base: DataFrame, candidate: DataFrame, column: str) -> DataFrame:
-    """One row: the population stability index between decile curves, 22 values in all."""
+    """One row: the population stability index between decile curves, 22 values in all; null if a frame has no values."""
     tiny = 1e-9
     curve = lambda df, name: deciles(df, [column]).groupBy().agg(F.array_sort(F.collect_list(F.struct("quantile", "value"))).alias(name))
 
     def below(c: Column, v: Column) -> Column:
         """The share of a curve at or below a value; straight lines between its points."""
-        first, last = F.element_at(c, 1), F.element_at(c, -1)
+        first, last = F.get(c, F.lit(0)), F.try_element_at(c, F.lit(-1))
         points = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         at = F.get(F.filter(points, lambda s: v < s["b"]["value"]), F.lit(0))
         return F.when(v < first["value"], first["quantile"]).otherwise(F.coalesce(at["a"]["quantile"] + (v - at["a"]["value"]) / (at["b"]["value"] - at["a"]["value"]) * (at["b"]["quantile"] - at["a"]["quantile"]), last["quantile"]))
@@ -150,4 +218,5 @@ def stability_index(base: DataFrame, candidate: DataFrame, column: str) -> DataF
         a, b = F.greatest(p, F.lit(tiny)), F.greatest(q, F.lit(tiny))
         return F.when((p <= tiny) & (q <= tiny), 0.0).otherwise((a - b) * F.ln(a / b))
 
-    return both.select(F.aggregate(F.transform(F.sequence(F.lit(1), F.size("x") - 1), part), F.lit(0.0), lambda s, v: s + v).alias("psi"))
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("x") - 1), part), F.lit(0.0), lambda s, v: s + v)
+    return both.select(F.when((F.size("x") > 1) & (F.size("y") > 1), total).alias("psi"))

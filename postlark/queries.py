@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import catalog, contract, matching, profile, stages
+from .operators import catalog, contract, eda, ingest, matching, profile, publish, reliability, run, stages
 from .plans.jobs import JOBS_SQL, jobs
+from .plans.records import AT, NORMALIZED_SQL, REF, raw_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 NOW = "2026-01-15 00:00:00"
-CANDIDATE = matching.Candidate(skills=("python", "sql"), titles=("data engineer", "ml engineer"), locations=("en", "remote"), work_modes=("remote",), seniority=("senior", "staff"), salary_minimum=20000.0, requires_sponsorship=True)
+CANDIDATE = matching.Candidate(skills=("python", "sql", "c++", "machine learning"), titles=("data engineer", "ml engineer", "C"), locations=("en",), work_modes=("remote",), seniority=("senior", "staff"), salary_minimum=20000.0, requires_sponsorship=True, authorized_locations=("fr", "remote"))
 
 
 def query(sql: str | None = None):
@@ -42,7 +43,7 @@ LABEL_SQL = f"""{CLEAN_SQL}, labelled as (select *,
 RATE_SQL = f"""{LABEL_SQL}, rated as (select *, (1 + (company is not null)::int + (description_text <> '')::int + (apply_url <> '')::int) / 4.0::double as rate_completeness, least(1.0::double, length(description_text) / 1500.0::double) as rate_quality from labelled)"""
 
 
-@query(f"with {JOBS_SQL} select id, remote, skills, salary_min, salary_max, posted_at from jobs")
+@query(f"with {JOBS_SQL} select id, remote, list_filter(list_transform(skills, lambda s: trim(s)), lambda s: s <> '') as skills, salary_min, salary_max, posted_at from jobs")
 def normalize_contract(spark, sf_dir):
     """Columns made text again, then brought onto the canonical types."""
     raw = jobs(spark, sf_dir).withColumns({"remote": F.when(F.col("remote"), " Yes ").otherwise("onsite"), "skills": F.array_join("skills", " , "), "salary_min": F.format_number("salary_min", 1)})
@@ -130,9 +131,21 @@ def consistency_by_source(spark, sf_dir):
     return profile.consistency(jobs(spark, sf_dir), by="source")
 
 
-@query(f"with {JOBS_SQL} select source, count(*) as rows, 100 - (2.5 * avg(100.0 * (company is null)::int) + 1.5 * avg(100.0 * (posted_at is null)::int)) / 15.0 as score_percent from jobs group by source")
+@query(f"""with {JOBS_SQL}, n as (select source, count(*) as rows, avg(100.0 * (company is null)::int) as c, avg(100.0 * (posted_at is null)::int) as p from jobs group by source)
+    select source, rows, 100 - (2.5 * c + 1.5 * p) / 16.5 as score_percent, array_to_string(list_transform(list_slice(list_sort([{{'p': -c, 'c': 'company'}}, {{'p': -p, 'c': 'posted_at'}}, {{'p': 0.0, 'c': 'apply_url'}}, {{'p': 0.0, 'c': 'description_text'}}, {{'p': 0.0, 'c': 'location'}}]), 1, 3), lambda x: x.c), ',') as worst_fields from n""")
 def quality_by_source(spark, sf_dir):
-    return profile.quality_by_source(jobs(spark, sf_dir)).drop("worst_fields")
+    return profile.quality_by_source(jobs(spark, sf_dir)).withColumn("worst_fields", F.array_join("worst_fields", ","))
+
+
+_SHARES = "avg(100.0 * (company is null)::int) as company, avg(100.0 * (posted_at is null)::int) as posted_at, avg(100.0 * (salary_min is null)::int) as salary_min, avg(100.0 * (salary_max is null)::int) as salary_max, avg(100.0 * (description_html is null)::int) as html"
+
+
+@query(f"with {JOBS_SQL}, n as (select count(*) as row_count, {_SHARES} from jobs) select 'strict_recruiting' as profile, row_count, 100 - (2 * company + 1.5 * posted_at + 2 * salary_min + 2 * salary_max + 3 * 100) / 19.5 as score_percent from n union all select 'equal_weight_all', row_count, 100 - (company + posted_at + salary_min + salary_max + html) / 14.0 from n union all select 'overridden', row_count, 100 - (10 * company + 1.5 * posted_at) / 24.0 from n")
+def quality_profiles(spark, sf_dir):
+    j = jobs(spark, sf_dir)
+    named = {"strict_recruiting": profile.quality_weights("strict_recruiting"), "equal_weight_all": profile.quality_weights("equal_weight_all", j.columns), "overridden": profile.quality_weights(overrides={"company": 10.0})}
+    parts = [profile.quality_score(j, w).withColumn("profile", F.lit(n)) for n, w in named.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""with ranked as (select 'l_extendedprice' as column, l_extendedprice as value, row_number() over (order by l_extendedprice) - 1 as k, count(*) over () as n from lineitem
@@ -162,7 +175,19 @@ def drift_jsd(spark, sf_dir):
     return profile.jensen_shannon(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_orderpriority")
 
 
-@query()
+_PSI_SQL = """with r as (select o_orderkey % 2 as side, o_totalprice as v, row_number() over (partition by o_orderkey % 2 order by o_totalprice) - 1 as k, count(*) over (partition by o_orderkey % 2) as n from orders),
+    curve as (select side, q, v from r join range(11) t(q) on k = floor(q / 10.0::double * (n - 1) + 0.5)),
+    x as (select q, v, lag(v) over (order by q) as u from curve where side = 0),
+    segs as (select side, q / 10.0::double as b_q, v as b, lag(q) over (partition by side order by q) / 10.0::double as a_q, lag(v) over (partition by side order by q) as a from curve),
+    points as (select distinct q, e from (select q, v as e from x where q > 0 union all select q, u from x where q > 0)),
+    below as (select s.side, p.q, p.e, case when p.e < (select min(v) from curve c where c.side = s.side) then 0.0
+        else coalesce((select a_q + (p.e - a) / (b - a) * (b_q - a_q) from segs g where g.side = s.side and g.a is not null and p.e < g.b order by g.b_q limit 1), 1.0) end as f from points p, (select distinct side from curve) s),
+    shares as (select x.q, hi0.f - lo0.f as p, hi1.f - lo1.f as c from x join below hi0 on hi0.side = 0 and hi0.q = x.q and hi0.e = x.v join below lo0 on lo0.side = 0 and lo0.q = x.q and lo0.e = x.u
+        join below hi1 on hi1.side = 1 and hi1.q = x.q and hi1.e = x.v join below lo1 on lo1.side = 1 and lo1.q = x.q and lo1.e = x.u where x.q > 0)
+    select sum(case when p <= 1e-9 and c <= 1e-9 then 0 else (greatest(p, 1e-9) - greatest(c, 1e-9)) * ln(greatest(p, 1e-9) / greatest(c, 1e-9)) end) as psi from shares"""
+
+
+@query(_PSI_SQL)
 def drift_psi(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     return profile.stability_index(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_totalprice")
@@ -175,10 +200,11 @@ def null_diff(spark, sf_dir):
 
 
 @query("""with t as (select doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2))) as token from documents)
-    select token, (('0x' || substr(sha256(token), 1, 2))::int) % 16 as shard, list_sort(list(doc_id::varchar)) as job_ids from t group by token""")
+    select token, (('0x' || substr(sha256(token), 1, 2))::int) % 16 as shard, doc_id::varchar as job_id from t""")
 def token_postings(spark, sf_dir):
+    """The jobs of all blocks, a row each."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"), text.tokens(F.col("text")).alias("tokens"))
-    return matching.postings(docs)
+    return matching.postings(docs).select("token", "shard", F.explode("job_ids").alias("job_id"))
 
 
 @query("select 'c_mktsegment' as name, lower(trim(c_mktsegment)) as value, count(*) as count from customer group by 2 union all select 'c_nationkey', c_nationkey::varchar, count(*) from customer group by 2")
@@ -186,16 +212,27 @@ def facets(spark, sf_dir):
     return matching.facets(read(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"])
 
 
-_INDEX_SQL = f"""{JOBS_SQL}, ix as (select *, case when remote or contains(lower(location), 'remote') then 'remote' else 'onsite' end as work_mode,
+_SQL_TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 2)"
+_SKILLS = "['python', 'sql', 'c++', 'machine learning']"
+_INDEX_SQL = f"""{JOBS_SQL}, tok as (select *, case when remote or contains(lower(location), 'remote') then 'remote' else 'onsite' end as work_mode,
     case when contains(lower(title), 'principal') or contains(lower(title), 'staff') then 'staff' when contains(lower(title), 'senior') then 'senior' when contains(lower(title), 'intern') then 'junior' else 'mid' end as seniority,
-    greatest(salary_min, salary_max) as pay, lower(title || ' ' || coalesce(company, '') || ' ' || location || ' ' || description_text || ' ' || array_to_string(skills, ' ')) as said from jobs),
-    sig as (select *, (contains(lower(location), 'en') or work_mode = 'remote') as ok_place, work_mode = 'remote' as ok_mode, coalesce(pay >= 20000, false) as ok_pay,
-        (len(list_filter(['python', 'sql'], lambda s: list_contains(regexp_extract_all(said, '[a-z0-9]+'), s)))) / 2.0::double as s_skills,
+    greatest(salary_min, salary_max) as pay, list_distinct({_SQL_TOKENS.format("title")}) as tt,
+    list_sort(list_distinct(list_concat({_SQL_TOKENS.format("title || ' ' || description_text")}, list_filter(list_transform(skills, lambda s: lower(trim(s))), lambda s: s <> '')))) as skill_tokens from jobs),
+    ix as (select *, list_sort(list_distinct(list_concat(skill_tokens, {_SQL_TOKENS.format("coalesce(company, '') || ' ' || location")}))) as tokens from tok),
+    sig as (select *, (contains(lower(location), 'en') or contains(lower(location), 'fr') or work_mode = 'remote') as ok_place, work_mode = 'remote' as ok_mode, coalesce(pay >= 20000, false) as ok_pay,
+        len(list_filter({_SKILLS}, lambda s: list_contains(tokens, s))) / 4.0::double as s_skills,
         greatest(len(list_intersect(['data', 'engineer'], tt)) / len(list_distinct(list_concat(['data', 'engineer'], tt)))::double, len(list_intersect(['ml', 'engineer'], tt)) / len(list_distinct(list_concat(['ml', 'engineer'], tt)))::double) as s_title,
         case when seniority in ('senior', 'staff') then 1.0 else 0.0 end as s_level,
         coalesce(exp(-ln(2) * greatest(0, epoch(timestamp '{NOW}' - posted_at::timestamp) / 86400.0::double) / 90), 0) as s_age,
-        case when pay is null then 0.0 when pay >= 20000 then 1.0 else pay / 20000 end as s_pay
-        from (select *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: length(x) >= 2)) as tt from ix))"""
+        case when pay is null then 0.0 when pay >= 20000 then 1.0 else pay / 20000 end as s_pay from ix),
+    total as (select *, (ok_place::int + ok_mode::int) / 2.0::double as s_place, round(least(1, 0.35 * s_skills + 0.2 * s_title + 0.15 * (ok_place::int + ok_mode::int) / 2.0 + 0.1 * s_level + 0.1 * s_age + 0.1 * s_pay), 6) as score,
+        list_filter({_SKILLS}, lambda s: not list_contains(skill_tokens, s)) as lacks,
+        list_filter([case when company is null then 'MISSING_COMPANY' end, case when posted_at is null then 'MISSING_POSTED_AT' end], lambda x: x is not null) as flags from sig)"""
+
+
+@query(f"with {_INDEX_SQL} select id as job_id, skill_tokens, tokens from ix")
+def index_tokens(spark, sf_dir):
+    return matching.index_jobs(jobs(spark, sf_dir)).select("job_id", "skill_tokens", "tokens")
 
 
 @query(f"with {_INDEX_SQL} select id as job_id, list_filter([case when not ok_place then 'FILTER_LOCATION' end, case when not ok_mode then 'FILTER_WORK_MODE' end, case when not ok_pay then 'FILTER_SALARY' end], lambda x: x is not null) as exclude_reasons from sig")
@@ -203,19 +240,68 @@ def hard_filters(spark, sf_dir):
     return matching.scored(matching.index_jobs(jobs(spark, sf_dir)), CANDIDATE, NOW).select("job_id", "exclude_reasons")
 
 
-@query(f"with {_INDEX_SQL} select id as job_id, 0.35 * s_skills + 0.2 * s_title + 0.15 * (ok_place::int + ok_mode::int) / 2.0 + 0.1 * s_level + 0.1 * s_age + 0.1 * s_pay as score from sig")
+@query(f"with {_INDEX_SQL} select id as job_id, score from total")
 def match_scores(spark, sf_dir):
     return matching.scored(matching.index_jobs(jobs(spark, sf_dir)), CANDIDATE, NOW).select("job_id", "score")
 
 
-@query(f"with {_INDEX_SQL} select id as job_id, 0.35 * s_skills + 0.2 * s_title + 0.15 + 0.1 * s_level + 0.1 * s_age + 0.1 * s_pay as score from sig where ok_place and ok_mode and ok_pay order by round(score, 12) desc, posted_at desc nulls last, id limit 25")
+@query(f"with {_INDEX_SQL} select id as job_id, score from total where ok_place and ok_mode and ok_pay order by score desc, posted_at desc nulls last, id limit 25")
 def match_jobs(spark, sf_dir):
     return matching.best_matches(matching.index_jobs(jobs(spark, sf_dir)), CANDIDATE, NOW).select("job_id", "score")
 
 
-@query()
+_SQL_REASONS = """list_transform(list_slice(list_sort([
+        {{'o': -round(s_skills * w_skills, 6), 'n': 0, 'code': 'SIGNAL_SKILLS', 'value': round(s_skills, 6), 'weight': round(w_skills, 6)}},
+        {{'o': -round(s_title * w_title, 6), 'n': 1, 'code': 'SIGNAL_TITLE', 'value': round(s_title, 6), 'weight': round(w_title, 6)}},
+        {{'o': -round(s_place * w_place, 6), 'n': 2, 'code': 'SIGNAL_LOCATION_WORK_MODE', 'value': round(s_place, 6), 'weight': round(w_place, 6)}},
+        {{'o': -round(s_level * w_level, 6), 'n': 3, 'code': 'SIGNAL_SENIORITY', 'value': round(s_level, 6), 'weight': round(w_level, 6)}},
+        {{'o': -round(s_age * w_age, 6), 'n': 4, 'code': 'SIGNAL_RECENCY', 'value': round(s_age, 6), 'weight': round(w_age, 6)}},
+        {{'o': -round(s_pay * w_pay, 6), 'n': 5, 'code': 'SIGNAL_COMPENSATION', 'value': round(s_pay, 6), 'weight': round(w_pay, 6)}}]), 1, 3), lambda r: {{'code': r.code, 'value': r.value, 'weight': r.weight, 'contribution': -r.o}})"""
+_WEIGHTS_SQL = "0.35::double as w_skills, 0.2::double as w_title, 0.15::double as w_place, 0.1::double as w_level, 0.1::double as w_age, 0.1::double as w_pay"
+
+
+def _reason_rows(df):
+    """Reasons a row each: comparing nested structs would compare their printing."""
+    return df.select("job_id", F.array_join("required_missing_skills", ",").alias("missing"), F.array_join("quality_flags", ",").alias("flags"), F.posexplode("match_reasons").alias("pos", "r")).select("job_id", "missing", "flags", "pos", "r.code", "r.value", "r.weight", "r.contribution")
+
+
+_REASON_SQL = "select job_id, missing, flags, unnest(range(3))::int as pos, unnest(rs).code as code, unnest(rs).value as value, unnest(rs).weight as weight, unnest(rs).contribution as contribution from (select id as job_id, array_to_string(list_sort(lacks), ',') as missing, array_to_string(flags, ',') as flags, {reasons} as rs from {frm})"
+
+
+@query(f"with {_INDEX_SQL} " + _REASON_SQL.format(reasons=_SQL_REASONS.format(), frm=f"(select *, {_WEIGHTS_SQL} from total)"))
 def match_reasons(spark, sf_dir):
-    return matching.scored(matching.index_jobs(jobs(spark, sf_dir)), CANDIDATE, NOW).select("job_id", "match_reasons", "required_missing_skills", "quality_flags")
+    return _reason_rows(matching.scored(matching.index_jobs(jobs(spark, sf_dir)), CANDIDATE, NOW))
+
+
+#: A candidate as a caller would send it, and a policy that overrides two weights.
+CANDIDATE_JSON = """{"profile_id": "P1", "skills": ["Python", "SQL", "c++", "machine learning"], "titles": ["Data Engineer", "ML-Engineer"], "locations": ["en"], "work_mode_preferences": ["remote"], "seniority_targets": ["senior", "staff"],
+    "salary_targets": {"minimum": 20000}, "visa_work_auth": {"requires_sponsorship": "true", "authorized_locations": ["fr", "remote"]}}"""
+POLICY_JSON = """{"weights": {"skills": 0.45, "title": "0.1", "recency": "x"}, "reason_limit": "3"}"""
+_PUBLISHED_SQL = f"""{_INDEX_SQL}, pub as (select * replace (case when len(list_intersect(['data', 'engineer', 'ml'], tt)) > 0 then 1.0::double else 0.0 end as s_title,
+        case when not ok_place and not ok_mode then 0.0::double when ok_place and ok_mode and ok_pay then 1.0 else 0.5 end as s_place,
+        len(list_filter({_SKILLS}, lambda s: list_contains(skill_tokens, s))) / 4.0::double as s_skills, least(1.0::double, s_age) as s_age),
+        0.45 * 1.2::double as w_skills, 0.1::double as w_title, 0.15 * 0.5::double as w_place, 0.1::double as w_level, 0.1::double as w_age, 0.1::double as w_pay, not (ok_place and ok_mode and ok_pay) as excluded from total),
+    ranked as (select * replace (case when excluded then 0.0 else round(least(1, s_skills * w_skills + s_title * w_title + s_place * w_place + s_level * w_level + s_age * w_age + s_pay * w_pay), 6) end as score) from pub order by excluded, score desc, posted_at desc nulls last, id limit 400)"""
+
+
+def _published(spark, sf_dir):
+    """Ranked jobs with a profile's multipliers, one of which is clamped; another entry has expired."""
+    live, features = publish.job_features(jobs(spark, sf_dir))
+    c, policy = publish.candidate_from_json(CANDIDATE_JSON, POLICY_JSON)
+    rows = [("p1", {"skills": 1.2, "location_work_mode": 0.2}, None), ("p2", {"skills": 0.5}, None), ("p1", {"title": 1.4}, "2026-01-01 00:00:00")]
+    weights = spark.createDataFrame(rows, "profile_id string, multipliers map<string,double>, expires_at string").withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    return publish.ranked_jobs(live, features, c, NOW, policy, weights, top_k=400, include_excluded=True)
+
+
+@query(f"with {_PUBLISHED_SQL} select id as job_id, score, array_to_string(list_sort(lacks), ',') as missing, apply_url, posted_at, source, array_to_string(flags, ',') as flags, excluded, concat_ws(',', case when not ok_place then 'FILTER_LOCATION' end, case when not ok_mode then 'FILTER_WORK_MODE' end, case when not ok_pay then 'FILTER_SALARY' end) as exclude_reasons from ranked")
+def match_jobs_v1(spark, sf_dir):
+    joined = lambda c, n: F.array_join(c, ",").alias(n)
+    return _published(spark, sf_dir).select("job_id", "score", joined("required_missing_skills", "missing"), "apply_url", F.date_format("posted_at", "yyyy-MM-dd").alias("posted_at"), "source", joined("quality_flags", "flags"), "excluded", joined("exclude_reasons", "exclude_reasons"))
+
+
+@query(f"with {_PUBLISHED_SQL} " + _REASON_SQL.format(reasons=_SQL_REASONS.format(), frm="ranked"))
+def match_jobs_v1_reasons(spark, sf_dir):
+    return _reason_rows(_published(spark, sf_dir))
 
 
 @query("""with r as (select user_id as case_id, event_id as job_id, row_number() over (partition by user_id order by value desc, event_id) as rank from events),
@@ -305,3 +391,153 @@ def upsert_counts(spark, sf_dir):
 @query(f"with {JOBS_SQL} select count(*) as rows, 0.0 as title_missing, avg((company is null)::int) as company_missing, avg((posted_at is null)::int) as posted_at_missing, avg((apply_url = '')::int) as apply_url_missing, 1.0 as place_share, 1.0 as readable_share, date_diff('day', max(posted_at)::date, date '2026-01-15') as newest_age_days from jobs")
 def ingest_quality(spark, sf_dir):
     return catalog.ingest_checks(jobs(spark, sf_dir), NOW)
+
+
+# -- ingest ---------------------------------------------------------------------------------------------
+
+
+def _normalized(spark, sf_dir, source):
+    return ingest.normalized(raw_records(spark, sf_dir, source), source, REF, AT)
+
+
+@query(NORMALIZED_SQL)
+def ingest_normalized(spark, sf_dir):
+    """Records of four boards and of one without rules of its own."""
+    columns = ["source", "id", "title", "company", "location", "remote", "description_text", "salary_min", "apply_url", "job_url", "posted_at", "source_updated_at", "work_mode", "employment_type", "seniority"]
+    parts = [_normalized(spark, sf_dir, s).select(*columns) for s in (*ingest.SOURCES, "other")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""select doc_id, sha256('{"a": [1, ' || doc_id || '], "b": {"c": "\\u00e9", "d": null}}') as payload_hash from documents""")
+def payload_hashes(spark, sf_dir):
+    raw = F.concat(F.lit('{"b": {"d": null, "c": "é"},   "a": [1,'), F.col("doc_id"), F.lit("]}"))
+    return read(spark, sf_dir, "documents").select("doc_id", ingest.payload_hash(raw).alias("payload_hash"))
+
+
+@query("""with g as (select count(*) as n, avg((doc_id % 4 = 0)::int) as x from documents), c(n, code, value, "limit", bad) as (
+    select 0, 'REQUIRED_COLUMNS', 0.0::double, 0.0::double, false union all select 1, 'MIN_ROWS', n::double, 1.0, false from g union all select 2, 'NULL_RATE_APPLY_URL', 0, 0, false union all select 3, 'NULL_RATE_COMPANY', 0, 0.05, false
+    union all select 4, 'NULL_RATE_DESCRIPTION_TEXT', 0, 0.1, false union all select 5, 'NULL_RATE_ID', 0, 0, false union all select 6, 'NULL_RATE_POSTED_AT', 0, 0.1, false union all select 7, 'NULL_RATE_SOURCE_JOB_ID', 0, 0, false
+    union all select 8, 'NULL_RATE_TITLE', 0, 0, false union all select 9, 'LOCATION_OR_REMOTE_SIGNAL', 1, 0.85, false union all select 10, 'POSTED_AT_PARSEABLE', 0, 0, false
+    union all select 11, 'POSTED_AT_FRESHNESS', 4, 365, false union all select 12, 'SOURCE_UPDATED_AT_PARSEABLE', 0, 0, false union all select 13, 'SOURCE_UPDATED_AT_FRESHNESS', 4, 730, false)
+    select n, 'INGEST_QUALITY_' || code as code, value, "limit", case when bad then 'fail' else 'pass' end as status from c""")
+def ingest_checks_of_board(spark, sf_dir):
+    return ingest.quality_checks(_normalized(spark, sf_dir, "greenhouse"), AT)
+
+
+@query(f"""with {JOBS_SQL}, k as (select source, count(*) as n, round(100.0 * count(company) / count(*), 3) as c, round(100.0 * count(posted_at) / count(*), 3) as p from jobs group by source)
+    select round(sum(c * n) / sum(n), 3) as company_non_null_pct, round(sum(p * n) / sum(n), 3) as posted_at_non_null_pct, 100.0 as description_text_non_null_pct, 100.0 as location_or_remote_signal_pct from k""")
+def completeness_over_sources(spark, sf_dir):
+    return ingest.completeness_over_sources(ingest.key_completeness(jobs(spark, sf_dir), by=["source"]))
+
+
+@query("select '2026-01-11T00:00:00+00:00' as high_posted_at, '2026-01-11T00:00:00+00:00' as high_source_updated_at from (select count(*) as n from documents) where n > 0")
+def ingest_watermarks(spark, sf_dir):
+    return ingest.watermarks(_normalized(spark, sf_dir, "greenhouse"))
+
+
+@query("""with s as (select doc_id, 'url:https://g.example/' || doc_id as k from documents)
+    select k as stable_key, true as is_active, case when doc_id % 3 = 0 then 'unchanged' when doc_id % 3 = 1 then 'updated' else 'new' end as change from s where doc_id % 10 <> 0
+    union all select k, false, 'tombstoned' from s where doc_id % 10 = 0 and doc_id % 3 <> 2""")
+def ingest_sync(spark, sf_dir):
+    """A whole pull into a catalog that has two thirds of the board, a third of it unchanged; a tenth is gone from the board."""
+    raw = raw_records(spark, sf_dir, "greenhouse").where("doc_id % 10 <> 0")
+    url, whole = F.concat(F.lit("url:https://g.example/"), F.col("doc_id")), raw_records(spark, sf_dir, "greenhouse")
+    known = whole.where("doc_id % 3 <> 2").select(url.alias("stable_key"), F.lit("2026-01-01").alias("first_seen_at_utc"), F.lit("2026-01-01").alias("last_seen_at_utc"), F.lit(True).alias("is_active"), F.when(F.col("doc_id") % 3 == 0, ingest.payload_hash(F.col("raw"))).otherwise("0").alias("last_payload_hash"), F.lit("2025-12-01").alias("latest_posted_at"), F.lit("2025-12-01").alias("latest_updated_at"), F.lit("{}").alias("latest_record_json"))
+    return run.synced(run.Pull("greenhouse", REF, raw), known, AT)["catalog"].select("stable_key", "is_active", "change")
+
+
+# -- composites -----------------------------------------------------------------------------------------
+
+
+@query(f"""with {RATE_SQL}, kept as (select *, (rate_completeness + rate_quality) / 2 as c from rated where remote and coalesce(salary_min, salary_max) >= 15000)
+    select row_number() over (order by c desc, id) as fit_rank, id, c as fit_score, label_role_category from kept order by c desc, id limit 50""")
+def configured_run(spark, sf_dir):
+    """From a source with other names to ranked postings, by a configuration."""
+    raw = jobs(spark, sf_dir).withColumnsRenamed({"location": "location_raw", "salary_min": "pay_from"}).withColumn("remote_flag", F.when(F.col("remote"), "yes").otherwise("no")).drop("remote")
+    config = run.Config(fields={"salary_min": contract.Field(("pay_from",), "float")}, filter={"remote_only": True, "min_salary": 15000}, top_k=50)
+    return run.run(raw, config).scored.select("fit_rank", "id", "fit_score", "label_role_category")
+
+
+def _two_halves(spark, sf_dir):
+    """Two data sets: one whole half, and one that lacks dates and has places that say unknown."""
+    j = jobs(spark, sf_dir)
+    worse = {"posted_at": F.when(F.col("doc_id") % 3 != 0, F.col("posted_at")), "location": F.when(F.col("doc_id") % 5 < 2, "Unknown").otherwise(F.col("location")), "salary_min": F.col("salary_min") * 2.5, "title": F.when(F.col("doc_id") % 13 == 1, F.concat(F.col("company"), F.lit(" "))).otherwise(F.col("title"))}
+    return j.where("doc_id % 2 = 0"), j.where("doc_id % 2 = 1").withColumns(worse)
+
+
+_HALVES_SQL = f"""{JOBS_SQL}, a as (select * from jobs where doc_id % 2 = 0), b as (select * replace (case when doc_id % 3 <> 0 then posted_at end as posted_at, case when doc_id % 5 < 2 then 'Unknown' else location end as location, salary_min * 2.5 as salary_min, case when doc_id % 13 = 1 then company || ' ' else title end as title) from jobs where doc_id % 2 = 1),
+    whole as (select 100 - (3 * avg(100.0 * (title is null)::int) + 2.5 * avg(100.0 * (company is null)::int) + 1.5 * avg(100.0 * (posted_at is null)::int)) / 16.5 as score, count(*) filter (salary_min > salary_max) as inverted, avg(100.0 * coalesce(trim(title) = trim(company), false)::int) as same, avg(100.0 * (posted_at is not null)::int) as dated, avg(100.0 * (location = 'Unknown')::int) as nowhere from b),
+    each as (select source, 100 - (3 * avg(100.0 * (title is null)::int) + 2.5 * avg(100.0 * (company is null)::int) + 1.5 * avg(100.0 * (posted_at is null)::int)) / 16.5 as score, count(*) filter (salary_min > salary_max) as inverted, round(avg(100.0 * coalesce(trim(title) = trim(company), false)::int), 4) as same from b group by source),
+    found as (select * from (
+        select case when score < 90 then 'P1' else 'P2' end as severity, null as source, case when score < 90 then 'Low weighted quality score' else 'Quality score below target' end as title, round(score, 4) as value from whole where score < 95
+        union all select 'P0', null, 'Invalid salary ranges detected', inverted from whole where inverted > 0 union all select 'P1', null, 'Title appears to contain company names', round(same, 4) from whole where same >= 5
+        union all select 'P1', null, 'Low posted_at coverage', round(dated, 4) from whole where dated < 80 union all select 'P1', null, 'Large unknown location share', round(nowhere, 4) from whole where nowhere >= 30
+        union all select case when score < 90 then 'P1' else 'P2' end, source, case when score < 90 then 'Low source quality score' else 'Source quality below target' end, round(score, 4) from each where score < 95
+        union all select 'P0', source, 'Invalid salary ranges in source', inverted from each where inverted > 0 union all select 'P1', source, 'Title/company contamination in source', same from each where same >= 5))"""
+
+
+@query(f"with {_HALVES_SQL} select severity, source, title, value::double as value from found")
+def eda_findings(spark, sf_dir):
+    _, b = _two_halves(spark, sf_dir)
+    return eda.findings(b, b)
+
+
+@query(f"with {_HALVES_SQL} select 'failure' as level, 'finding_count' as type, 'P0' as subject, count(*)::double as value, 0.0 as threshold from found where severity = 'P0' having count(*) > 0 union all select 'warning', 'finding_count', 'P1', count(*)::double, 999999.0 from found where severity = 'P1' having count(*) > 0")
+def eda_gate(spark, sf_dir):
+    _, b = _two_halves(spark, sf_dir)
+    return eda.gate(eda.findings(b, b))
+
+
+@query(f"""with {_HALVES_SQL}, s as (select source, count(*) as n, avg(100.0 * (posted_at is not null)::int) as p, avg(100.0 * remote::int) as r from a group by 1), t as (select source, count(*) as n, avg(100.0 * (posted_at is not null)::int) as p, avg(100.0 * remote::int) as r from b group by 1)
+    select source, coalesce(s.n, 0) as base_rows, coalesce(s.p, 0) as base_posted_at_pct, coalesce(s.r, 0) as base_remote_pct, coalesce(t.n, 0) as candidate_rows, coalesce(t.p, 0) as candidate_posted_at_pct, coalesce(t.r, 0) as candidate_remote_pct,
+        coalesce(t.n, 0) - coalesce(s.n, 0) as delta_rows, coalesce(t.p, 0) - coalesce(s.p, 0) as delta_posted_at_pct, coalesce(t.r, 0) - coalesce(s.r, 0) as delta_remote_pct from s full join t using (source)""")
+def source_profile_diff(spark, sf_dir):
+    a, b = _two_halves(spark, sf_dir)
+    return profile.source_diff(profile.source_profile(a), profile.source_profile(b))
+
+
+_JSD = """(select 0.5 * sum(case when p > 0 then p * ln((p + 1e-12) / ((p + q) / 2 + 1e-12)) else 0 end) + 0.5 * sum(case when q > 0 then q * ln((q + 1e-12) / ((p + q) / 2 + 1e-12)) else 0 end) from (select coalesce(x.n, 0) / (select count(*) from a)::double as p, coalesce(y.n, 0) / (select count(*) from b)::double as q
+    from (select {0}::varchar as v, count(*) as n from a group by 1) x full join (select {0}::varchar as v, count(*) as n from b group by 1) y on x.v is not distinct from y.v))"""
+
+
+@query(f"""with {_HALVES_SQL}, m(c, value) as (select 'location', {_JSD.format("location")} union all select 'remote', {_JSD.format("remote")} union all select 'company', {_JSD.format("company")} union all select 'source', {_JSD.format("source")})
+    select c as column, 'categorical' as kind, 'jsd' as metric, round(value, 4) as value, 0.1 as warn_threshold, 0.2 as fail_threshold, case when value >= 0.2 then 'fail' when value >= 0.1 then 'warn' else 'pass' end as status from m""")
+def eda_drift(spark, sf_dir):
+    """Of categories; ``drift_psi`` has the figure of numbers."""
+    a, b = _two_halves(spark, sf_dir)
+    return eda.drift(a, b, eda.Rules(numeric=()))
+
+
+@query(f"""with {_HALVES_SQL} select coalesce(x.source, y.source) as source, coalesce(n, 0) as rows_raw, coalesce(m, 0) as rows_runtime, coalesce(t, 0) as title_is_company, coalesce(i, 0) as salary_inverted, round(coalesce(100.0 * t / n, 0), 4) as title_is_company_pct, round(coalesce(100.0 * i / m, 0), 4) as salary_inverted_pct
+    from (select source, count(*) as n, count(*) filter (trim(title) = trim(company)) as t from b group by 1) x full join (select source, count(*) as m, count(*) filter (salary_min > salary_max) as i from a group by 1) y on x.source = y.source""")
+def consistency_of_both(spark, sf_dir):
+    a, b = _two_halves(spark, sf_dir)
+    return profile.consistency_of_both(b, a)
+
+
+@query(f"with {JOBS_SQL}, n as (select count(*) as n from jobs) select c.field, c.k as non_null_count, round(100.0 * c.k / n, 4) as non_null_pct from (select unnest(['id', 'title', 'company', 'location', 'remote', 'description_text', 'posted_at', 'apply_url', 'nowhere']) as field, unnest([count(id), count(title), count(company), count(location), count(remote), count(description_text), count(posted_at), count(apply_url), 0]) as k from jobs) c, n")
+def key_fields(spark, sf_dir):
+    return profile.key_fields(jobs(spark, sf_dir), ("id", "title", "company", "location", "remote", "description_text", "posted_at", "apply_url", "nowhere"))
+
+
+@query("select 'word' as column, 100.0 * count(*) filter (event_id % 7 < 2) / count(*) as sentinel_pct from events union all select 'other', 100.0 * count(*) filter (event_id % 9 = 0) / count(*) from events")
+def high_sentinels(spark, sf_dir):
+    i = F.col("event_id")
+    e = read(spark, sf_dir, "events").select("event_id", F.when(i % 7 == 0, " N/A ").when(i % 7 == 1, "Unknown").otherwise("x").alias("word"), F.when(i % 9 == 0, "none").alias("other"))
+    return profile.high_sentinels(e)
+
+
+@query("select min(o_orderdate)::timestamp as first, max(o_orderdate)::timestamp as last from orders")
+def time_range(spark, sf_dir):
+    return profile.time_range(read(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), "o_orderdate")
+
+
+@query(f"""with {JOBS_SQL}, n as (select count(*) as n, (date '2026-01-15' - max(posted_at)::date)::double as age from jobs)
+    select * from (select 1 as n, 'INPUT_SAMPLE_READ' as code, 'pass' as status, n::double as value from n union all select 2, 'INPUT_CANONICAL_CONTRACT', 'pass', 0 union all select 3, 'INPUT_CONTENT_READINESS', 'pass', n from n union all select 4, 'POLICY_MIN_ROWS', 'pass', n from n
+    union all select 5, 'POLICY_REQUIRED_COLUMNS', 'warn', 1 union all select 6, 'POLICY_NULL_RATE', 'warn', 1 union all select 7, 'POLICY_FRESHNESS', 'pass', age from n)""")
+def reliability_checks(spark, sf_dir):
+    policy = reliability.Policy(required=("title", "wage"), max_null_pct={"title": 10.0, "posted_at": 10.0})
+    return reliability.evaluate(jobs(spark, sf_dir), NOW, policy).where("n > 0")

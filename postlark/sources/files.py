@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,20 +54,83 @@ def prune_snapshots(spark: SparkSession, folder: str, keep: int) -> tuple[list[s
     return names[:keep], names[keep:]
 
 
-def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The catalog, or an empty table of the schema before the first run."""
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small report, manifest or state as one JSON file, keys sorted, in any store that Spark reaches; written beside and renamed."""
+    store, make = _store(spark, path)
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    out = store.create(make(fresh), True)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
+    out.close()
+    store.delete(make(path), False)
+    if not store.rename(make(fresh), make(path)):
+        raise OSError(f"can't write {path}")
+
+
+def read_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def content_id(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the files of a table, in the order of their names: the id of what it holds.
+
+    Files are hashed where they are read; their hashes alone come together.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
+    each = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+    if not (rows := each.orderBy("name", "h").collect()):
+        raise FileNotFoundError(path)
+    return rows[0].h if len(rows) == 1 else hashlib.sha256("".join(r.h for r in rows).encode()).hexdigest()
+
+
+def write_bundle(tables: dict[str, DataFrame], folder: str, summary: dict | None = None) -> dict:
+    """A set of tables, each as Parquet, with a manifest that names them; returns the manifest."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/tables/{name}.parquet")
+    manifest = {"schema_version": "1.0", "files": {name: f"tables/{name}.parquet" for name in sorted(tables)}, "summary": summary or {}}
+    write_json(spark, f"{folder}/manifest.json", manifest)
+    return manifest
+
+
+def read_bundle(spark: SparkSession, folder: str) -> tuple[dict, dict[str, DataFrame]]:
+    """The manifest and the tables of a bundle; a table that is named but not there is an error."""
+    manifest = read_json(spark, f"{folder}/manifest.json")
+    store, make = _store(spark, folder)
+    if missing := [f for f in manifest["files"].values() if not store.exists(make(f"{folder}/{f}"))]:
+        raise FileNotFoundError(f"{folder} lacks {missing}")
+    return manifest, {name: spark.read.parquet(f"{folder}/{f}") for name, f in manifest["files"].items()}
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that the pointers name last; null before the first run."""
     store, make = _store(spark, path)
-    return spark.read.schema(schema).parquet(path) if store.exists(make(path)) else spark.createDataFrame([], schema)
+    if not store.exists(make(path)):
+        return None
+    names = sorted(f.getPath().getName() for f in store.listStatus(make(path)))
+    pointers = [n for n in names if n.startswith("current-")]
+    return f"{path}/{pointers[-1].split('-', 2)[2]}" if pointers else None
+
+
+def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The catalog's latest whole version, or an empty table of the schema before the first run."""
+    version = _version(spark, path.rstrip("/"))
+    return spark.read.schema(schema).parquet(version) if version else spark.createDataFrame([], schema)
 
 
 def write_catalog(df: DataFrame, path: str) -> None:
-    """Replace the catalog, which ``df`` may itself read: write beside it first, then swap by renaming."""
+    """Write a new version of the catalog, which ``df`` may itself read, and point to it.
+
+    Versions are folders; an empty file ``current-<number>-<version>`` points to one, the highest number
+    counts. It is made last, so that a run that breaks off leaves the version before as it is. Older versions
+    but the last go after that.
+    """
     spark, path = df.sparkSession, path.rstrip("/")
-    fresh, old = f"{path}.next-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
     store, make = _store(spark, path)
-    if store.exists(make(path)) and not store.rename(make(path), make(old)):
-        raise OSError(f"can't move {path}")
-    if not store.rename(make(fresh), make(path)):
-        raise OSError(f"can't move {fresh} to {path}")
-    store.delete(make(old), True)
+    pointers = sorted(n for n in (f.getPath().getName() for f in store.listStatus(make(path))) if n.startswith("current-"))
+    number = int(pointers[-1].split("-", 2)[1]) + 1 if pointers else 1
+    store.create(make(f"{path}/current-{number:012d}-{version}"), False).close()
+    for name in pointers[:-1]:
+        store.delete(make(f"{path}/{name.split('-', 2)[2]}"), True)
+        store.delete(make(f"{path}/{name}"), False)
