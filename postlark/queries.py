@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import catalog, contract, eda, ingest, matching, profile, publish, reliability, run, stages
+from .operators import catalog, contract, eda, guards, inference, ingest, matching, plugins, profile, profiles, publish, reliability, run, stages
 from .plans.jobs import JOBS_SQL, jobs
 from .plans.records import AT, NORMALIZED_SQL, REF, raw_records
 
@@ -67,6 +67,14 @@ def _adapted(spark, sf_dir):
     return contract.adapt(raw, {"salary_min": contract.Field(("salary", "pay"), "float"), "remote": contract.Field(("flag",), "bool"), "posted_at": contract.Field(("day",), "date_string")})
 
 
+@query("""select 'salary_min' as field, 'pay' as source, 'x' as value from (select event_id from events where event_id % 5 = 1 order by event_id limit 7)
+    union all select 'remote', 'flag', 'off' from (select event_id from events where event_id % 3 = 1 order by event_id limit 0)""")
+def adapter_error_samples(spark, sf_dir):
+    i = F.col("event_id")
+    raw = read(spark, sf_dir, "events").select("event_id", F.when(i % 5 == 1, "x").otherwise("1").alias("pay"), F.when(i % 3 == 1, "off").otherwise("no").alias("flag"))
+    return contract.error_samples(raw, {"salary_min": contract.Field(("salary", "pay"), "float"), "remote": contract.Field(("flag",), "bool")}, "event_id", 7)
+
+
 @query("select count(*) filter (doc_id % 10 = 0) as location_conflicts, count(*) filter (doc_id % 4 = 0) as remote_conflicts from documents")
 def alias_conflicts(spark, sf_dir):
     i = F.col("doc_id")
@@ -321,11 +329,15 @@ def feedback_counts(spark, sf_dir):
     return matching.feedback_counts(read(spark, sf_dir, "events").select(F.col("user_id").alias("profile_id"), F.col("event_type").alias("event")))
 
 
-@query()
+_FACTORS_SQL = ", ".join(f"('{s}', {', '.join(str(float(f[n])) for f in matching.FACTORS.values())})" for n, s in enumerate(matching.WEIGHTS))
+
+
+@query(f"""with e as (select user_id as profile_id, list(event_id % 3 order by ts, event_id) as kinds from events group by 1), s(signal, f0, f1, f2) as (values {_FACTORS_SQL})
+    select profile_id, signal, round(list_reduce(list_prepend(1.0::double, list_transform(kinds, lambda k: (case k when 0 then f0 when 1 then f1 else f2 end)::double)), lambda w, f: greatest(0.5::double, least(1.5::double, w * f))), 9) as weight from e, s""")
 def feedback_weights(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     kinds = F.element_at(F.array(*[F.lit(k) for k in matching.FACTORS]), (F.col("event_id") % 3 + 1).cast("int"))
-    return matching.feedback_weights(e.select(F.col("user_id").alias("profile_id"), F.col("ts").alias("recorded_at"), "event_id", kinds.alias("event")))
+    return matching.feedback_weights(e.select(F.col("user_id").alias("profile_id"), F.col("ts").alias("recorded_at"), "event_id", kinds.alias("event"))).withColumn("weight", F.round("weight", 9))
 
 
 _PAGES = "select page_id, 'HTTPS://Jobs.example/p/' || (page_id % 40) || '/?utm_source=a' || page_id || '&GH_JID=' || (page_id % 50) || '#top' as address from pages"
@@ -541,3 +553,67 @@ def time_range(spark, sf_dir):
 def reliability_checks(spark, sf_dir):
     policy = reliability.Policy(required=("title", "wage"), max_null_pct={"title": 10.0, "posted_at": 10.0})
     return reliability.evaluate(jobs(spark, sf_dir), NOW, policy).where("n > 0")
+
+
+@query(f"with {JOBS_SQL} select count(*) as row_count, round(100.0 * count(company) / count(*), 4) as company_non_null_pct, round(100.0 * count(posted_at) / count(*), 4) as posted_at_non_null_pct, 100.0 as description_text_non_null_pct from jobs")
+def index_summary(spark, sf_dir):
+    return matching.index_summary(matching.index_jobs(jobs(spark, sf_dir)))
+
+
+@query("select 'EVAL_PRECISION_AT_10_BELOW_THRESHOLD' as code, 0.75 as value, 0.6 as least, 'pass' as status union all select 'EVAL_RECALL_AT_25_BELOW_THRESHOLD', 0.0, 0.7, 'fail'")
+def relevance_checks(spark, sf_dir):
+    return matching.relevance_checks(spark.createDataFrame([(10, 0.75, 0.1)], "k int, precision double, recall double"))
+
+
+@query("""with t as (select doc_id, case doc_id % 4 when 0 then 'Senior Data Engineer, 7+ years of Python and SQL; London or remote. $120,000 a year. Requires sponsorship' when 1 then 'analyst $95 hybrid, no sponsorship' when 2 then 'sponsorship unclear' else ' ' end as t from documents)
+    select 'p' || doc_id as profile_id, case doc_id % 4 when 0 then 'python,sql' else '' end as skills, case doc_id % 4 when 0 then 'data engineer' when 1 then 'analyst' else '' end as titles, case doc_id % 4 when 0 then 'london' else '' end as locations,
+        case doc_id % 4 when 0 then 'remote' when 1 then 'hybrid' else '' end as work_modes, case doc_id % 4 when 0 then 'senior' else '' end as seniority, case doc_id % 4 when 0 then 7.0::double end as years_experience, case doc_id % 4 when 0 then 120000.0::double when 1 then 95000.0 end as salary_minimum,
+        case doc_id % 4 when 0 then true when 1 then false end as requires_sponsorship, case doc_id % 4 when 1 then 'salary_interval_unspecified' when 2 then 'visa_signal_ambiguous' else '' end as unknown, case doc_id % 4 when 0 then 1.0 when 1 then 0.45 else 0.25 end as confidence from t where doc_id % 4 <> 3""")
+def resumes(spark, sf_dir):
+    i = F.col("doc_id")
+    said = F.when(i % 4 == 0, "Senior Data Engineer, 7+ years of Python and SQL; London or remote. $120,000 a year. Requires sponsorship").when(i % 4 == 1, "analyst $95 hybrid, no sponsorship").when(i % 4 == 2, "sponsorship unclear").otherwise(" ")
+    out = profiles.parsed_resumes(read(spark, sf_dir, "documents").select(F.concat(F.lit(" P"), i).alias("profile_id"), said.alias("text")))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("skills", "titles", "locations", "work_modes", "seniority", "unknown")})
+
+
+@query("""with n as (select count(*) as n, count(*) filter (event_id % 5 <> 1) as good from events) select 'salary_min' as field, 'min_salary' as column, round(0.5 * 0.95 + 0.2 * 0.6 + 0.3 * good / n, 4) as score, 0.95 as name_score, 0.6 as type_score, round(good::double / n, 4) as parse_score from n
+    union all select 'remote', 'wfh', round(0.5 * 0.95 + 0.2 * 1.0 + 0.3, 4), 0.95, 1.0, 1.0 from n union all select 'title', 'job_title', round(0.5 * 0.5 + 0.2 + 0.3, 4), 0.5, 1.0, 1.0 from n union all select 'posted_at', 'created_at', round(0.5 * 0.95 + 0.2 * 0.8 + 0.3 * 0.5, 4), 0.95, 0.8, 0.5 from n""")
+def adapter_inference(spark, sf_dir):
+    i = F.col("event_id")
+    raw = read(spark, sf_dir, "events").select(F.when(i % 5 == 1, "x").otherwise("1,200").alias("min_salary"), (i % 2 == 0).alias("wfh"), F.lit("t").alias("job_title"), F.lit(" n/a ").alias("created_at"))
+    pairs = [("salary_min", "min_salary"), ("remote", "wfh"), ("title", "job_title"), ("posted_at", "created_at")]
+    best = inference.suggestions(raw, 10_000_000)
+    return best.where(F.struct("field", "column").isin(*[F.struct(F.lit(f).alias("field"), F.lit(c).alias("column")) for f, c in pairs]))
+
+
+@query("select event_id::varchar as run_id, ts::varchar as started_at_utc from events where event_id % 2 = 0 and event_id % 3 = 0 and event_id % 5 = 0 and ts >= timestamp '2024-01-02 00:00:00' order by ts desc limit 20")
+def past_runs(spark, sf_dir):
+    i = F.col("event_id")
+    records = read(spark, sf_dir, "events").select(i.cast("string").alias("run_id"), F.when(i % 2 == 0, "pass").otherwise("fail").alias("status"), F.when(i % 3 == 0, "run").otherwise("eda").alias("command"), F.col("ts").cast("string").alias("started_at_utc"), F.when(i % 5 == 0, F.array(F.lit("POLICY_FRESHNESS"))).alias("check_codes"))
+    return guards.past_runs(records, 20, "pass", "run", "2024-01-02T00:00:00Z", "POLICY_FRESHNESS").select("run_id", "started_at_utc")
+
+
+@query("with t as (select o_orderstatus as s, count(*) as n from orders group by 1) select s, n from t where n > 0")
+def read_only_query(spark, sf_dir):
+    return guards.select(spark, "WITH t AS (SELECT o_orderstatus AS s, count(*) AS n FROM {orders} GROUP BY 1) SELECT s, n FROM t WHERE n > 0 -- delete", orders=read(spark, sf_dir, "orders"))
+
+
+def salaries_known(df: DataFrame, context: plugins.Context) -> DataFrame:
+    """A plugin: keeps jobs whose lowest salary is known and not below its setting."""
+    return df.where(F.col("salary_min") >= context.settings["least"])
+
+
+def brief(df: DataFrame, context: plugins.Context) -> DataFrame:
+    """A plugin: halves the quality of what is longer than its setting, and may push it out of bounds."""
+    return df.withColumn("rate_composite", F.when(F.length("description_text") > context.settings["longest"], F.col("rate_composite") / 2).otherwise(F.col("rate_composite") + 1.0))
+
+
+@query(f"""with {RATE_SQL}, kept as (select *, case when length(description_text) > 400 then (rate_completeness + rate_quality) / 4 else 1.0 end as c from rated where salary_min >= 9000)
+    select row_number() over (order by c desc, id) as fit_rank, id, c as fit_score from kept order by c desc, id limit 40""")
+def run_with_plugins(spark, sf_dir):
+    manifest = [
+        {"name": "brief", "kind": "rate", "callable": "postlark.queries:brief", "settings": {"longest": 400}},
+        {"name": "off", "kind": "rate", "callable": "nowhere:nothing", "enabled": False},
+        {"name": "known", "kind": "filter", "callable": salaries_known, "settings": {"least": 9000}},
+    ]
+    return run.run(jobs(spark, sf_dir), run.Config(plugins=plugins.load(manifest), top_k=40)).scored.select("fit_rank", "id", "fit_score")

@@ -1,6 +1,7 @@
 """Record files, snapshots and the catalog's table."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 
@@ -38,4 +39,23 @@ def test_catalog(spark, tmp_path):
     files.write_catalog(spark.range(3), path)
     files.write_catalog(files.read_catalog(spark, path, "id long").where("id > 0"), path)
     assert sorted(r.id for r in files.read_catalog(spark, path, "id long").collect()) == [1, 2]
-    assert [p.name for p in (tmp_path / "c").iterdir()] == ["catalog.parquet"]
+    # a run that breaks off before it points to its version leaves the catalog as it was
+    spark.range(9).write.parquet(f"{path}/version-broken")
+    assert sorted(r.id for r in files.read_catalog(spark, path, "id long").collect()) == [1, 2]
+    for n in range(3):
+        files.write_catalog(files.read_catalog(spark, path, "id long"), path)
+    names = [p.name for p in (tmp_path / "c" / "catalog.parquet").iterdir() if not p.name.startswith(".")]
+    assert sum(n.startswith("current-") for n in names) == 2 and sum(n.startswith("version-") for n in names) == 3
+
+
+def test_bundle_and_content_id(spark, tmp_path):
+    folder = f"file://{tmp_path}/b"
+    files.write_bundle({"a": spark.range(3), "b": spark.range(2)}, folder, {"rows": 3})
+    manifest, tables = files.read_bundle(spark, folder)
+    assert manifest["summary"] == {"rows": 3} and {n: t.count() for n, t in tables.items()} == {"a": 3, "b": 2}
+    files.write_json(spark, f"{folder}/manifest.json", manifest | {"files": {"c": "tables/c.parquet"}})
+    with pytest.raises(FileNotFoundError):
+        files.read_bundle(spark, folder)
+    (tmp_path / "one.txt").write_text("abc")
+    assert files.content_id(spark, f"file://{tmp_path}/one.txt") == hashlib.sha256(b"abc").hexdigest()
+    assert files.content_id(spark, f"{folder}/tables/a.parquet") != files.content_id(spark, f"{folder}/tables/b.parquet")
