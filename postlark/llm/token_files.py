@@ -12,10 +12,11 @@ Layout of a shard, little-endian:
     i64[documents]      document ids, ascending
     u64[documents + 1]  first symbol of each document
     u64[documents + 1]  first token of each document, within the shard
-    u32[rules][2]       right-hand sides
     u32[rules]          expansion lengths
-    u16[symbols]        the lower 16 bits of each symbol
-    for each bit above: the bits of all symbols, the first in the highest place, filled up to bytes
+    planes[2 * rules]   right-hand sides, two symbols each
+    planes[symbols]     the compressed stream
+Planes of n symbols are u16[n], the lower 16 bits of each, and then for each bit above the bits of all, the
+first symbol's in the highest place, filled up to bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ MAGIC = b"RPSHARD1"
 END_ID = 2
 #: A shard is closed when it holds so many tokens.
 SHARD_TOKENS = 2_000_000
-#: A pair that occurs so often is frequent: a rule takes 12 bytes, a symbol 2 and some bits.
+#: A pair that occurs so often is frequent: its rule takes 8 bytes and some bits, a symbol 2 and some.
 LEAST = 6
 #: Documents that are read and expanded together.
 READ = 256
@@ -136,6 +137,23 @@ def expand(symbols: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
         seq = out
 
 
+def planes(symbols: np.ndarray, above: int) -> bytes:
+    """Symbols as 16 lower bits each, and the bits above place by place."""
+    bits = [np.packbits((symbols >> np.uint32(16 + b)).astype(np.uint8) & 1).tobytes() for b in range(above)]
+    return b"".join([(symbols & np.uint32(0xFFFF)).astype("<u2").tobytes(), *bits])
+
+
+def read_planes(file, start: int, n: int, above: int, a: int, b: int) -> np.ndarray:
+    """Symbols a to b of the n whose planes begin at a place of the file; only their bytes are read."""
+    file.seek(start + 2 * a)
+    out = np.frombuffer(file.read(2 * (b - a)), "<u2").astype(np.uint32)
+    for k in range(above):
+        file.seek(start + 2 * n + k * -(-n // 8) + a // 8)
+        bits = np.unpackbits(np.frombuffer(file.read(-(-b // 8) - a // 8), np.uint8))
+        out |= bits[a % 8 : a % 8 + b - a].astype(np.uint32) << np.uint32(16 + k)
+    return out
+
+
 def pack(doc_ids: list[int], encoded: list[np.ndarray], first: int) -> bytes:
     """A shard of documents whose ids end with the end id."""
     lengths = np.array([len(x) for x in encoded], np.int64)
@@ -148,8 +166,8 @@ def pack(doc_ids: list[int], encoded: list[np.ndarray], first: int) -> bytes:
     symbols_at = np.concatenate([[0], np.flatnonzero(marks) + 1]).astype(np.uint64)
     above = max(0, int(first + len(grammar.rules) - 1).bit_length() - 16)
     head = struct.pack("<6Q", len(doc_ids), len(grammar.rules), len(symbols), len(stream), first, above)
-    planes = [np.packbits((symbols >> np.uint32(16 + b)).astype(np.uint8) & 1).tobytes() for b in range(above)]
-    return b"".join([MAGIC, head, np.array(doc_ids, "<i8").tobytes(), symbols_at.astype("<u8").tobytes(), tokens_at.astype("<u8").tobytes(), grammar.rules.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(), (symbols & np.uint32(0xFFFF)).astype("<u2").tobytes(), *planes])
+    index = [np.array(doc_ids, "<i8"), symbols_at.astype("<u8"), tokens_at.astype("<u8"), grammar.lengths.astype("<u4")]
+    return b"".join([MAGIC, head, *[x.tobytes() for x in index], planes(grammar.rules.ravel(), above), planes(symbols, above)])
 
 
 class Shard:
@@ -162,18 +180,12 @@ class Shard:
         n, rules, self.n_symbols, tokens, self.first, self.above = struct.unpack("<6Q", file.read(48))
         array = lambda kind, count: np.frombuffer(file.read(count * np.dtype(kind).itemsize), kind)
         self.doc_ids, self.symbols_at, self.tokens_at = array("<i8", n), array("<u8", n + 1), array("<u8", n + 1)
-        self.rules, self.lengths = array("<u4", 2 * rules).reshape(-1, 2), array("<u4", rules)
-        self.n_tokens, self.body = tokens, file.tell()
+        self.lengths, at = array("<u4", rules), file.tell()
+        self.rules = read_planes(file, at, 2 * rules, self.above, 0, 2 * rules).reshape(-1, 2)
+        self.n_tokens, self.body = tokens, at + 4 * rules + self.above * -(-2 * rules // 8)
 
     def symbols(self, first: int, last: int) -> np.ndarray:
-        a, b = int(self.symbols_at[first]), int(self.symbols_at[last])
-        self.file.seek(self.body + 2 * a)
-        out = np.frombuffer(self.file.read(2 * (b - a)), "<u2").astype(np.uint32)
-        for k in range(self.above):
-            self.file.seek(self.body + 2 * self.n_symbols + k * -(-self.n_symbols // 8) + a // 8)
-            bits = np.unpackbits(np.frombuffer(self.file.read(-(-b // 8) - a // 8), np.uint8))
-            out |= bits[a % 8 : a % 8 + b - a].astype(np.uint32) << np.uint32(16 + k)
-        return out
+        return read_planes(self.file, self.body, self.n_symbols, self.above, int(self.symbols_at[first]), int(self.symbols_at[last]))
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, its end id included."""

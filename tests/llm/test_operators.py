@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -185,6 +186,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert payload == b"short" and fields["WARC-Target-URI"] == "u  X: y"
 
 
+def slow_signatures(text):
+    """Signatures in plain Python: chained 64-bit hashes of an anchor and the first content words after it, 40 bits each."""
+    w = [x for x in re.split("[ \\t\\n\\x0b\\f\\r" + re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + "]+", text.lower()) if x]
+
+    def name(*parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64(p.encode(), seed=h).intdigest()
+        return h & ((1 << 40) - 1)
+
+    found = set()
+    for i, x in enumerate(w):
+        ahead = [y for y in w[i + 1 : i + 1 + spotsigs.AHEAD] if y not in spotsigs.ANCHORS]
+        if x in spotsigs.ANCHORS and len(ahead) >= spotsigs.CHAIN:
+            found.add(name(x, *ahead[: spotsigs.CHAIN]))
+    return found or {name(*w[i : i + 2]) for i in range(len(w))}
+
+
+def shown(signatures):
+    return ",".join(f"{x:X}" for x in sorted(signatures))
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_fingerprints(docs, texts, spark):
     one = docs.dropDuplicates(["doc_id"])
     out = {r.doc_id: r for r in spotsigs.fingerprinted(one).collect()}
@@ -192,7 +219,10 @@ def test_fingerprints(docs, texts, spark):
     for d, after in zip(ids, ids[1:] + ids[:1], strict=True):
         t, q = texts[d], len(texts[d]) // 4
         assert out[d].n_chars == len(t) and out[d].edited_sha256 == hashlib.sha256((t[: len(t) - q] + texts[after][:q]).encode()).hexdigest()
-        assert 0 <= out[d].near_next <= 1 and 0 <= out[d].near_edited <= 1
+        edited = t[: len(t) - q] + texts[after][:q]
+        own, changed, following = slow_signatures(t), slow_signatures(edited), slow_signatures(texts[after])
+        assert out[d].fingerprint == shown(own) and out[d].edited_fingerprint == shown(changed)
+        assert out[d].near_edited == pytest.approx(alike(own, changed), abs=1e-12) and out[d].near_next == pytest.approx(alike(own, following), abs=1e-12)
     assert out[1003].fingerprint == out[1004].fingerprint != "" and out[1001].fingerprint == ""
     assert spotsigs.fingerprinted(empty(spark)).count() == 0
     prints = {d: set(r.fingerprint.split(",")) for d, r in out.items() if r.fingerprint}
