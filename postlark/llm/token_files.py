@@ -182,23 +182,36 @@ class Shard:
         self.doc_ids, self.symbols_at, self.tokens_at = array("<i8", n), array("<u8", n + 1), array("<u8", n + 1)
         self.lengths, at = array("<u4", rules), file.tell()
         self.rules = read_planes(file, at, 2 * rules, self.above, 0, 2 * rules).reshape(-1, 2)
+        whole = expand(np.arange(self.first, self.first + rules), self.first, self.rules)  # of all rules, one after the other
+        self.ids = np.concatenate([np.arange(self.first, dtype=np.uint32), whole])
+        self.sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.n_tokens, self.body = tokens, at + 4 * rules + self.above * -(-2 * rules // 8)
 
     def symbols(self, first: int, last: int) -> np.ndarray:
         return read_planes(self.file, self.body, self.n_symbols, self.above, int(self.symbols_at[first]), int(self.symbols_at[last]))
 
+    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """Token ids of symbols; what a rule stands for is looked up."""
+        size = self.sizes[symbols]
+        place = np.cumsum(size)
+        return self.ids[np.repeat(self.begins[symbols] - place + size, size) + np.arange(place[-1] if len(place) else 0)]
+
+    def documents(self, first: int, last: int) -> np.ndarray:
+        """Ids of some neighbouring documents."""
+        return self.expanded(self.symbols(first, last))
+
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, its end id included."""
-        return expand(self.symbols(k, k + 1), self.first, self.rules)
+        return self.documents(k, k + 1)
 
     def tokens(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the k-th document; only the nonterminals that overlap them are expanded."""
         symbols = self.symbols(k, k + 1).astype(np.int64)
-        known = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
-        ends = np.cumsum(known[symbols])
+        ends = np.cumsum(self.sizes[symbols])
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         skipped = int(ends[a - 1]) if a else 0
-        return expand(symbols[a:b], self.first, self.rules)[start - skipped : stop - skipped]
+        return self.expanded(symbols[a:b])[start - skipped : stop - skipped]
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -258,7 +271,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                     n, at, crc = len(shard.doc_ids), shard.tokens_at.astype(np.int64), []
                     for a in range(0, n, READ):
                         b = min(n, a + READ)
-                        ids = expand(shard.symbols(a, b), shard.first, shard.rules).astype("<u4")
+                        ids = shard.documents(a, b).astype("<u4")
                         crc += [zlib.crc32(ids[at[k] - at[a] : at[k + 1] - at[a]]) for k in range(a, b)]
                 yield pd.DataFrame({"doc_id": shard.doc_ids.astype(np.int64), "start": base + at[:-1], "n_tokens": np.diff(at), "ids_crc32": np.array(crc, np.int64)})
 
