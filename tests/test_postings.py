@@ -40,9 +40,8 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(map(repr, map(plain, got.select(*names).collect()))) == sorted(map(repr, map(plain, rows)))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_other_queries_give_rows(spark, name):
-    assert QUERIES[name](spark, SF).count()
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def one(spark, values, kind, expression):
