@@ -150,8 +150,8 @@ def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = (names[a:b] & low).astype(np.uint32)
             out.append((int(parts[a]), packed(np.diff(own, prepend=np.uint32(0))), packed(ids[a:b])))
-        part, packed, held = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary()), pa.array(held, pa.binary())], ["part", "names", "ids"])
+        part, held, owners = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(held, pa.binary()), pa.array(owners, pa.binary())], ["part", "names", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, n = [], [], 0
@@ -183,8 +183,8 @@ def _shared_tuples(docs: DataFrame, bits: int) -> DataFrame:
             names, ids = names[keep], ids[keep]
         return pd.DataFrame({"doc_id": ids, "name": names.view(np.int64)})
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "part long, names binary, ids binary")
-    return packed.groupBy("part").applyInPandas(sort, "doc_id long, name long")
+    parts = docs.select("doc_id", "text").mapInArrow(pack, "part long, names binary, ids binary")
+    return parts.groupBy("part").applyInPandas(sort, "doc_id long, name long")
 
 
 def _occurrences(texts: DataFrame, bits: int) -> DataFrame:

@@ -412,7 +412,7 @@ def test_difference_cover():
     sampled = [{k for k in range(repeats.PERIOD) if (i + k) % repeats.PERIOD in repeats.COVER} for i in range(repeats.PERIOD)]
     assert all(a & b for a in sampled for b in sampled)
     values = np.array([0, 1, 255, 256, 2**40], np.int64)
-    assert (repeats._unpacked(repeats._packed(values), np.int64) == values).all()
+    assert (repeats.unpacked(repeats.packed(values), np.int64) == values).all()
 
 
 @pytest.mark.parametrize("packed", [64, 1 << 20])
