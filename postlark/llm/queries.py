@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, ngram_join, pii, repeats, rules, spotsigs, token_files, warc
+from . import bpe, chat, mixing, ngram_join, pii, repair, repeats, rules, spotsigs, token_files, warc
 from .common import table
 
 
@@ -57,5 +57,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_hostile(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_rules, op3_warc, op4_spotsigs, op5_pii, op6_token_files, op7_bpe, op8_mixing, op9_repeats, op10_chat)}
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.WARC_SQL, "op8_mixing": mixing.MIXING_SQL, "op10_chat": chat.CHAT_SQL}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(conversations), conversations)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_rules, op3_warc, op4_spotsigs, op5_pii, op6_token_files, op7_bpe, op8_mixing, op9_repeats, op10_chat, op13_repair)}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.WARC_SQL, "op8_mixing": mixing.MIXING_SQL, "op10_chat": chat.CHAT_SQL, "op13_repair": repair.REPAIR_SQL}
