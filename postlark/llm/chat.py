@@ -368,18 +368,20 @@ def read_chat(pieces: Iterable[Piece]) -> Iterator[tuple[str, str, str]]:
     Control strings are found in the running output, not taken from the pieces' borders; at most one
     turn is held at a time.
     """
-    held, masked = "", ""
+    held, masked, searched, mark = "", "", 0, END + "\n"
     for text, generated in pieces:
         held += text
         if generated:
             masked += text
-        while END + "\n" in held:
-            turn, _, held = held.partition(END + "\n")
+        # what was searched before isn't searched again, but for the beginning of a mark at its end
+        while (at := held.find(mark, max(0, searched - len(mark)))) >= 0:
+            turn, held, searched = held[:at], held[at + len(mark) :], 0
             if not turn.startswith(START):
                 raise TemplateError("a turn doesn't begin with its start marker")
             role, _, body = turn[len(START) :].partition("\n")
             yield unescape(unline(role)), unescape(body), unescape(masked)
             masked = ""
+        searched = len(held)
     if held:
         raise TemplateError("the output ends within a turn")
 

@@ -22,8 +22,8 @@ TAIL = 12
 PART_RATE = 700
 #: Copies of a row are made in blocks of so many, so that no array of one row grows with the rate.
 BLOCK = 65_536
-#: Up to so many sources, their rates are sent to all tasks; more are joined by shuffling, and Spark splits skewed ones.
-FEW_SOURCES = 20_000
+#: Up to so many numbers in all sources' tables, these are sent to all tasks; more are joined by shuffling, and Spark splits skewed sources.
+FEW_NUMBERS = 1 << 21
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -56,9 +56,12 @@ def poisson_table(rate: Column) -> Column:
     return grown["c"]
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, repetition: float = 1.0, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, repetition: float = 1.0, seed: str = SEED, numbered: bool = True) -> DataFrame:
     """Each row as often as its draw says, with ``copy`` (from 0) and ``shuffle_key``, in shuffled order.
 
+    All columns of the rows come back, whatever they are named; only ones called copy or shuffle_key give way to
+    the results, and they too stay if the results aren't wanted (``numbered`` is false).
+
     The draw of a row hangs on the seed, its doc_id and its source's rate alone, so rows that agree in these
     share it; results don't depend on partitions. Null ids and sources count as "null", null texts as one character.
     An empty table stays empty. A rate of ``PART_RATE`` or more is met by several draws, each from a hash of its own,
@@ -66,16 +69,21 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, repetition:
     """
     rates = source_rates(docs, weights, repetition).withColumn("_parts", F.floor(F.col("rate") / PART_RATE).cast("long") + 1)
     tables = written(rates.select("source_key", "_parts", poisson_table(F.col("rate") / F.col("_parts")).alias("cumulative")), "rates")
-    if tables.count() <= FEW_SOURCES:  # documents then stay where they are, however many one source has
+    if (tables.agg(F.sum(F.size("cumulative") + 8)).first()[0] or 0) <= FEW_NUMBERS:  # documents then stay where they are, however many one source has
         tables = F.broadcast(tables)
-    drawn = docs.withColumn("source_key", F.coalesce("source", F.lit("null"))).join(tables, "source_key").withColumn("u", uniform(seed, F.col("doc_id")))
+    own = [f"own_{n}" for n in range(len(docs.columns))]  # the caller's columns by place, so that no name clashes
+    named = dict(zip(docs.columns, own, strict=True))
+    rows = docs.toDF(*own).select(*own, F.col(named["doc_id"]).alias("id"), F.coalesce(named["source"], F.lit("null")).alias("source_key"))
+    drawn = rows.join(tables, "source_key").withColumn("u", uniform(seed, F.col("id")))
     count = lambda u: F.size(F.filter("cumulative", lambda c: c <= u)).cast("long")
-    several = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_parts")), lambda k: uniform(seed, "part", k, F.col("doc_id")))
+    several = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_parts")), lambda k: uniform(seed, "part", k, F.col("id")))
     counted = drawn.withColumn("copies", F.when(F.col("_parts") == 1, count(F.col("u"))).otherwise(F.aggregate(several, F.lit(0).cast("long"), lambda n, u: n + count(u))))
     blocks = counted.where("copies > 0").drop("cumulative", "u", "source_key", "_parts").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(BLOCK).cast("long"))))
     copies = blocks.withColumn("copy", F.explode(F.sequence("_block", F.least(F.col("_block") + (BLOCK - 1), F.col("copies") - 1)))).drop("copies", "_block")
-    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")), 256), 1, 15), 16, 10).cast("long"))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("copy")), 256), 1, 15), 16, 10).cast("long"))
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    added = ["copy", "shuffle_key"] if numbered else []
+    return dealt.select(*[F.col(x).alias(c) for c, x in named.items() if c not in added], *added)
 
 
 MIXING_SQL = f"""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -123,10 +124,18 @@ def scored_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[S
     if not text:
         return []
     spans = [(s, EMAIL_SCORE) for s in emails(text)]
+    # of each kind, where its spans begin and end: they come in order and don't overlap
+    held = [([a for (_, a, _), _ in spans], [b for (_, _, b), _ in spans])]
+
+    def free(a: int, b: int) -> bool:
+        places = ((begins, bisect_right(ends, a)) for begins, ends in held)
+        return not any(k < len(begins) and begins[k] < b for begins, k in places)
+
     if _ANY_DIGIT.search(text):
         for rule in RULES:
             if rule.needs and rule.needs not in text:
                 continue
+            begins, ends = [], []
             for m in rule.pattern.finditer(text):
                 if not rule.confirms(m[0]):
                     continue
@@ -136,8 +145,11 @@ def scored_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[S
                     score += CONTEXT_GAIN
                 elif AGAINST.search(text, *near):
                     score -= CONTEXT_LOSS
-                if rule.kind in BASE or score >= threshold and not any(a < m.end() and m.start() < b for (_, a, b), _ in spans):
+                if rule.kind in BASE or score >= threshold and free(m.start(), m.end()):
                     spans.append(((rule.kind, m.start(), m.end()), round(min(score, 1.0), 2)))
+                    begins.append(m.start())
+                    ends.append(m.end())
+            held.append((begins, ends))
     return sorted(spans, key=lambda s: (s[0][1], KINDS.index(s[0][0]), s[0][2]))
 
 

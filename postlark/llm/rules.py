@@ -267,9 +267,26 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
+RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def judged(docs: DataFrame, labels: DataFrame, keep: Iterable[str] = (), rules: list[Rule] | None = None) -> DataFrame:
-    """Base counts, ``base_failed``, ``kept`` and ``rule`` (which learned rule rejects it, 0: none) of every document."""
-    kept = [c for c in keep if c != "doc_id"]
+    """Base counts, ``base_failed``, ``kept`` and ``rule`` (which learned rule rejects it, 0: none) of every document.
+
+    Columns to keep that are named like one of these results aren't kept; see kept_documents.
+    """
+    kept = [c for c in keep if c not in RESULT]
     found = learn(docs, labels) if rules is None else rules
     marked = features(docs, keep=kept).withColumn("base_failed", base_failed()).withColumn("rule", verdict(found))
-    return marked.select("doc_id", *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+    return marked.select("doc_id", *kept, *RESULT[1:7], (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The documents that neither the base rule nor the list rejects, with all of their columns, whatever these are named."""
+    own = [f"own_{n}" for n in range(len(docs.columns))]  # the caller's columns by place, so that no name clashes
+    named = dict(zip(docs.columns, own, strict=True))
+    whole = docs.toDF(*own).select(*own, F.col(named["doc_id"]).alias("doc_id"), F.col(named["text"]).alias("text"))
+    # what is learned comes from the documents as they are; rows are judged with all columns kept
+    found = judged(whole, labels, keep=own, rules=learn(docs, labels) if rules is None else rules)
+    # a filter on a generated column stays above the features, which are then computed once
+    return found.withColumn("kept", F.explode(F.array("kept"))).where("kept").select(*[F.col(x).alias(c) for c, x in named.items()])

@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,22 @@ MAGIC = b"RPSHARD1"
 END_ID = 2
 #: A shard is closed when it holds so many tokens.
 SHARD_TOKENS = 2_000_000
-#: A pair that occurs so often is frequent: its rule takes 8 bytes and some bits, a symbol 2 and some.
-LEAST = 6
+#: Bytes that a rule takes besides its two symbols: the length it expands to.
+RULE_BYTES = 4
 #: Documents that are read and expanded together.
 READ = 256
 
 
+def break_even(first: int) -> int:
+    """How often a pair must occur for its rule to take less room than it saves.
+
+    Each occurrence saves one symbol, the rule takes two and its length; symbols have 16 bits and those above, as
+    many as the least symbols that rules get need.
+    """
+    symbol = max(16, first.bit_length()) / 8
+    return int(2 + RULE_BYTES / symbol) + 1
+
+
 class Grammar:
     """Re-Pair over one stream. ``ends`` marks the last symbol of each document: no pair reaches across or into it."""
 
@@ -53,12 +64,13 @@ class Grammar:
         self.rules = np.zeros((0, 2), np.uint32)
         self.lengths = np.zeros(0, np.uint64)
 
-    def compress(self, stream: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    def compress(self, stream: np.ndarray, ends: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The shorter stream and its marks of ends. Every round but the last replaces something.
 
         A pair of symbols that were there a round before can't have become frequent since, so a round counts
         pairs with a new symbol only; when none is frequent, all are counted once more.
         """
+        least = break_even(self.first) if least is None else least
         seq, ends = stream.astype(np.uint32), ends.astype(bool)
         newest = 0  # symbols from here on are new; 0: all count as such
         while len(seq) > 1:
@@ -182,28 +194,29 @@ class Shard:
         self.doc_ids, self.symbols_at, self.tokens_at = array("<i8", n), array("<u8", n + 1), array("<u8", n + 1)
         self.lengths, at = array("<u4", rules), file.tell()
         self.rules = read_planes(file, at, 2 * rules, self.above, 0, 2 * rules).reshape(-1, 2)
-        whole = expand(np.arange(self.first, self.first + rules), self.first, self.rules)  # of all rules, one after the other
-        self.ids = np.concatenate([np.arange(self.first, dtype=np.uint32), whole])
         self.sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
-        self.begins = np.cumsum(self.sizes) - self.sizes
         self.n_tokens, self.body = tokens, at + 4 * rules + self.above * -(-2 * rules // 8)
 
     def symbols(self, first: int, last: int) -> np.ndarray:
         return read_planes(self.file, self.body, self.n_symbols, self.above, int(self.symbols_at[first]), int(self.symbols_at[last]))
 
-    def expanded(self, symbols: np.ndarray) -> np.ndarray:
-        """Token ids of symbols; what a rule stands for is looked up."""
-        size = self.sizes[symbols]
-        place = np.cumsum(size)
-        return self.ids[np.repeat(self.begins[symbols] - place + size, size) + np.arange(place[-1] if len(place) else 0)]
+    @cached_property
+    def looked_up(self) -> tuple[np.ndarray, np.ndarray]:
+        """What all symbols stand for, one after the other, and where each begins: for reading the whole file."""
+        whole = expand(np.arange(self.first, self.first + len(self.rules)), self.first, self.rules)
+        return np.concatenate([np.arange(self.first, dtype=np.uint32), whole]), np.cumsum(self.sizes) - self.sizes
 
     def documents(self, first: int, last: int) -> np.ndarray:
-        """Ids of some neighbouring documents."""
-        return self.expanded(self.symbols(first, last))
+        """Ids of some neighbouring documents, by looking up what symbols stand for."""
+        ids, begins = self.looked_up
+        symbols = self.symbols(first, last)
+        size = self.sizes[symbols]
+        place = np.cumsum(size)
+        return ids[np.repeat(begins[symbols] - place + size, size) + np.arange(place[-1] if len(place) else 0)]
 
     def document(self, k: int) -> np.ndarray:
-        """Ids of the k-th document, its end id included."""
-        return self.documents(k, k + 1)
+        """Ids of the k-th document, its end id included; only its own rules are expanded."""
+        return expand(self.symbols(k, k + 1), self.first, self.rules)
 
     def tokens(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the k-th document; only the nonterminals that overlap them are expanded."""
@@ -211,7 +224,7 @@ class Shard:
         ends = np.cumsum(self.sizes[symbols])
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         skipped = int(ends[a - 1]) if a else 0
-        return self.expanded(symbols[a:b])[start - skipped : stop - skipped]
+        return expand(symbols[a:b], self.first, self.rules)[start - skipped : stop - skipped]
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -346,7 +346,7 @@ def test_grammar_goes_on_until_nothing_pays():
         last = at[1:] - 1  # no pair reaches into the last symbol of a document
         inside[[x for x in np.concatenate([last, last - 1]) if 0 <= x < len(inside)]] = False
         pairs = Counter(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist(), strict=True))
-        assert all(n < token_files.LEAST or a == b for (a, b), n in pairs.items())
+        assert all(n < token_files.break_even(first) or a == b for (a, b), n in pairs.items())
         k = int(np.argmax(np.diff(shard.tokens_at)))
         whole = docs[k].tolist()
         assert all(shard.tokens(k, a, min(a + 3, len(whole))).tolist() == whole[a : a + 3] for a in range(0, len(whole), 2))
@@ -556,3 +556,74 @@ def test_pipeline_stages_keep_and_give_exactly_what_they_should(spark):
         kept.append(len(rows))
     assert len(documents.collect()) > kept[0] > kept[1] == kept[2] and kept[3] == kept[4] > 0
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
+
+
+def test_break_even_of_a_rule():
+    """A rule pays from that count on: two symbols and a length against one symbol a use."""
+    for first in (5, 40_000, 70_000, 1 << 20):
+        n, symbol = token_files.break_even(first), max(16, first.bit_length()) / 8
+        assert n * symbol > 2 * symbol + token_files.RULE_BYTES >= (n - 1) * symbol
+
+
+CLASHING = ("u", "copies", "copy", "source_key", "shuffle_key", "row", "rate", "id", "n_words", "kept", "rule", "base_failed", "_document", "_text", "cumulative")
+
+
+def test_clashing_names_through_rules_and_mixing(spark):
+    """Columns named like those that the operators make come back as they were."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    own = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in CLASHING])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = rules.kept_documents(own, labels)
+    assert found.columns == own.columns and {r.doc_id for r in found.collect()} == {r.doc_id for r in rules.judged(docs, labels).where("kept").collect()}
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in found.collect() for c in CLASHING)
+    assert rules.judged(own, labels, keep=["n_words", "u"]).columns == ["doc_id", "u", *rules.RESULT[1:]]
+    plain, mine = mixing.mixed(docs), mixing.mixed(own)
+    assert sorted((r.doc_id, r.copy, r.shuffle_key) for r in plain.collect()) == sorted((r.doc_id, r.copy, r.shuffle_key) for r in mine.collect())
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in mine.collect() for c in CLASHING if c not in ("copy", "shuffle_key"))
+    assert sorted(map(str, mixing.mixed(own, numbered=False).collect())) == sorted(str(r) for r in own.collect() for _ in range(sum(x.doc_id == r.doc_id for x in plain.collect())))
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    """Rows of one id share a draw, a null id counts as the text null; both as plain Python draws them."""
+    from pyspark.sql import Row
+
+    rows = [Row(doc_id=k % 7 if k % 5 else None, text="x" * (1 + k % 9) if k % 4 else None, source=["a", "b", None][k % 3]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights, sizes = {}, Counter()
+    for r in rows:
+        sizes[r.source or "null"] += max(len(r.text or ""), 1)
+    weights = {s: n**mixing.TEMPERATURE for s, n in sizes.items()}
+    want = Counter()
+    for r in rows:
+        s = r.source or "null"
+        rate = 3.0 * sum(sizes.values()) * weights[s] / sum(weights.values()) / sizes[s]
+        u = (int(hashlib.sha256(f"{mixing.SEED}:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        k, p = 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            k, p = k + 1, p * rate / (k + 1)
+            c += p
+        for n in range(k):
+            want[r.doc_id, r.text, r.source, n] += 1
+    assert Counter((r.doc_id, r.text, r.source, r.copy) for r in mixing.mixed(docs, repetition=3.0).collect()) == want
+
+
+def test_time_grows_with_the_length_of_a_text():
+    """Many spans in one text, and a turn over many segments: twice as much takes about twice as long, not four times."""
+    import time
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            f()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    spans = lambda n: "mail a@b.cd call +49 30 1234567 ssn 123-45-6789 " * n
+    small, large = (seconds(lambda n=n: pii.scored_spans(spans(n))) for n in (1500, 6000))
+    assert large < 8 * small
+    turn = lambda n: [(chat.START + "user\n", False), *[("x" * 65536, False)] * n, (chat.END + "\n", False)]
+    small, large = (seconds(lambda n=n: list(chat.read_chat(turn(n)))) for n in (100, 400))
+    assert large < 8 * small
+    assert [t for _, t, _ in chat.read_chat([(chat.START + "user\nab" + chat.END[:4], False), (chat.END[4:], True), ("\n" + chat.START + "x\ny", False), (chat.END, False), ("\n", False)])] == ["ab", "y"]
