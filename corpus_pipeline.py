@@ -8,7 +8,6 @@ operators' docstrings say.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postlark.llm import bpe, mixing, ngram_join, pii, rules
 from postlark.llm.common import table, written
@@ -17,9 +16,7 @@ from postlark.llm.queries import vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rule or the learned decision list rejects."""
-    judged = rules.judged(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    # a filter on a generated column stays above the features, which are then computed once
-    return judged.withColumn("kept", F.explode(F.array("kept"))).where("kept").select(docs.columns)
+    return rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +32,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that sources reach their weights, in shuffled order."""
-    return mixing.mixed(docs).select(docs.columns)
+    return mixing.mixed(docs, numbered=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
