@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,10 @@ CANONICAL = {
 #: Words for true, false and nothing, and formats of dates.
 TRUE, FALSE, NULL = ("true", "1", "yes", "y", "remote"), ("false", "0", "no", "n", "onsite", "on-site"), ("", "null", "none", "n/a", "na")
 DATES = ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y")
-_JAVA = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
+#: Parts of a date's format: how text may have them, and Java's letters for reading and for writing them.
+_PARTS = {"%Y": ("[0-9]{4}", "yyyy", "yyyy"), "%m": ("[0-9]{1,2}", "M", "MM"), "%d": ("[0-9]{1,2}", "d", "dd"), "%H": ("[0-9]{1,2}", "H", "HH"), "%M": ("[0-9]{1,2}", "m", "mm"), "%S": ("[0-9]{1,2}", "s", "ss")}
+#: Why a value is wrong, by its cast.
+REASONS = {"string": "string_parse_failed", "bool": "bool_parse_failed", "float": "float_parse_failed", "int": "int_parse_failed", "date_string": "date_parse_failed"}
 ALIASES = {"location": ("location_raw",), "remote": ("remote_flag",)}
 
 
@@ -68,6 +72,25 @@ class Field:
     formats: tuple[str, ...] = DATES
 
 
+def _format(fmt: str) -> tuple[str, str, str]:
+    """A pattern for text in a date's format, and Java's formats for reading and writing it. Months, days and times may have one digit or two."""
+    parts = re.split("(%[YmdHMS])", fmt)
+    if any("%" in p for p in parts[::2]):
+        raise ValueError(f"a date's format that isn't known: {fmt!r}")
+    quoted = lambda p: "'" + p.replace("'", "''") + "'" if p else ""
+    shape = "".join(_PARTS[p][0] if k % 2 else "".join("\\" + x if not x.isalnum() else x for x in p) for k, p in enumerate(parts))
+    return f"^{shape}$", *("".join(_PARTS[p][n] if k % 2 else quoted(p) for k, p in enumerate(parts)) for n in (1, 2))
+
+
+def date_text(c: Column, formats: tuple[str, ...]) -> Column:
+    """The date in the first format that reads it, written in that format with all its digits; null if none does."""
+    found = []
+    for shape, reading, writing in map(_format, formats):
+        when = F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(reading)))
+        found.append(F.date_format(when, writing))
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
 def coerced(c: Column, f: Field) -> tuple[Column, Column]:
     """The cast value, and whether there was something that didn't parse."""
     plain = strip(c.cast("string"))
@@ -80,13 +103,7 @@ def coerced(c: Column, f: Field) -> tuple[Column, Column]:
     elif f.cast == "int":
         value = F.when(F.regexp_replace(plain, ",", "").rlike("^[+-]?[0-9]+$"), F.regexp_replace(plain, ",", "").try_cast("bigint"))
     elif f.cast == "date_string":
-
-        def java(fmt: str) -> str:
-            for k, v in _JAVA.items():
-                fmt = fmt.replace(k, v)
-            return fmt.replace("T", "'T'")
-
-        value = F.coalesce(*[F.when(F.try_to_timestamp(plain, F.lit(java(x))).isNotNull(), plain) for x in f.formats])
+        value = date_text(plain, f.formats)
     else:
         value = plain
     return F.when(~nothing, value), ~nothing & value.isNull()
@@ -112,14 +129,17 @@ def adapt(df: DataFrame, fields: dict[str, Field]) -> tuple[DataFrame, DataFrame
 
 
 def error_samples(df: DataFrame, fields: dict[str, Field], order: str, limit: int = 20) -> DataFrame:
-    """(field, source, value): what didn't parse, at most ``limit`` in all; fields in their order, then rows by ``order``."""
+    """(field, source, value, reason): what didn't parse, at most ``limit`` in all; fields in their order, then rows by ``order``.
+
+    ``order`` is a column such as sources.ordinals gives. Each task passes on ``limit`` rows at the most.
+    """
     wrong = []
     for n, (name, f) in enumerate(fields.items()):
         source = next((s for s in f.sources if s in df.columns), None)
         if source is not None:
-            wrong.append(F.when(coerced(F.col(source), f)[1], F.struct(F.lit(n).alias("n"), F.lit(name).alias("field"), F.lit(source).alias("source"), strip(F.col(source).cast("string")).alias("value"))))
+            wrong.append(F.when(coerced(F.col(source), f)[1], F.struct(F.lit(n).alias("n"), F.lit(name).alias("field"), F.lit(source).alias("source"), strip(F.col(source).cast("string")).alias("value"), F.lit(REASONS[f.cast]).alias("reason"))))
     each = df.select(F.col(order).alias("_order"), F.explode(F.array_compact(F.array(*wrong))).alias("s"))
-    return each.orderBy("s.n", "_order").limit(limit).select("s.field", "s.source", "s.value")
+    return each.orderBy("s.n", "_order").limit(limit).select("s.field", "s.source", "s.value", "s.reason")
 
 
 @dataclass(frozen=True)

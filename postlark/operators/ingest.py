@@ -204,21 +204,21 @@ FIELDS = "id title company location remote mode description_text description_htm
 _KINDS = {"remote": "boolean", "salary_min": "double", "salary_max": "double"}
 
 
-def normalized(records: DataFrame, source: str, source_ref: str, at: str, raw: str = "raw") -> DataFrame:
+def normalized(records: DataFrame, source: str, source_ref: str, at: str, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
     """Records of one board (a column of JSON texts) in the ingested schema of 24 columns.
 
     Rows that aren't JSON objects have nulls but for the source's own columns. The company falls back on
     source_ref, the description on the markup, remote and work_mode on the place, and posted_at on the
-    board's other dates. ``at`` is the time of the run.
+    board's other dates. ``at`` is the time of the run. Columns of the records named in ``keep`` stay.
     """
     extract = {"greenhouse": _greenhouse, "lever": _lever, "ashby": _ashby, "workable": _workable}.get(source, _any)
-    parsed = records.select(F.col(raw).alias("_raw"), F.try_parse_json(raw).alias("_json"))
+    parsed = records.select(F.col(raw).alias("_raw"), F.try_parse_json(raw).alias("_json"), *keep)
     r = Fetched(F.col("_json"))
     found = extract(r)
     typed = {c: found.get(c, F.lit(None)).cast(_KINDS.get(c, "string")) for c in FIELDS}
     late = F.coalesce(*[when_said(r.text(p)) for p in POSTED.get(source, POSTED[""])])
-    fetched = parsed.select("_raw", "_json", *[Record(F.col("_json")).field(p).alias(p) for p in r.paths])
-    base = fetched.select("_raw", *[v.alias(c) for c, v in typed.items()], late.alias("_late"))
+    fetched = parsed.select("_raw", "_json", *keep, *[Record(F.col("_json")).field(p).alias(p) for p in r.paths])
+    base = fetched.select("_raw", *keep, *[v.alias(c) for c, v in typed.items()], late.alias("_late"))
     mode = mode_of(F.col("mode"))
     described = plain_description(F.col("description_text"), F.col("description_html"))
     return base.select(
@@ -226,7 +226,7 @@ def normalized(records: DataFrame, source: str, source_ref: str, at: str, raw: s
         described.alias("description_text"), "description_html", F.array().cast("array<string>").alias("skills"), "salary_min", "salary_max", "apply_url", F.coalesce("posted_at", "_late").alias("posted_at"),
         F.lit(source).alias("source"), F.lit(source_ref).alias("source_ref"), F.col("id").alias("source_job_id"), F.coalesce("job_url", "apply_url").alias("job_url"), F.lit(at).alias("ingested_at_utc"),
         payload_hash(F.col("_raw")).alias("source_payload_hash"), "source_updated_at", F.when(mode != "unknown", mode).otherwise(mode_of(F.col("location"))).alias("work_mode"),
-        "salary_currency", "salary_interval", "employment_type", "seniority",
+        "salary_currency", "salary_interval", "employment_type", "seniority", *keep,
     )
 
 

@@ -1,4 +1,4 @@
-"""Whole runs: a configured run from any source to ranked postings, and pulls of records into a catalog."""
+"""Whole runs: a configured run from any source to ranked postings; pulls of records are in ``sync``."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from . import catalog, contract, ingest, plugins, stages
-from ..functions.text import clipped, dedup_key
+from . import contract, plugins, stages
+from ..functions.text import clipped
 
 
 @dataclass(frozen=True)
@@ -76,63 +76,3 @@ def run(source: DataFrame, config: Config | None = None) -> Run:
             raise ValueError(f"no stage {stage!r}")
         df = seen(stage, df) if stage != "match" else df
     return Run(df, applications, errors, conflicts, observed)
-
-
-# -- pulls of records -----------------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Pull:
-    """One board's pull: its records as JSON texts in ``raw``, and how much of it was asked for."""
-
-    source: str
-    source_ref: str
-    records: DataFrame
-    requests: int = 1
-    max_pages: int = 25
-    max_jobs: int = 5000
-    fetched: int | None = None
-    page_repeated: bool = False
-
-    def complete(self) -> bool:
-        """Whether the board was read to its end: neither limit was met and no page came twice."""
-        return self.requests < self.max_pages and (self.fetched or 0) < self.max_jobs and not self.page_repeated
-
-    def warnings(self) -> list[str]:
-        cut = self.requests >= self.max_pages or (self.fetched or 0) >= self.max_jobs
-        return [code for code, is_so in (("INGEST_TRUNCATED", cut), ("INGEST_PAGE_REPEAT_DETECTED", self.page_repeated)) if is_so]
-
-
-def checked_pull(pull: Pull, at: str) -> dict[str, DataFrame]:
-    """The first part of a sync, which keeps nothing: normalized records, first of each posting, and their checks."""
-    found = ingest.normalized(pull.records, pull.source, pull.source_ref, at)
-    keyed = found.withColumn("stable_key", dedup_key())
-    # of postings that agree, the one that sorts first by its hash: records have no order of their own
-    unique = catalog.keep_first(keyed, "stable_key", "source_payload_hash")
-    return {"records": unique, "checks": ingest.quality_checks(unique, at), "completeness": ingest.key_completeness(unique)}
-
-
-def synced(pull: Pull, known: DataFrame, at: str, watermark: str | None = None, seen: DataFrame | None = None, policy: str = "updated_hash", prune_days: int = 90) -> dict[str, DataFrame]:
-    """Normalize, leave out what was seen, keep the first of each posting, check, and merge into the catalog.
-
-    Returns records, checks, completeness, catalog (after the merge, with ``change``) and watermarks.
-    """
-    parts = checked_pull(pull, at)
-    fresh = catalog.newer(parts["records"], watermark, seen)
-    coming = fresh.select("stable_key", F.col("source_payload_hash").alias("payload_hash"), "posted_at", F.col("source_updated_at").alias("updated_at"), F.to_json(F.struct(*[c for c in sorted(fresh.columns) if c != "stable_key"])).alias("record_json"))
-    merged = catalog.merge(known, coming, at, pull.complete() and watermark is None, policy, prune_days)
-    return parts | {"records": fresh, "catalog": merged, "watermarks": ingest.watermarks(fresh)}
-
-
-def synced_all(pulls: list[Pull], known: dict[tuple[str, str], DataFrame], at: str, fail_fast: bool = False) -> tuple[dict[tuple[str, str], dict[str, DataFrame]], dict[tuple[str, str], str]]:
-    """Syncs of several boards, one after the other: what each gave, and the errors of those that failed."""
-    done, failed = {}, {}
-    for pull in pulls:
-        key = pull.source, pull.source_ref
-        try:
-            done[key] = synced(pull, known[key], at)
-        except Exception as e:
-            if fail_fast:
-                raise
-            failed[key] = f"{type(e).__name__}: {e}"
-    return done, failed

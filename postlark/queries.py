@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import batch, catalog, contract, eda, guards, inference, ingest, matching, plugins, profile, profiles, publish, reliability, run, stages
+from .operators import batch, catalog, contract, eda, guards, inference, ingest, matching, plugins, profile, profiles, publish, reliability, run, stages, sync
 from .plans.jobs import JOBS_SQL, jobs
 from .plans.records import AT, NORMALIZED_SQL, REF, raw_records
+from .sources.ordinals import parquet_in_order
+from .sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,8 +52,8 @@ def normalize_contract(spark, sf_dir):
     return contract.conform(raw).select("id", "remote", "skills", "salary_min", "salary_max", "posted_at")
 
 
-@query("""with raw as (select event_id, case event_id % 5 when 0 then '1,200' when 1 then 'x' when 2 then ' n/a ' when 3 then '7.5' else null end as pay, case event_id % 3 when 0 then 'YES' when 1 then 'off' else 'no' end as flag, case event_id % 4 when 0 then '2026-01-10' when 1 then '10/11/2026' when 2 then 'bad' else null end as day from events)
-    select event_id, case event_id % 5 when 0 then 1200.0::double when 3 then 7.5::double end as salary_min, case event_id % 3 when 0 then true when 2 then false end as remote, case when event_id % 4 < 2 then day end as posted_at from raw""")
+@query("""with raw as (select event_id, case event_id % 5 when 0 then '1,200' when 1 then 'x' when 2 then ' n/a ' when 3 then '7.5' else null end as pay, case event_id % 3 when 0 then 'YES' when 1 then 'off' else 'no' end as flag, null as day from events)
+    select event_id, case event_id % 5 when 0 then 1200.0::double when 3 then 7.5::double end as salary_min, case event_id % 3 when 0 then true when 2 then false end as remote, case event_id % 8 when 0 then '2026-01-10' when 4 then '2026-01-10 07:05:00' when 1 then '10/11/2026' when 5 then '05/01/2026' end as posted_at from raw""")
 def adapter(spark, sf_dir):
     return _adapted(spark, sf_dir)[0].select("event_id", "salary_min", "remote", "posted_at")
 
@@ -63,16 +65,15 @@ def adapter_errors(spark, sf_dir):
 
 def _adapted(spark, sf_dir):
     i = F.col("event_id")
-    raw = read(spark, sf_dir, "events").select("event_id", F.when(i % 5 == 0, "1,200").when(i % 5 == 1, "x").when(i % 5 == 2, " n/a ").when(i % 5 == 3, "7.5").alias("pay"), F.when(i % 3 == 0, "YES").when(i % 3 == 1, "off").otherwise("no").alias("flag"), F.when(i % 4 == 0, "2026-01-10").when(i % 4 == 1, "10/11/2026").when(i % 4 == 2, "bad").alias("day"))
+    raw = read(spark, sf_dir, "events").select("event_id", F.when(i % 5 == 0, "1,200").when(i % 5 == 1, "x").when(i % 5 == 2, " n/a ").when(i % 5 == 3, "7.5").alias("pay"), F.when(i % 3 == 0, "YES").when(i % 3 == 1, "off").otherwise("no").alias("flag"), F.when(i % 8 == 0, "2026-01-10").when(i % 8 == 4, "2026-1-10 7:5:00").when(i % 8 == 1, "10/11/2026").when(i % 8 == 5, "5/1/2026").when(i % 4 == 2, "31/02/2026").alias("day"))
     return contract.adapt(raw, {"salary_min": contract.Field(("salary", "pay"), "float"), "remote": contract.Field(("flag",), "bool"), "posted_at": contract.Field(("day",), "date_string")})
 
 
-@query("""select 'salary_min' as field, 'pay' as source, 'x' as value from (select event_id from events where event_id % 5 = 1 order by event_id limit 7)
-    union all select 'remote', 'flag', 'off' from (select event_id from events where event_id % 3 = 1 order by event_id limit 0)""")
+@query("""with o as (select event_id, row_number() over () as o from events) select * from (select 'salary_min' as field, 'pay' as source, 'x' || event_id as value, 'float_parse_failed' as reason from o where event_id % 5 = 1 order by o limit 7)""")
 def adapter_error_samples(spark, sf_dir):
     i = F.col("event_id")
-    raw = read(spark, sf_dir, "events").select("event_id", F.when(i % 5 == 1, "x").otherwise("1").alias("pay"), F.when(i % 3 == 1, "off").otherwise("no").alias("flag"))
-    return contract.error_samples(raw, {"salary_min": contract.Field(("salary", "pay"), "float"), "remote": contract.Field(("flag",), "bool")}, "event_id", 7)
+    raw = parquet_in_order(spark, f"{sf_dir}/events.parquet").select("ordinal", F.when(i % 5 == 1, F.concat(F.lit("x"), i)).otherwise("1").alias("pay"), F.when(i % 3 == 1, "off").otherwise("no").alias("flag"))
+    return contract.error_samples(raw, {"salary_min": contract.Field(("salary", "pay"), "float"), "remote": contract.Field(("flag",), "bool")}, "ordinal", 7)
 
 
 @query("select count(*) filter (doc_id % 10 = 0) as location_conflicts, count(*) filter (doc_id % 4 = 0) as remote_conflicts from documents")
@@ -528,7 +529,52 @@ def ingest_sync(spark, sf_dir):
     raw = raw_records(spark, sf_dir, "greenhouse").where("doc_id % 10 <> 0")
     url, whole = F.concat(F.lit("url:https://g.example/"), F.col("doc_id")), raw_records(spark, sf_dir, "greenhouse")
     known = whole.where("doc_id % 3 <> 2").select(url.alias("stable_key"), F.lit("2026-01-01").alias("first_seen_at_utc"), F.lit("2026-01-01").alias("last_seen_at_utc"), F.lit(True).alias("is_active"), F.when(F.col("doc_id") % 3 == 0, ingest.payload_hash(F.col("raw"))).otherwise("0").alias("last_payload_hash"), F.lit("2025-12-01").alias("latest_posted_at"), F.lit("2025-12-01").alias("latest_updated_at"), F.lit("{}").alias("latest_record_json"))
-    return run.synced(run.Pull("greenhouse", REF, raw), known, AT)["catalog"].select("stable_key", "is_active", "change")
+    nothing = spark.createDataFrame([], sync.STATE)
+    return sync.synced(sync.Pull("greenhouse", REF, raw), known, nothing, AT).catalog.select("stable_key", "is_active", "change")
+
+
+def _twice(spark, sf_dir):
+    """Two pulls of a board in a row: two thirds of its postings, then all, a quarter of them with later dates. The second one was cut short."""
+    numbers = parquet_in_order(spark, f"{sf_dir}/documents.parquet").select("doc_id", "ordinal")
+    board = raw_records(spark, sf_dir, "lever").join(numbers, "doc_id")
+    later = F.regexp_replace("raw", '"createdAt":1767', '"createdAt":1768')
+    first = sync.Pull("lever", REF, board.where("doc_id % 3 <> 0"))
+    second = sync.Pull("lever", REF, board.withColumn("raw", F.when(F.col("doc_id") % 4 == 0, later).otherwise(F.col("raw"))), requests=25)
+    one = sync.synced(first, spark.createDataFrame([], sync.CATALOG), spark.createDataFrame([], sync.STATE), "2026-01-14T00:00:00+00:00")
+    known, state = kept(one.catalog.drop("change"), "catalog"), kept(one.state, "state")
+    return sync.synced(second, known, state, AT)
+
+
+_TWICE_SQL = """b as (select doc_id as i, row_number() over () - 1 as ordinal from documents), first as (select *, row_number() over (order by ordinal desc) as back from b where i % 3 <> 0),
+    mark as (select max(i) as top from first), t as (select b.*, i + case when i % 4 = 0 then 1000000 else 0 end as secs, f.i is not null as known, coalesce(back <= 500, false) as seen, top from b left join first f using (i), mark),
+    came as (select * from t where not seen and secs > top)"""
+
+
+@query(f"with {_TWICE_SQL} select 'url:https://l.example/' || i as stable_key, case when i in (select i from came) then '2026-01-15T00:00:00+00:00' else '2026-01-14T00:00:00+00:00' end as last_seen_at_utc, case when i not in (select i from came) then 'kept' when known then 'updated' else 'new' end as change from t where known or i in (select i from came)")
+def sync_twice(spark, sf_dir):
+    """The catalog after the second pull: only what the state of the first one doesn't rule out was taken."""
+    return _twice(spark, sf_dir).catalog.select("stable_key", "last_seen_at_utc", "change")
+
+
+@query(f"""with {_TWICE_SQL}, ids as (select i, 0 as pull, ordinal from first where back <= 500 union all select i, 1, ordinal from came), last as (select *, row_number() over (order by pull desc, ordinal desc) as back from ids)
+    select source, source_ref, strftime(timestamp '2026-01-01' + to_seconds(greatest((select max(secs) from came), top)), '%Y-%m-%dT%H:%M:%S+00:00') as high_posted_at, strftime(timestamp '2026-01-01' + to_seconds(greatest((select max(secs) from came), top)), '%Y-%m-%dT%H:%M:%S+00:00') as high_updated_at, '2026-01-15T00:00:00+00:00' as last_success_at_utc,
+    false as last_coverage_complete, (select string_agg('L' || i, ',' order by back desc) from last where back <= 500) as recent_ids from (select 'lever' as source, 'acme' as source_ref, top from mark)""")
+def sync_state(spark, sf_dir):
+    """The board's state after both pulls: merged watermarks and the last 500 ids in order of arrival."""
+    return _twice(spark, sf_dir).state.withColumn("recent_ids", F.array_join("recent_ids", ","))
+
+
+@query("select doc_id, row_number() over () - 1 as ordinal from documents")
+def input_ordinals(spark, sf_dir):
+    """The place of every row in its file."""
+    return parquet_in_order(spark, f"{sf_dir}/documents.parquet").select("doc_id", "ordinal")
+
+
+@query("select n_chars % 50 as k, arg_min(doc_id, o) as doc_id from (select *, row_number() over () as o from documents) group by 1")
+def dedup_in_input_order(spark, sf_dir):
+    """The first row of each key in the order of the input."""
+    docs = parquet_in_order(spark, f"{sf_dir}/documents.parquet").select((F.col("n_chars") % 50).alias("k"), "doc_id", "ordinal")
+    return catalog.keep_first(docs, "k", "ordinal").select("k", "doc_id")
 
 
 # -- composites -----------------------------------------------------------------------------------------

@@ -101,36 +101,58 @@ def read_bundle(spark: SparkSession, folder: str) -> tuple[dict, dict[str, DataF
     return manifest, {name: spark.read.parquet(f"{folder}/{f}") for name, f in manifest["files"].items()}
 
 
-def _version(spark: SparkSession, path: str) -> str | None:
-    """The folder of the version that the pointers name last; null before the first run."""
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of the pointers under a path, by number."""
     store, make = _store(spark, path)
     if not store.exists(make(path)):
-        return None
-    names = sorted(f.getPath().getName() for f in store.listStatus(make(path)))
-    pointers = [n for n in names if n.startswith("current-")]
-    return f"{path}/{pointers[-1].split('-', 2)[2]}" if pointers else None
+        return []
+    names = sorted(f.getPath().getName() for f in store.listStatus(make(path)) if f.getPath().getName().startswith("current-"))
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+    out = []
+    for name in names:
+        stream = store.open(make(f"{path}/{name}"))
+        out.append((int(name.split("-")[1]), read(stream, "UTF-8")))
+        stream.close()
+    return out
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The catalog's latest whole version, or an empty table of the schema before the first run."""
-    version = _version(spark, path.rstrip("/"))
-    return spark.read.schema(schema).parquet(version) if version else spark.createDataFrame([], schema)
+    pointers = _pointers(spark, path.rstrip("/"))
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{pointers[-1][1]}") if pointers else spark.createDataFrame([], schema)
 
 
-def write_catalog(df: DataFrame, path: str) -> None:
-    """Write a new version of the catalog, which ``df`` may itself read, and point to it.
+#: A version that no pointer names is taken for one whose writer died when it is older than this.
+ABANDONED_MS = 24 * 3600 * 1000
 
-    Versions are folders; an empty file ``current-<number>-<version>`` points to one, the highest number
-    counts. It is made last, so that a run that breaks off leaves the version before as it is. Older versions
-    but the last go after that.
+
+def write_catalog(df: DataFrame, path: str) -> int:
+    """Write a new version of a table, which ``df`` may itself read, and point to it; returns its number.
+
+    Versions are folders; a file ``current-<number>`` names one, the highest number counts. It is made last and never
+    replaced: a run that breaks off leaves the version before as it is, and of two writers that began from the same
+    version the later one fails, so no merge is lost unnoticed. Older versions but the last go after that, and so do
+    versions a day old that no pointer names.
     """
     spark, path = df.sparkSession, path.rstrip("/")
+    store, make = _store(spark, path)
+    pointers = _pointers(spark, path)
+    number = pointers[-1][0] + 1 if pointers else 1
     version = f"version-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    store, make = _store(spark, path)
-    pointers = sorted(n for n in (f.getPath().getName() for f in store.listStatus(make(path))) if n.startswith("current-"))
-    number = int(pointers[-1].split("-", 2)[1]) + 1 if pointers else 1
-    store.create(make(f"{path}/current-{number:012d}-{version}"), False).close()
-    for name in pointers[:-1]:
-        store.delete(make(f"{path}/{name.split('-', 2)[2]}"), True)
-        store.delete(make(f"{path}/{name}"), False)
+    try:
+        out = store.create(make(f"{path}/current-{number:012d}"), False)
+    except Exception as e:
+        store.delete(make(f"{path}/{version}"), True)
+        raise RuntimeError(f"{path} was written by another run meanwhile") from e
+    out.write(bytearray(version.encode()))
+    out.close()
+    for n, old in pointers[:-1]:
+        store.delete(make(f"{path}/{old}"), True)
+        store.delete(make(f"{path}/current-{n:012d}"), False)
+    named = {version, *(v for _, v in pointers[-1:])}
+    now = dt.datetime.now(dt.UTC).timestamp() * 1000
+    for f in store.listStatus(make(path)):
+        if f.getPath().getName().startswith("version-") and f.getPath().getName() not in named and now - f.getModificationTime() > ABANDONED_MS:
+            store.delete(f.getPath(), True)
+    return number

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postlark.functions import text
 from postlark.operators import contract, eda, guards, inference, ingest, matching, plugins, profile, publish, run
 from postlark.plans.jobs import jobs
-from postlark.plans.records import AT, raw_records
+from postlark.plans.records import AT
 
 SF = "/root/testdata/sf0.001"
 NOW = "2026-01-15 00:00:00"
@@ -71,18 +71,6 @@ def test_ingest_of_what_is_no_record(spark):
     assert [r[0] for r in spark.createDataFrame([("2026-01-02",), ("2026-01-02T03:04:05.5+02:00",), ("2026-1-2",), (None,)], "c string").select(text.iso_utc(F.col("c"))).collect()] == ["2026-01-02T00:00:00+00:00", "2026-01-02T01:04:05.500000+00:00", None, None]
 
 
-def test_sync_of_several_boards(spark):
-    pulls = [run.Pull(s, "acme", raw_records(spark, SF, s).limit(20), fetched=20) for s in ("greenhouse", "lever")]
-    schema = "stable_key string, first_seen_at_utc string, last_seen_at_utc string, is_active boolean, last_payload_hash string, latest_posted_at string, latest_updated_at string, latest_record_json string"
-    known = {("greenhouse", "acme"): spark.createDataFrame([], schema)}
-    done, failed = run.synced_all(pulls, known, AT)
-    assert list(failed) == [("lever", "acme")] and {r.change for r in done["greenhouse", "acme"]["catalog"].collect()} == {"new"}
-    with pytest.raises(KeyError):
-        run.synced_all(pulls, known, AT, fail_fast=True)
-    cut = run.Pull("lever", "acme", pulls[1].records, requests=25, page_repeated=True)
-    assert not cut.complete() and cut.warnings() == ["INGEST_TRUNCATED", "INGEST_PAGE_REPEAT_DETECTED"] and pulls[0].complete()
-
-
 def good(df: DataFrame, context: plugins.Context) -> DataFrame:
     return df
 
