@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import batch, catalog, contract, eda, guards, inference, ingest, matching, plugins, profile, profiles, publish, reliability, run, stages, sync
+from .operators import batch, catalog, contract, eda, guards, inference, ingest, matching, plugins, pointers, profile, profiles, publish, reliability, run, stages, sync
 from .plans.jobs import JOBS_SQL, jobs
 from .plans.records import AT, NORMALIZED_SQL, REF, raw_records
 from .sources.ordinals import parquet_in_order
-from .sources.shared import kept
+from .sources.shared import kept, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -465,6 +466,19 @@ def catalog_merge_first_seen(spark, sf_dir):
     return _catalog(spark, sf_dir, "first_seen")
 
 
+@query("""with s as (select o_orderkey as k, o_orderkey % 3 <> 0 as old, o_orderkey % 4 <> 0 as new from orders), c as (select *, new and (not old or (k % 7 <> 0 and k % 11 < 5)) as takes from s where old or new)
+    select k::varchar as stable_key, new as is_active, case when takes and k % 7 <> 0 then 'h2' else 'h1' end as last_payload_hash, case when takes then '{"from": "second"}' else '{"from": "first"}' end as latest_record_json from c""")
+def catalog_of_pointers(spark, sf_dir):
+    """Two merges into a catalog that moves keys only, read with its texts."""
+    o, folder = read(spark, sf_dir, "orders"), f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    key, none = F.col("o_orderkey").cast("string").alias("stable_key"), F.lit(None).cast("string").alias("updated_at")
+    first = o.where("o_orderkey % 3 <> 0").select(key, F.lit("h1").alias("payload_hash"), F.lit("2025-06-01").alias("posted_at"), none, F.lit('{"from": "first"}').alias("record_json"))
+    second = o.where("o_orderkey % 4 <> 0").select(key, F.when(F.col("o_orderkey") % 7 == 0, "h1").otherwise("h2").alias("payload_hash"), F.when(F.col("o_orderkey") % 11 < 5, "2025-07-01").otherwise("2025-05-01").alias("posted_at"), none, F.lit('{"from": "second"}').alias("record_json"))
+    pointers.merge(spark, folder, first, "2026-01-01", True)
+    pointers.merge(spark, folder, second, "2026-01-15", True)
+    return pointers.read(spark, folder).select("stable_key", "is_active", "last_payload_hash", "latest_record_json")
+
+
 @query("select count(*) filter (o_orderkey % 3 = 0 and o_orderkey % 4 <> 0) as inserts, count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 4 <> 0) as updates, count(*) filter (o_orderkey % 3 <> 0 and o_orderkey % 4 = 0) as missing from orders")
 def upsert_counts(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
