@@ -346,7 +346,7 @@ def test_grammar_goes_on_until_nothing_pays():
         last = at[1:] - 1  # no pair reaches into the last symbol of a document
         inside[[x for x in np.concatenate([last, last - 1]) if 0 <= x < len(inside)]] = False
         pairs = Counter(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist(), strict=True))
-        assert all(n < token_files.break_even(first) or a == b for (a, b), n in pairs.items())
+        assert all(n < token_files.worth(first) or a == b for (a, b), n in pairs.items())
         k = int(np.argmax(np.diff(shard.tokens_at)))
         whole = docs[k].tolist()
         assert all(shard.tokens(k, a, min(a + 3, len(whole))).tolist() == whole[a : a + 3] for a in range(0, len(whole), 2))
@@ -558,11 +558,11 @@ def test_pipeline_stages_keep_and_give_exactly_what_they_should(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
 
 
-def test_break_even_of_a_rule():
-    """A rule pays from that count on: two symbols and a length against one symbol a use."""
+def test_worth_of_a_rule():
+    """A pair gets a rule from that count on: what it saves is half as much again as two symbols and a length."""
     for first in (5, 40_000, 70_000, 1 << 20):
-        n, symbol = token_files.break_even(first), max(16, first.bit_length()) / 8
-        assert n * symbol > 2 * symbol + token_files.RULE_BYTES >= (n - 1) * symbol
+        n, symbol = token_files.worth(first), max(16, first.bit_length()) / 8
+        assert n * symbol >= 1.5 * (2 * symbol + token_files.RULE_BYTES) > (n - 1) * symbol
 
 
 CLASHING = ("u", "copies", "copy", "source_key", "shuffle_key", "row", "rate", "id", "n_words", "kept", "rule", "base_failed", "_document", "_text", "cumulative")
