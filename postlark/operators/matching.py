@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import contains_any, strip, text_or_null, timestamp, tokens
+from ..sources.shared import kept
 from .contract import truth
 
 #: Signals in order with their weights, factors of feedback events, modes of work and kinds of employment.
@@ -113,7 +114,9 @@ def postings(index: DataFrame, shards: int = 16, block: int = 4096) -> DataFrame
     A token's jobs are dealt to blocks by a hash of their ids: as many blocks as give about ``block`` jobs to
     each, so that what one task gathers stays bounded however common the token is. Most tokens have one.
     """
-    each = index.select("job_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    # texts are cut into tokens once; counts and lists both read what is kept
+    once = kept(index.select("job_id", F.array_distinct("tokens").alias("tokens")), "tokens")
+    each = once.select("job_id", F.explode("tokens").alias("token"))
     counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)  # the few common ones
     blocks = each.join(counted, "token", "left").withColumn("block", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("job_id"), F.ceil(F.col("n") / block))).cast("long"))
     shard = (F.conv(F.substring(F.sha2("token", 256), 1, 2), 16, 10).cast("int") % shards).alias("shard")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from ..functions.text import strip, timestamp
 
 #: What stands for nothing, and the weights of the default quality profile.
@@ -123,22 +124,41 @@ def high_sentinels(df: DataFrame, limit: int = 10) -> DataFrame:
 RANGES = 64
 
 
-def deciles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, quantile, value): the value nearest to each tenth of the sorted rows.
+def decile_curves(values: DataFrame, by: list[str]) -> DataFrame:
+    """(<by>, quantile, value): the value nearest to each tenth of the sorted rows of each group; ``values`` has the groups and ``value``.
 
-    Distinct values are counted first. They are cut into ranges of about equal numbers of distinct values,
-    whatever their spread; ranks come from running sums over the ranges and then within each, so no task
-    needs all values of a column.
+    Distinct values are counted once for all groups, and kept. They are cut into ranges of about equal numbers of
+    distinct values, whatever their spread; the rows of each range say which ranges hold the wanted places, and
+    only these are sorted, each by itself. Groups are few (columns, or sides of a comparison): their cuts and the sums of their
+    ranges, RANGES at most for each, come to the driver.
     """
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")).select("s.*").where("value is not null")
-    counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counted.groupBy("column").agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"), F.sum("n").alias("total"))
-    placed = counted.join(F.broadcast(cuts), "column").withColumn("slot", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    slots = placed.groupBy("column", "slot").agg(F.sum("n").alias("m"))
-    before = slots.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("column").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    within = placed.join(F.broadcast(before), ["column", "slot"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column", "slot").orderBy("value")))
-    wanted = within.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("place", F.floor(F.col("q") / 10.0 * (F.col("total") - 1) + 0.5))
-    return wanted.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))).select("column", (F.col("q") / 10.0).alias("quantile"), "value")
+    spark = values.sparkSession
+    counted = kept(values.where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")), "counted")
+    cuts = counted.groupBy(*by).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"))
+    known = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
+    placed = counted.join(known, by).withColumn("slot", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    sums: dict[tuple, list[tuple[int, int]]] = {}
+    for *group, slot, rows in placed.groupBy(*by, "slot").agg(F.sum("n").alias("rows")).collect():
+        sums.setdefault(tuple(group), []).append((slot, rows))
+    wanted = []
+    for group, slots in sums.items():
+        total, before = sum(n for _, n in slots), 0
+        places = [(q, int(q / 10.0 * (total - 1) + 0.5)) for q in range(11)]
+        for slot, n in sorted(slots):
+            if held := [(q, place - before) for q, place in places if before <= place < before + n]:
+                wanted.append((*group, slot, held))
+            before += n
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema if f.name in by)
+    needed = F.broadcast(spark.createDataFrame(wanted, f"{keys}, slot int, held array<struct<q:int,place:long>>"))
+    within = placed.join(needed, [*by, "slot"]).withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "slot").orderBy("value")))
+    found = within.withColumn("t", F.explode("held")).where((F.col("t.place") < F.col("upto")) & (F.col("t.place") >= F.col("upto") - F.col("n")))
+    return found.select(*by, (F.col("t.q") / 10.0).alias("quantile"), "value")
+
+
+def deciles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, quantile, value): the deciles of some columns; see decile_curves."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    return decile_curves(df.select(F.explode(each).alias("s")).select("s.*"), ["column"])
 
 
 def distribution_with_rest(df: DataFrame, column: str, k: int = 50) -> DataFrame:
@@ -201,7 +221,10 @@ def jensen_shannon(base: DataFrame, candidate: DataFrame, column: str, k: int =
 def stability_index(base: DataFrame, candidate: DataFrame, column: str) -> DataFrame:
     """One row: the population stability index between decile curves, 22 values in all; null if a frame has no values."""
     tiny = 1e-9
-    curve = lambda df, name: deciles(df, [column]).groupBy().agg(F.array_sort(F.collect_list(F.struct("quantile", "value"))).alias(name))
+    sides = [df.select(F.lit(side).alias("side"), F.col(column).cast("double").alias("value")) for side, df in (("x", base), ("y", candidate))]
+    points = decile_curves(sides[0].unionByName(sides[1]), ["side"])
+    # 11 points of either side, in one row
+    curve = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("quantile", "value")))).alias(side)
 
     def below(c: Column, v: Column) -> Column:
         """The share of a curve at or below a value; straight lines between its points."""
@@ -210,7 +233,7 @@ def stability_index(base: DataFrame, candidate: DataFrame, column: str) -> DataF
         at = F.get(F.filter(points, lambda s: v < s["b"]["value"]), F.lit(0))
         return F.when(v < first["value"], first["quantile"]).otherwise(F.coalesce(at["a"]["quantile"] + (v - at["a"]["value"]) / (at["b"]["value"] - at["a"]["value"]) * (at["b"]["quantile"] - at["a"]["quantile"]), last["quantile"]))
 
-    both = curve(base, "x").crossJoin(F.broadcast(curve(candidate, "y")))
+    both = points.agg(curve("x"), curve("y"))
     share = lambda c, k: below(c, F.get(F.col("x"), k)["value"]) - below(c, F.get(F.col("x"), k - 1)["value"])
 
     def part(k: Column) -> Column:

@@ -30,10 +30,15 @@ def job_features(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_from_json(text: str, policy: str = "{}") -> tuple[Candidate, Policy]:
-    """A candidate and a policy from JSON; lists are lower-cased, numbers that don't read as such are left out."""
+    """A candidate and a policy from JSON; lists are lower-cased, numbers that don't read as such are left out.
+
+    What should be a list and isn't is an error. See ``candidates`` for many candidates, and for checks of every field.
+    """
     raw, more = json.loads(text), json.loads(policy)
 
     def low(value) -> tuple[str, ...]:
+        if value is not None and not isinstance(value, list):
+            raise ValueError(f"a list is due, not {value!r}")
         return tuple(str(x).lower() for x in value or ())
 
     def number(value, default):

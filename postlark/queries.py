@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import batch, catalog, contract, eda, guards, inference, ingest, matching, plugins, pointers, profile, profiles, publish, reliability, run, stages, sync
+from .operators import batch, candidates, catalog, contract, eda, guards, inference, ingest, matching, plugins, pointers, profile, profiles, publish, reliability, run, stages, sync
 from .plans.jobs import JOBS_SQL, jobs
 from .plans.records import AT, NORMALIZED_SQL, REF, raw_records
 from .sources.ordinals import parquet_in_order
@@ -377,6 +377,27 @@ def match_batch(spark, sf_dir):
     return out.select("profile_id", "rank", "job_id", "score", F.array_join("required_missing_skills", ",").alias("missing"))
 
 
+#: Candidates as texts: a good one and seven with something wrong.
+_TEXTS = (
+    '{"profile_id": " P# ", "skills": ["Python", "python ", " "], "work_mode_preferences": ["Remote"], "salary_targets": {"minimum": "50000.5", "currency": " eur "}, "visa_work_auth": {"requires_sponsorship": true}}',
+    '{"profile_id": "p#", "seniority_targets": "senior", "skills": ""}', '{"profile_id": "p#", "work_mode_preferences": ["remote", "moon", "Mars"]}', '{"profile_id": "p#", "skills": [1, "a"], "titles": null}',
+    '{"profile_id": "p#", "years_experience": true, "salary_targets": []}', '{"profile_id": " ", "skills": ["c++"]}', "not json #", '{"profile_id": "p#", "visa_work_auth": {"requires_sponsorship": "yes"}, "salary_targets": {"minimum": "lots", "maximum": 70000}}',
+)
+
+
+@query("""select s_suppkey as key, case when s_suppkey % 8 not in (5, 6) then 'p' || s_suppkey end as profile_id, case s_suppkey % 8 when 0 then 'python' when 5 then 'c++' else '' end as skills, case s_suppkey % 8 when 0 then 'remote' else '' end as work_modes,
+    case s_suppkey % 8 when 0 then 50000.5::double end as salary_minimum, case s_suppkey % 8 when 0 then 'EUR' end as salary_currency, case s_suppkey % 8 when 0 then true end as requires_sponsorship,
+    case s_suppkey % 8 when 1 then 'seniority_targets must be an array of strings' when 2 then 'work_mode_preferences contains unsupported values: mars, moon' when 3 then 'skills entries must be strings' when 4 then 'years_experience must be numeric;salary_targets must be an object'
+        when 5 then 'profile_id must be non-empty' when 6 then ' must be an object' when 7 then 'salary_targets.minimum must be numeric;visa_work_auth.requires_sponsorship must be boolean' else '' end as errors from supplier""")
+def candidate_texts(spark, sf_dir):
+    """Candidates read from JSON, with what is wrong with each."""
+    i = F.col("s_suppkey")
+    raw = F.element_at(F.array(*[F.lit(t) for t in _TEXTS]), (i % 8 + 1).cast("int"))
+    out = candidates.parsed_candidates(read(spark, sf_dir, "supplier").select(i.alias("key"), F.replace(raw, F.lit("#"), i.cast("string")).alias("raw")))
+    said = F.transform("errors", lambda e: F.concat(e["field"], F.lit(" "), e["problem"]))
+    return out.select("key", "profile_id", F.array_join("skills", ",").alias("skills"), F.array_join("work_modes", ",").alias("work_modes"), "salary_minimum", "salary_currency", "requires_sponsorship", F.array_join(said, ";").alias("errors"))
+
+
 _CASES_SQL = f"""{_BATCH_SQL}, wished as (select c.i, doc_id::varchar as job_id from c, documents where doc_id % 10 = c.i % 10 and c.i % 4 <> 2 and doc_id < 400), sizes as (select i, count(*) as n from wished group by 1),
     figures as (select k::int as k, avg(h / k::double) as precision, avg(h / n::double) as recall from (select k.k, s.n, (select count(*) from best b join wished w on w.i = b.i and w.job_id = b.job_id where b.i = s.i and b.rank <= k.k) as h from sizes s, (select unnest([10, 25, 50]) as k) k) group by k)"""
 

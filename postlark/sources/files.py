@@ -24,6 +24,14 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
 
 
+def write_raw(df: DataFrame, path: str, raw: str = "raw", mode: str = "errorifexists") -> None:
+    """JSON texts as lines, the keys of objects sorted at every level; texts that aren't JSON are left out.
+
+    A parsed text keeps its keys sorted, so rendering it again is one expression.
+    """
+    df.select(F.to_json(F.try_parse_json(raw)).alias("value")).where("value is not null").write.mode(mode).text(path)
+
+
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of a file of JSON lines; blank lines and lines that don't begin an object are skipped, a broken object fails."""
     lines = spark.read.text(path).where(F.ltrim("value").startswith("{"))
@@ -70,15 +78,55 @@ def read_json(spark: SparkSession, path: str):
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+#: Names by which Spark calls a store that Arrow calls otherwise; stores that Arrow reads.
+_SAME_STORE = {"s3a": "s3", "s3n": "s3"}
+_READ_BY_ARROW = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+#: Bytes of a file that are hashed at once.
+CHUNK = 1 << 23
+
+
+def _hashed(frames):
+    """(name, h) of files (name, uri), each read from its beginning to its end in chunks."""
+    from pyarrow import fs
+
+    for frame in frames:
+        hashes = []
+        for uri in frame["uri"]:
+            scheme, _, rest = uri.partition(":")
+            store, path = fs.FileSystem.from_uri(f"{_SAME_STORE.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}")
+            digest = hashlib.sha256()
+            with store.open_input_stream(path) as stream:
+                while data := stream.read(CHUNK):
+                    digest.update(data)
+            hashes.append(digest.hexdigest())
+        yield frame[["name"]].assign(h=hashes)
+
+
 def content_id(spark: SparkSession, path: str) -> str:
     """SHA-256 over the files of a table, in the order of their names: the id of what it holds.
 
-    Files are hashed where they are read; their hashes alone come together.
+    Files of any size are hashed on executors, a chunk in memory at a time; names and hashes alone come together. Stores that only
+    Spark reads are read by Spark, in which case a file must fit in memory.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
-    each = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
-    if not (rows := each.orderBy("name", "h").collect()):
+    store, make = _store(spark, path)
+    found, listing = [], store.listFiles(make(path), True)
+    while listing.hasNext():
+        status = listing.next()
+        at = status.getPath()
+        if not at.getName().startswith(("_", ".")):
+            found.append((at.getName(), at.toUri().getScheme(), at.toUri().toString(), status.getLen()))
+    if not found:
         raise FileNotFoundError(path)
+    if all(_SAME_STORE.get(scheme, scheme) in _READ_BY_ARROW for _, scheme, _, _ in found):
+        named = spark.createDataFrame([(name, uri) for name, _, uri, _ in found], "name string, uri string")
+        each = named.repartition(min(len(found), 1000)).mapInPandas(_hashed, "name string, h string")
+    else:
+        content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
+        each = content.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+        # Spark's reader passes over files without content
+        empty = [(name, hashlib.sha256(b"").hexdigest()) for name, _, _, size in found if not size]
+        each = each.unionByName(spark.createDataFrame(empty, "name string, h string"))
+    rows = each.orderBy("name", "h").collect()
     return rows[0].h if len(rows) == 1 else hashlib.sha256("".join(r.h for r in rows).encode()).hexdigest()
 
 

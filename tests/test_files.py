@@ -59,3 +59,27 @@ def test_bundle_and_content_id(spark, tmp_path):
     (tmp_path / "one.txt").write_text("abc")
     assert files.content_id(spark, f"file://{tmp_path}/one.txt") == hashlib.sha256(b"abc").hexdigest()
     assert files.content_id(spark, f"{folder}/tables/a.parquet") != files.content_id(spark, f"{folder}/tables/b.parquet")
+
+
+def test_content_id_reads_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "CHUNK", 1000)
+    (tmp_path / "t/deep").mkdir(parents=True)
+    data = {"b": b"x" * 5001, "a": b"", "c c": bytes(range(256)) * 20}
+    (tmp_path / "t/b").write_bytes(data["b"])
+    (tmp_path / "t/deep/a").write_bytes(data["a"])
+    (tmp_path / "t/c c").write_bytes(data["c c"])
+    (tmp_path / "t/_SUCCESS").write_bytes(b"")
+    (tmp_path / "t/.hidden").write_bytes(b"1")
+    want = hashlib.sha256("".join(hashlib.sha256(data[n]).hexdigest() for n in sorted(data)).encode()).hexdigest()
+    assert files.content_id(spark, f"file://{tmp_path}/t") == files.content_id(spark, f"{tmp_path}/t") == want
+    monkeypatch.setattr(files, "_READ_BY_ARROW", ())  # a store that only Spark reads
+    assert files.content_id(spark, f"file://{tmp_path}/t") == want
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.content_id(spark, f"file://{tmp_path}/empty")
+
+
+def test_raw_lines_have_sorted_keys(spark, tmp_path):
+    texts = ['{"b": {"z": 1, "a": [ {"y": null, "x": "\\u00e9"} ]}, "a": 1.50}', "not json", None, "[2, 1]", '{"b":1, "B":2}']
+    files.write_raw(spark.createDataFrame([(t,) for t in texts], "raw string").coalesce(1), f"file://{tmp_path}/raw")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/raw").collect()] == ['{"a":1.5,"b":{"a":[{"x":"é","y":null}],"z":1}}', "[2,1]", '{"B":2,"b":1}']
