@@ -58,22 +58,22 @@ def curve_of(sketches: DataFrame) -> DataFrame:
     return points.select(*known, F.posexplode("values").alias("q", "value")).select(*known, (F.col("q") / 10.0).alias("quantile"), "value")
 
 
-def shares_below(sketches: DataFrame, edges: DataFrame) -> DataFrame:
-    """(column, edge, share): how much of a column lies at or below each edge (column, edge), from one merged row a column.
-
-    A sketch gives quantiles of shares that are known when planning; the share of an edge is how many of GRID of them are at or below it.
-    """
-    grid = F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit((k + 0.5) / GRID) for k in range(GRID)]))
-    filled = sketches.where(F.kll_sketch_get_n_double("quantile_sketch") > 0).select("column", grid.alias("grid"))
-    return filled.join(edges, "column").select("column", "edge", (F.size(F.filter("grid", lambda v: v <= F.col("edge"))) / F.lit(float(GRID))).alias("share"))
+def _grid() -> Column:
+    """Quantiles that stand for a column: a sketch gives those of shares that are known when planning."""
+    return F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit((k + 0.5) / GRID) for k in range(GRID)]))
 
 
 def drift_of(base: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(column, psi): the stability index between two merged profiles, over ten ranges cut at the base's deciles; shares below 1e-9 count as that."""
-    edges = curve_of(base).where("quantile > 0 and quantile < 1").select("column", F.col("value").alias("edge")).distinct()
-    both = shares_below(base, edges).withColumnRenamed("share", "p").join(shares_below(candidate, edges).withColumnRenamed("share", "q"), ["column", "edge"])
-    points = both.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("edge", "p", "q"))).alias("points"))  # nine a column
-    ends = F.concat(F.array(F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))), F.transform("points", lambda x: F.struct(x["p"].alias("p"), x["q"].alias("q"))), F.array(F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("q"))))
+    """(column, psi): the stability index between two merged profiles, over ten ranges cut at the base's deciles.
+
+    Shares are those of GRID quantiles of either side at or below a cut; a range's share below 1e-9 counts as that. Both sides of a column meet in
+    one row, so cuts and shares come from one reading of its sketch: merging sketches draws at random.
+    """
+    filled = lambda df: df.where(F.kll_sketch_get_n_double("quantile_sketch") > 0)
+    cuts = F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit(q / 10) for q in range(1, 10)]))
+    both = filled(base).select("column", cuts.alias("cuts"), _grid().alias("x")).join(filled(candidate).select("column", _grid().alias("y")), "column")
+    below = lambda side, cut: F.size(F.filter(side, lambda v: v <= cut)) / F.lit(float(GRID))
+    ends = F.concat(F.array(F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))), F.transform("cuts", lambda c: F.struct(below("x", c).alias("p"), below("y", c).alias("q"))), F.array(F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("q"))))
     tiny = lambda x: F.greatest(x, F.lit(1e-9))
     parts = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.struct(tiny(b["p"] - a["p"]).alias("p"), tiny(b["q"] - a["q"]).alias("q")))
-    return points.select("column", F.aggregate(parts, F.lit(0.0), lambda s, x: s + (x["p"] - x["q"]) * F.ln(x["p"] / x["q"])).alias("psi"))
+    return both.select("column", F.aggregate(parts, F.lit(0.0), lambda s, x: s + (x["p"] - x["q"]) * F.ln(x["p"] / x["q"])).alias("psi"))
