@@ -79,6 +79,23 @@ def upsert(target: DataFrame, stage: DataFrame, key: str) -> DataFrame:
     return stage.unionByName(target.join(stage.select(key), key, "left_anti"))
 
 
+def published(target: DataFrame, stage: DataFrame, key: str, at: str) -> DataFrame:
+    """The target after a publication: the stage's rows active, rows of other keys inactive; ``changed_at`` says since when.
+
+    The stage's columns but ``is_active`` and ``changed_at`` are the target's; keys are unique on either side.
+    """
+    live = upsert(target.drop("is_active", "changed_at"), stage, key)
+    state = target.select(key, F.col("is_active").alias("_was"), F.col("changed_at").alias("_since")).join(stage.select(key, F.lit(True).alias("_here")), key, "full")
+    here = F.coalesce("_here", F.lit(False))
+    since = F.when(F.col("_was").eqNullSafe(here), F.col("_since")).otherwise(F.lit(at))
+    return live.join(state, key).withColumns({"is_active": here, "changed_at": since}).drop("_was", "_since", "_here")
+
+
+def without_orphans(features: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
+    """Features whose job is there and active."""
+    return features.join(jobs.where("is_active").select(key), key, "left_semi")
+
+
 def ingest_checks(df: DataFrame, now: str, nulls: tuple[str, ...] = ("title", "company", "posted_at", "apply_url")) -> DataFrame:
     """One row: rows, share missing of key fields, share with a place or a remote flag, share of readable dates, age of the newest in days."""
     n = F.count(F.lit(1))

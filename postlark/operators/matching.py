@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from ..functions.text import contains_any, strip, text_or_null, timestamp, tokens
 from ..sources.shared import kept
+from .catalog import keep_first
 from .contract import truth
 
 #: Signals in order with their weights, factors of feedback events, modes of work and kinds of employment.
@@ -235,6 +236,37 @@ def feedback_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("profile_id", "event").agg(F.count(F.lit(1)).alias("count"))
 
 
+def feedback_totals(events: DataFrame) -> DataFrame:
+    """(profile_id, event, count): counts of each profile and event, of each event (no profile), and of all (neither), in one pass.
+
+    Events without a profile count under the empty text, so that a total is told from them.
+    """
+    named = events.select(F.coalesce("profile_id", F.lit("")).alias("profile_id"), F.coalesce("event", F.lit("")).alias("event"))
+    return named.groupingSets([["profile_id", "event"], ["event"], []], "profile_id", "event").agg(F.count(F.lit(1)).alias("count"))
+
+
+#: Events that a new one is held against.
+RECENT_EVENTS = 1000
+
+
+def event_hash() -> Column:
+    """What identifies an event: its profile, job, kind and meta (JSON, whose keys count in any order)."""
+    meta = F.coalesce(F.to_json(F.try_parse_json("meta")), F.lit("{}"))
+    return F.sha2(F.to_json(F.struct("event", "job_id", meta.alias("meta"), "profile_id")), 256)
+
+
+def recorded(log: DataFrame, events: DataFrame) -> DataFrame:
+    """Events (profile_id, job_id, event, meta, ordinal) that aren't in the log yet, with ``event_hash``, ready to be appended.
+
+    Blank profiles and jobs, and unknown kinds, go. Of several equal events the first one counts. One is a duplicate if the last RECENT_EVENTS of
+    the log (event_hash, ordinal) have it; what lies further back doesn't count.
+    """
+    tidy = events.withColumns({c: F.lower(text_or_null(F.col(c))) if c == "profile_id" else text_or_null(F.col(c)) for c in ("profile_id", "job_id")})
+    known = tidy.where(F.col("event").isin(*FACTORS) & F.col("profile_id").isNotNull() & F.col("job_id").isNotNull()).withColumn("event_hash", event_hash())
+    first = keep_first(known, "event_hash", "ordinal")
+    return first.join(log.orderBy(F.desc("ordinal")).limit(RECENT_EVENTS).select("event_hash"), "event_hash", "left_anti")
+
+
 def _composed(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     """The maps that do ``first`` and then ``then``. A map w -> min(high, max(low, factor * w)) is (factor, low, high) on axis 1.
 

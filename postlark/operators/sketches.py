@@ -49,29 +49,27 @@ def profile_of(sketches: DataFrame) -> DataFrame:
     return sketches.select(*known, "rows", F.col("nulls").alias("null_count"), F.col("empties").alias("empty_count"), F.col("sentinels").alias("sentinel_count"), F.hll_sketch_estimate("distinct_sketch").alias("distinct_count"))
 
 
+def _quantiles(shares: list[float]) -> Column:
+    """Quantiles of a sketch, whose shares have to be known when planning; null for a sketch without values."""
+    return F.when(F.kll_sketch_get_n_double("quantile_sketch") > 0, F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit(x) for x in shares])))
+
+
 def curve_of(sketches: DataFrame) -> DataFrame:
     """(..., quantile, value): the deciles of columns with numbers; ranks within the sketch's error."""
     known = [c for c in sketches.columns if c not in ("rows", "nulls", "empties", "sentinels", "distinct_sketch", "quantile_sketch")]
-    filled = sketches.where(F.kll_sketch_get_n_double("quantile_sketch") > 0)
-    # the sketch takes a list of shares that is known when planning
-    points = filled.select(*known, F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit(q / 10) for q in range(11)])).alias("values"))
+    points = sketches.select(*known, _quantiles([q / 10 for q in range(11)]).alias("values")).where("values is not null")
     return points.select(*known, F.posexplode("values").alias("q", "value")).select(*known, (F.col("q") / 10.0).alias("quantile"), "value")
 
 
-def _grid() -> Column:
-    """Quantiles that stand for a column: a sketch gives those of shares that are known when planning."""
-    return F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit((k + 0.5) / GRID) for k in range(GRID)]))
-
-
 def drift_of(base: DataFrame, candidate: DataFrame) -> DataFrame:
     """(column, psi): the stability index between two merged profiles, over ten ranges cut at the base's deciles.
 
     Shares are those of GRID quantiles of either side at or below a cut; a range's share below 1e-9 counts as that. Both sides of a column meet in
     one row, so cuts and shares come from one reading of its sketch: merging sketches draws at random.
     """
-    filled = lambda df: df.where(F.kll_sketch_get_n_double("quantile_sketch") > 0)
-    cuts = F.kll_sketch_get_quantile_double("quantile_sketch", F.array(*[F.lit(q / 10) for q in range(1, 10)]))
-    both = filled(base).select("column", cuts.alias("cuts"), _grid().alias("x")).join(filled(candidate).select("column", _grid().alias("y")), "column")
+    grid = _quantiles([(k + 0.5) / GRID for k in range(GRID)])
+    cuts = _quantiles([q / 10 for q in range(1, 10)])
+    both = base.select("column", cuts.alias("cuts"), grid.alias("x")).join(candidate.select("column", grid.alias("y")), "column").where("x is not null and y is not null")
     below = lambda side, cut: F.size(F.filter(side, lambda v: v <= cut)) / F.lit(float(GRID))
     ends = F.concat(F.array(F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))), F.transform("cuts", lambda c: F.struct(below("x", c).alias("p"), below("y", c).alias("q"))), F.array(F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("q"))))
     tiny = lambda x: F.greatest(x, F.lit(1e-9))

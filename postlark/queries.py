@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import batch, candidates, catalog, contract, eda, guards, inference, ingest, matching, plugins, pointers, profile, profiles, publish, reliability, run, stages, sync
+from .operators import batch, candidates, catalog, contract, eda, guards, inference, ingest, matching, plugins, pointers, profile, profiles, publish, reliability, run, sketches, stages, sync
 from .plans.jobs import JOBS_SQL, jobs
 from .plans.records import AT, NORMALIZED_SQL, REF, raw_records
 from .sources.ordinals import parquet_in_order
@@ -422,6 +422,23 @@ def feedback_counts(spark, sf_dir):
     return matching.feedback_counts(read(spark, sf_dir, "events").select(F.col("user_id").alias("profile_id"), F.col("event_type").alias("event")))
 
 
+@query("select profile_id, event, count(*) as count from (select user_id::varchar as profile_id, event_type as event from events) group by grouping sets ((profile_id, event), (event), ())")
+def feedback_totals(spark, sf_dir):
+    return matching.feedback_totals(read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("profile_id"), F.col("event_type").alias("event")))
+
+
+@query("""with o as (select *, row_number() over () as ordinal from events), e as (select user_id % 50 as p, event_id % 40 as j, (event_id % 3) as k, ordinal, ordinal <= 5000 as old from o),
+    log as (select p, j, k, row_number() over (order by ordinal desc) as back from e where old), new as (select p, j, k, min(ordinal) as ordinal from e where not old group by all)
+    select 'p' || p as profile_id, 'j' || j as job_id, case k when 0 then 'not_relevant' when 1 then 'applied' else 'interviewed' end as event, ordinal - 1 as ordinal from new where not exists (select 1 from log where log.back <= 1000 and log.p = new.p and log.j = new.j and log.k = new.k)""")
+def feedback_recorded(spark, sf_dir):
+    """Events that the end of the log doesn't have yet; their meta has its keys in changing order."""
+    i, kinds = F.col("event_id"), F.array(*[F.lit(k) for k in matching.FACTORS])
+    e = parquet_in_order(spark, f"{sf_dir}/events.parquet").select(F.concat(F.lit(" P"), F.col("user_id") % 50).alias("profile_id"), F.concat(F.lit("j"), i % 40, F.lit(" ")).alias("job_id"), F.element_at(kinds, (i % 3 + 1).cast("int")).alias("event"), F.when(i % 2 == 0, '{"a": 1, "b": 2}').otherwise('{"b":2,"a":1}').alias("meta"), "ordinal")
+    tidy = e.withColumns({"profile_id": F.lower(F.trim("profile_id")), "job_id": F.trim("job_id")})
+    log = tidy.where("ordinal < 5000").select(matching.event_hash().alias("event_hash"), "ordinal")
+    return matching.recorded(log, e.where("ordinal >= 5000")).select("profile_id", "job_id", "event", "ordinal")
+
+
 _FACTORS_SQL = ", ".join(f"('{s}', {', '.join(str(float(f[n])) for f in matching.FACTORS.values())})" for n, s in enumerate(matching.WEIGHTS))
 
 
@@ -506,6 +523,37 @@ def upsert_counts(spark, sf_dir):
     return catalog.upsert_counts(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 4 <> 0"), "o_orderkey")
 
 
+@query("""select o_orderkey, o_orderkey % 4 <> 0 as is_active, case when o_orderkey % 4 <> 0 then 's' else 't' end as side, case when o_orderkey % 3 <> 0 and (o_orderkey % 4 <> 0) = (o_orderkey % 5 <> 0) then 'before' else 'now' end as changed_at,
+    o_orderkey % 4 <> 0 as has_features from orders where o_orderkey % 3 <> 0 or o_orderkey % 4 <> 0""")
+def published_jobs(spark, sf_dir):
+    """What a publication leaves: jobs that went are inactive, features of inactive jobs are gone."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    target = o.where("o_orderkey % 3 <> 0").withColumns({"side": F.lit("t"), "is_active": F.col("o_orderkey") % 5 != 0, "changed_at": F.lit("before")})
+    out = catalog.published(target, o.where("o_orderkey % 4 <> 0").withColumn("side", F.lit("s")), "o_orderkey", "now")
+    left = catalog.without_orphans(o, out, "o_orderkey").withColumn("has_features", F.lit(True))
+    return out.join(left, "o_orderkey", "left").withColumn("has_features", F.coalesce("has_features", F.lit(False)))
+
+
+@query("""with e as (select case when o_orderkey % 11 <> 0 then o_custkey % 997 end as cust, o_totalprice as price, case when o_orderkey % 7 = 0 then ' N/A ' when o_orderkey % 7 = 1 then '' else o_orderpriority end as word, o_orderkey % 5 as day from orders where o_orderkey % 5 < 3)
+    select 'cust' as column, count(*) as rows, count(*) - count(cust) as null_count, 0 as empty_count, 0 as sentinel_count, true as distinct_ok, true as deciles_ok from e union all select 'price', count(*), 0, 0, 0, true, true from e
+    union all select 'word', count(*), 0, count(*) filter (word = ''), count(*) filter (word = ' N/A '), true, true from e""")
+def merged_profile(spark, sf_dir):
+    """A profile of three days of five from their sketches, and whether what they estimate is as near to the exact figures as they promise."""
+    i = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select((i % 5).alias("day"), F.when(i % 11 != 0, F.col("o_custkey") % 997).alias("cust"), F.col("o_totalprice").cast("double").alias("price"), F.when(i % 7 == 0, " N/A ").when(i % 7 == 1, "").otherwise(F.col("o_orderpriority")).alias("word"))
+    stored = kept(sketches.sketched(rows, ["day"], ["cust", "price", "word"], ("price",)), "sketches")
+    part = kept(sketches.merged(stored.where("day < 3"), []), "merged")
+    exact = rows.where("day < 3").agg(*[F.count_distinct(c).alias(c) for c in ("cust", "price", "word")])
+    known = profile.long_form(exact, ["cust", "price", "word"], "column", "exact")
+    curve = sketches.curve_of(part).where("column = 'price'")
+    ranks = rows.where("day < 3").join(F.broadcast(curve), F.col("price") <= F.col("value")).groupBy("quantile").count()
+    total = rows.where("day < 3").agg(F.count(F.lit(1)).alias("n"))
+    good = ranks.crossJoin(F.broadcast(total)).agg(F.bool_and(F.abs(F.col("count") / F.col("n") - F.col("quantile")) < 0.03).alias("deciles_ok"))
+    out = sketches.profile_of(part).join(known, "column").crossJoin(F.broadcast(good))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.greatest(F.lit(3.0), F.col("exact") * 0.06)
+    return out.select("column", "rows", "null_count", "empty_count", "sentinel_count", near.alias("distinct_ok"), "deciles_ok")
+
+
 @query(f"with {JOBS_SQL} select count(*) as rows, 0.0 as title_missing, avg((company is null)::int) as company_missing, avg((posted_at is null)::int) as posted_at_missing, avg((apply_url = '')::int) as apply_url_missing, 1.0 as place_share, 1.0 as readable_share, date_diff('day', max(posted_at)::date, date '2026-01-15') as newest_age_days from jobs")
 def ingest_quality(spark, sf_dir):
     return catalog.ingest_checks(jobs(spark, sf_dir), NOW)
