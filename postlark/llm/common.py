@@ -23,8 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="postlark-")
-        spark.conf.set(_SETTING, folder)
+        # the setting itself can't be changed in a running session
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="postlark-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
