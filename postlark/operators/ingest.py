@@ -136,6 +136,9 @@ def plain_description(text: Column, html_text: Column) -> Column:
     return F.coalesce(text_or_null(text), text_or_null(F.regexp_replace(resolved, r"(?U)\s+", " ")))
 
 
+# The names of fields in each board's records, and the order in which they are asked, down to ``_any``.
+
+
 def _greenhouse(r: Record) -> dict[str, Column]:
     place = r.text("location.name")
     return {

@@ -599,9 +599,9 @@ def completeness_over_sources(spark, sf_dir):
     return ingest.completeness_over_sources(ingest.key_completeness(jobs(spark, sf_dir), by=["source"]))
 
 
-@query("select '2026-01-11T00:00:00+00:00' as high_posted_at, '2026-01-11T00:00:00+00:00' as high_source_updated_at from (select count(*) as n from documents) where n > 0")
+@query("select strftime(timestamp '2026-01-01 00:00:00' + to_seconds(max(doc_id)), '%Y-%m-%dT%H:%M:%S+00:00') as high_posted_at, strftime(timestamp '2026-01-01 00:00:00' + to_seconds(max(doc_id)), '%Y-%m-%dT%H:%M:%S+00:00') as high_source_updated_at from documents")
 def ingest_watermarks(spark, sf_dir):
-    return ingest.watermarks(_normalized(spark, sf_dir, "greenhouse"))
+    return ingest.watermarks(_normalized(spark, sf_dir, "lever"))
 
 
 @query("""with s as (select doc_id, 'url:https://g.example/' || doc_id as k from documents)

@@ -5,7 +5,7 @@ import hashlib
 
 import pytest
 
-from postlark.sources import files
+from postlark.sources import files, shared
 
 
 def test_records(spark, tmp_path):
@@ -83,3 +83,13 @@ def test_raw_lines_have_sorted_keys(spark, tmp_path):
     texts = ['{"b": {"z": 1, "a": [ {"y": null, "x": "\\u00e9"} ]}, "a": 1.50}', "not json", None, "[2, 1]", '{"b":1, "B":2}']
     files.write_raw(spark.createDataFrame([(t,) for t in texts], "raw string").coalesce(1), f"file://{tmp_path}/raw")
     assert [r.value for r in spark.read.text(f"{tmp_path}/raw").collect()] == ['{"a":1.5,"b":{"a":[{"x":"é","y":null}],"z":1}}', "[2,1]", '{"B":2,"b":1}']
+
+
+def test_kept_tables_can_be_forgotten(spark, tmp_path, monkeypatch):
+    table = shared.kept(spark.range(3), "ids")
+    assert table.count() == 3 and table.inputFiles()[0].startswith(shared.own_folder(spark))
+    monkeypatch.setattr(shared, "shared_folder", lambda _: f"file://{tmp_path}")
+    shared.kept(spark.range(4), "ids")
+    assert len(list(tmp_path.iterdir())) == 1
+    shared.forget(spark)
+    assert not list(tmp_path.glob("tables-*")) and table.count() == 3
