@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, text_or_null, timestamp, tokens
+from ..functions.text import strip, tokens
+from ..sources import files
 from ..sources.shared import kept
 from . import matching
 
@@ -174,12 +175,31 @@ def best_matches(index: DataFrame, candidates: DataFrame, now: str, top_k: int =
     feedback. Each row of candidates is one of its own, whatever profile_id it has; one without wishes gets the newest jobs. An empty
     index, or no candidates, give an empty result.
     """
+    table = kept(job_table(index, now), "jobs")
+    return matches_in(table, kept(job_lists(table), "lists"), candidates, top_k, policy, multipliers)
+
+
+def write_index(index: DataFrame, now: str, folder: str) -> dict:
+    """Jobs and lists as a bundle under ``folder``, in the order of ids and keys, so that many runs match against one reading of the texts; returns the manifest."""
+    table = kept(job_table(index, now), "jobs")
+    tables = {"jobs": table.orderBy("job_id", "job"), "lists": job_lists(table).orderBy("key", "bucket", "job")}
+    return files.write_bundle(tables, folder.rstrip("/"), {"now": now, "jobs": table.count()})
+
+
+def matches_of_index(spark: SparkSession, folder: str, candidates: DataFrame, top_k: int = 25, policy: matching.Policy | None = None, multipliers: DataFrame | None = None) -> DataFrame:
+    """best_matches against an index that write_index wrote; ages are those of its time."""
+    _, tables = files.read_bundle(spark, folder.rstrip("/"))
+    return matches_in(tables["jobs"], tables["lists"], candidates, top_k, policy, multipliers)
+
+
+def matches_in(table: DataFrame, lists: DataFrame, candidates: DataFrame, top_k: int = 25, policy: matching.Policy | None = None, multipliers: DataFrame | None = None) -> DataFrame:
+    """best_matches from tables of jobs and of their lists."""
     if top_k < 1:
         raise ValueError("top_k must be 1 or more")
     policy = policy or matching.Policy()
     weights = policy.normalized()
-    table = kept(job_table(index, now), "jobs")
-    lists = kept(job_lists(table), "lists")
+    if min(weights.values()) < 0:
+        raise ValueError("weights must not be negative")
     asked = kept(_prepared(candidates_of(candidates), multipliers), "candidates")
     tokens_, paths = _tokens_of(asked, weights), kept(_paths_of(asked, table), "paths")
 

@@ -69,3 +69,13 @@ def test_odd_tables(spark):
     measured = batch.evaluated(index, cases, NOW, (30, 1))
     assert [(r.k, r.recall) for r in measured.orderBy("k").collect()][1] == (30, 1.0)
     assert batch.evaluated(index, cases.where("profile_id is null"), NOW).count() == 0
+
+
+def test_matching_against_a_written_index(spark, tmp_path):
+    index, people = offers(spark, 60), spark.createDataFrame([("a", ["python"]), ("b", ["go", "sql"])], "profile_id string, skills array<string>")
+    manifest = batch.write_index(index, NOW, f"file://{tmp_path}/i")
+    assert manifest["summary"] == {"now": NOW, "jobs": 60}
+    shown = lambda df: sorted((r.profile_id, r["rank"], r.job_id, r.score) for r in df.collect())
+    assert shown(batch.matches_of_index(spark, f"file://{tmp_path}/i", people, 5)) == shown(batch.best_matches(index, people, NOW, 5))
+    keys = [r.key for r in spark.read.parquet(f"{tmp_path}/i/tables/lists.parquet").collect()]
+    assert len(keys) > 100
