@@ -615,15 +615,15 @@ def test_time_grows_with_the_length_of_a_text():
     def seconds(f):
         took = []
         for _ in range(3):
-            start = time.perf_counter()
+            start = time.process_time()
             f()
-            took.append(time.perf_counter() - start)
+            took.append(time.process_time() - start)
         return min(took)
 
     spans = lambda n: "mail a@b.cd call +49 30 1234567 ssn 123-45-6789 " * n
     small, large = (seconds(lambda n=n: pii.scored_spans(spans(n))) for n in (1500, 6000))
     assert large < 8 * small
     turn = lambda n: [(chat.START + "user\n", False), *[("x" * 65536, False)] * n, (chat.END + "\n", False)]
-    small, large = (seconds(lambda n=n: list(chat.read_chat(turn(n)))) for n in (100, 400))
+    small, large = (seconds(lambda n=n: list(chat.read_chat(turn(n)))) for n in (400, 1600))
     assert large < 8 * small
     assert [t for _, t, _ in chat.read_chat([(chat.START + "user\nab" + chat.END[:4], False), (chat.END[4:], True), ("\n" + chat.START + "x\ny", False), (chat.END, False), ("\n", False)])] == ["ab", "y"]
