@@ -30,7 +30,7 @@ class Pull:
     """One board's pull: its records as JSON texts in ``raw``, and how much of it was asked for.
 
     ``ordinal``, where the records have it, is their order of arrival; without it they come by their hashes. Records
-    are counted unless ``fetched`` says how many there were.
+    are counted unless ``fetched`` says how many there were. ``max_jobs`` is None for a pull without a limit on records.
     """
 
     source: str
@@ -38,14 +38,14 @@ class Pull:
     records: DataFrame
     requests: int = 1
     max_pages: int = 25
-    max_jobs: int = 5000
+    max_jobs: int | None = 5000
     fetched: int | None = None
     page_repeated: bool = False
 
     def complete(self, counted: int | None = None) -> bool:
-        """Whether the board was read to its end: neither limit was met and no page came twice. False if nobody counted."""
+        """Whether the board was read to its end: no limit was met and no page came twice. False if nobody counted."""
         fetched = self.fetched if self.fetched is not None else counted
-        return fetched is not None and self.requests < self.max_pages and fetched < self.max_jobs and not self.page_repeated
+        return fetched is not None and self.requests < self.max_pages and (self.max_jobs is None or fetched < self.max_jobs) and not self.page_repeated
 
     def warnings(self, counted: int | None = None) -> list[str]:
         """Codes in alphabetical order."""

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postlark import queries
 from postlark.operators import catalog, contract, sync
 from postlark.plans.records import AT
 from postlark.sources import files, ordinals
@@ -96,6 +97,14 @@ def test_coverage():
     assert sync.Pull("lever", "acme", None, requests=25).warnings(3) == ["INGEST_TRUNCATED"] and whole.warnings(3) == []
 
 
+def test_whole_pull_of_a_large_board(spark, tmp_path):
+    """A whole pull of more records than the usual limit still says what is gone from the board."""
+    assert sync.Pull("lever", "acme", None, max_jobs=None).complete(5000) and not sync.Pull("lever", "acme", None, max_jobs=None).complete()
+    spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.is_active, r.change): r["count"] for r in queries.QUERIES["ingest_sync"](spark, str(tmp_path)).groupBy("is_active", "change").count().collect()}
+    assert got == {(True, "unchanged"): 1800, (True, "updated"): 1800, (True, "new"): 1800, (False, "tombstoned"): 400}
+
+
 def test_skipped_records_can_stay_active(spark):
     none = spark.createDataFrame([], sync.STATE)
     pull = sync.Pull("greenhouse", "acme", board(spark, ROWS))
