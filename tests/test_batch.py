@@ -79,3 +79,23 @@ def test_matching_against_a_written_index(spark, tmp_path):
     assert shown(batch.matches_of_index(spark, f"file://{tmp_path}/i", people, 5)) == shown(batch.best_matches(index, people, NOW, 5))
     keys = [r.key for r in spark.read.parquet(f"{tmp_path}/i/tables/lists.parquet").collect()]
     assert len(keys) > 100
+
+
+@pytest.mark.parametrize("recency", [0.0, 0.1])
+def test_like_jobs_and_like_candidates(spark, monkeypatch, recency):
+    """Of jobs that differ in dates, ids and unasked words only the first ones are paired, with each set of wishes once; the rows stay those of each alone."""
+    days = ["2026-01-05", "2026-01-04", None, "2027-05-01", "2025-12-31", "2027-06-01"]
+    rows = [(f"j{n:03d}", "Clerk", "A", ["Oslo", "Oslo, NO"][n % 2], False, f"python word{n}", None, None, 50.0 + n, None, "u", days[n % 6], None, 0.0, 0) for n in range(240)]
+    index = matching.index_jobs(spark.createDataFrame(rows, JOBS)).cache()
+    people = spark.createDataFrame([(f"p{n}", ["python", "sql"][:: 1 - 2 * (n % 2)], ["oslo"], 60.0) for n in range(30)], "profile_id string, skills array<string>, locations array<string>, salary_minimum double")
+    policy, sizes = matching.Policy({**matching.WEIGHTS, "recency": recency}), {}
+    plain = batch.kept
+    monkeypatch.setattr(batch, "kept", lambda df, name: sizes.setdefault(name, []).append(plain(df, name)) or sizes[name][-1])
+    found = {}
+    for r in batch.best_matches(index, people, NOW, 4, policy).orderBy("profile_id", "rank").collect():
+        found.setdefault(r.profile_id, []).append((r.job_id, r.score, r.required_missing_skills))
+    alone = matching.best_matches(index, matching.Candidate(("python", "sql"), (), ("oslo",), salary_minimum=60.0), NOW, 4, policy=policy).collect()
+    expected = [(r.job_id, r.score, r.required_missing_skills) for r in alone]
+    assert found == {f"p{n}": expected for n in range(30)}
+    assert sizes["wishes"][0].count() == 1
+    assert sizes["leading"][0].count() == 14  # four of each: with a date and without one, paying enough and not (two without a date only)
