@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 
 def _with_offsets(placed: DataFrame, counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """One row a file or part is sorted in one task, none of the rows themselves."""
+    """One row a file or part is sorted in one task and sent to all; rows stay where they are read, or those of one file would meet in one task."""
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    return placed.join(offsets, keys).withColumn(name, F.col("_offset") + F.col("_at")).drop(*keys, "_at", "_offset", "_first")
+    return placed.join(F.broadcast(offsets), keys).withColumn(name, F.col("_offset") + F.col("_at")).drop(*keys, "_at", "_offset", "_first")
 
 
 def parquet_in_order(spark: SparkSession, *paths: str, name: str = "ordinal") -> DataFrame:
@@ -37,7 +37,7 @@ def lines_in_order(spark: SparkSession, *paths: str, name: str = "ordinal") -> D
     read = spark.read.text(list(paths))
     placed = read.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_dealt"))
     counts = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_dealt").alias("_first"))
-    joined = placed.join(counts.select("_file", "_block", "_first"), ["_file", "_block"]).withColumn("_at", F.col("_dealt") - F.col("_first")).drop("_dealt")
+    joined = placed.join(F.broadcast(counts.select("_file", "_block", "_first")), ["_file", "_block"]).withColumn("_at", F.col("_dealt") - F.col("_first")).drop("_dealt")
     return _with_offsets(joined, counts.drop("_first"), ["_file", "_block"], name).select("value", name)
 
 

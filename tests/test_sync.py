@@ -3,6 +3,8 @@
 import json
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,20 @@ def test_ordinals_follow_the_files(spark, tmp_path, size):
     assert sorted(int(r.n) for r in ordinals.first_rows(table, 7).collect()) == list(range(7))
 
 
+def test_rows_of_one_file_stay_in_many_tasks(spark, tmp_path):
+    """Numbering doesn't bring the rows of a file together in one task."""
+    pq.write_table(pa.table({"n": list(range(8000))}), f"{tmp_path}/one.parquet", row_group_size=1000)
+    changed = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        rows = ordinals.parquet_in_order(spark, f"{tmp_path}/one.parquet").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+    assert all(r.ordinal == r.n for r in rows) and len(rows) == 8000 and len({r.task for r in rows}) > 3
+
+
 def test_dates_by_format(spark):
     values = ["2026-1-5", "05/1/2026", "2026-01-05T7:08:09", "2026-01-05 07:8:9", "5.1.2026", "31/02/2026", "2026-01-5x", "026-01-05", "005/01/2026", " ", "N/A", None]
     df = spark.createDataFrame([(v,) for v in values], "d string")
