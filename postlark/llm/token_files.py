@@ -1,9 +1,9 @@
 """Token ids in binary files, compressed by Re-Pair grammars.
 
 A shard holds consecutive documents. Its token stream is rewritten in rounds: count all neighbouring
-id pairs inside documents, give each that is frequent a nonterminal, replace them from the left, and go
-on with the shorter stream until no pair is frequent any more. A pair is frequent if its rule saves clearly
-more room than it takes; very frequent pairs come first. The file keeps the rules and the length to which each nonterminal expands, so that
+id pairs inside documents, give each that is frequent a nonterminal, replace them, the more frequent first where
+two overlap, and go on with the shorter stream until no pair is frequent any more. A pair is frequent if its rule saves clearly
+more room than it takes. The file keeps the rules and the length to which each nonterminal expands, so that
 one document, or one position in it, is decoded without the others.
 
 Layout of a shard, little-endian:
@@ -41,8 +41,12 @@ MAGIC = b"RPSHARD1"
 END_ID = 2
 #: A shard is closed when it holds so many tokens.
 SHARD_TOKENS = 2_000_000
-#: Pairs that occur so often get their rules before the others.
-FREQUENT = 16
+#: Fixed value: the golden ratio's bits, by which numbers are scrambled.
+SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
+#: Counts of pairs are told apart by powers of the 4th root of 2, so that a chain of pairs, each a little more frequent than the last, doesn't take a round each.
+CLASSES = 4
+#: A pair gets its rule in a round in which it keeps this part of its places at least; otherwise it waits for what others leave it.
+KEPT = 0.5
 #: Bytes that a rule takes besides its two symbols: the length it expands to.
 RULE_BYTES = 4
 #: Documents that are read and expanded together.
@@ -69,82 +73,118 @@ class Grammar:
         self.lengths = np.zeros(0, np.uint64)
 
     def compress(self, stream: np.ndarray, ends: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The shorter stream and its marks of ends: first rounds for pairs that are very frequent, then for all that are worth a rule."""
-        least = worth(self.first) if least is None else least
-        for at_least in sorted({least, max(least, FREQUENT)}, reverse=True):
-            stream, ends = self._rounds(stream, ends, at_least)
-        return stream, ends
-
-    def _rounds(self, stream: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The shorter stream and its marks of ends. Every round but the last replaces something.
+        """The shorter stream and its marks of ends, in rounds until no pair occurs ``least`` times.
 
-        A pair of symbols that were there a round before can't have become frequent since, so a round counts
-        pairs with a new symbol only; when none is frequent, all are counted once more.
+        In a round the frequent pairs get rules, the more frequent first where two overlap. Symbols stay where they
+        are and know their neighbours, so a round looks at pairs with a new symbol and at frequent pairs that were
+        passed over; all others can't have become frequent.
         """
-        seq, ends = stream.astype(np.uint32), ends.astype(bool)
-        newest = 0  # symbols from here on are new; 0: all count as such
-        while len(seq) > 1:
-            counted = ~(ends[:-1] | ends[1:])
-            if newest:
-                fresh = seq >= newest
-                counted &= fresh[:-1] | fresh[1:]
-            pairs, counts, at, which = self._pairs(seq, np.flatnonzero(counted), least)
-            at, which = self._apart(at, which)
-            used = np.bincount(which, minlength=len(pairs)) >= least
-            if len(pairs) and not used.any():  # they stand in one another's way: take the most frequent one alone
-                _, _, at, which = self._pairs(seq, np.flatnonzero(counted), int(counts.max()))
-                at, which = self._apart(at[which == 0], which[which == 0])
-                pairs, used = pairs[[np.argmax(counts)]], np.array([len(at) >= least])
-            if not used.any():
-                if not newest:
-                    break
-                newest = 0
-                continue
-            pairs, which, at = pairs[used], (np.cumsum(used) - 1)[which[used[which]]], at[used[which]]
-            newest = self.first + len(self.rules)
-            known = np.concatenate([np.ones(self.first, np.uint64), self.lengths])
-            self.lengths = np.concatenate([self.lengths, known[pairs].sum(1)])
-            self.rules = np.concatenate([self.rules, pairs.astype(np.uint32)])
-            seq = seq.copy()
-            seq[at] = newest + which
-            stay = np.ones(len(seq), bool)
-            stay[at + 1] = False
-            seq, ends = seq[stay], ends[stay]
-        return seq, ends
-
-    def _pairs(self, seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The frequent ones of the pairs that begin at some places, their counts, and all places where they stand, in order, with their numbers."""
-        symbol, place = max(1, int(seq.max()).bit_length()), len(seq).bit_length()
-        code = (seq[at].astype(np.uint64) << np.uint64(symbol)) | seq[at + 1]
-        if 2 * symbol + place <= 64:  # the places are sorted along with the pairs
-            keys = np.sort((code << np.uint64(place)) | at.astype(np.uint64))
-            code, at = keys >> np.uint64(place), (keys & np.uint64((1 << place) - 1)).astype(np.int64)
+        least = worth(self.first) if least is None else least
+        n = len(stream)
+        seq, closed = stream.astype(np.uint32), np.append(ends, True).astype(bool)  # the last is behind the stream and before it
+        after, before, alive = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.ones(n, bool)
+        sizes, rules = np.concatenate([np.ones(self.first, np.uint64), self.lengths]), [self.rules]
+        at = np.flatnonzero(~(closed[:-1] | closed[1:])).astype(np.int32)
+        while len(at):
+            at, which, pairs, counts, second = self._frequent(seq, after, at, least, len(sizes) > self.first)
+            if not len(at):
+                break
+            joined = at[1:] == after[at[:-1]]
+            taken, passed, used = self._chosen(joined, which, pairs, counts, second, least)
+            here = at[taken]
+            gone = after[here]
+            behind = after[gone]
+            seq[here] = len(sizes) + (np.cumsum(used) - 1)[which[taken]]
+            after[here], before[behind], alive[gone] = behind, here, False
+            sizes = np.concatenate([sizes, sizes[pairs[used]].sum(1)])
+            rules.append(pairs[used].astype(np.uint32))
+            front = before[here]
+            at = np.sort(np.concatenate([here[~closed[behind]], front[~closed[front]], at[passed]]))
+            at = at[np.append(True, at[1:] != at[:-1])[: len(at)]]
+        self.rules, self.lengths = np.concatenate(rules), sizes[self.first :]
+        return seq[alive], closed[:-1][alive]
+
+    @staticmethod
+    def _frequent(seq: np.ndarray, after: np.ndarray, at: np.ndarray, least: int, mostly_rare: bool) -> tuple[np.ndarray, ...]:
+        """Of some places, in order, those of frequent pairs; their pairs' numbers; the pairs and their counts; which places are
+        the second, fourth and so on of a run of one symbol. These don't count, as they overlap others of the same pair."""
+        left, right = seq[at], seq[after[at]]
+        second = np.zeros(len(at), bool)
+        same = np.flatnonzero(left == right)
+        second[same] = _every_second(same, at[1:] == after[at[:-1]])
+        symbol = max(1, int(max(left.max(), right.max())).bit_length())
+        code = (left.astype(np.uint64) << np.uint64(symbol)) | right
+        del left, right
+        if mostly_rare:  # pairs whose slot is counted less often are rare; what shares a slot is told apart below
+            slot = ((code * SCRAMBLE) >> np.uint64(44)).astype(np.int32)
+            may = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)
+            at, code, second = at[may], code[may], second[may]
+        counted = np.flatnonzero(~second)
+        code, bits = code[counted], len(counted).bit_length()
+        if 2 * symbol + bits <= 64:  # the places are sorted along with the pairs
+            keys = np.sort((code << np.uint64(bits)) | np.arange(len(code), dtype=np.uint64))
+            code, order = keys >> np.uint64(bits), (keys & np.uint64((1 << bits) - 1)).astype(np.int32)
+            del keys
         else:
             order = np.argsort(code, kind="stable")
-            code, at = code[order], at[order]
+            code = code[order]
         begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
         counts = np.diff(np.append(begin, len(code)))
         often = counts >= least
-        number = np.full(len(seq), -1, np.int32)
-        number[at[np.repeat(often, counts)]] = np.repeat(np.arange(int(often.sum()), dtype=np.int32), counts[often])
-        at = np.flatnonzero(number >= 0)
+        number = np.full(len(at), -1, np.int32)
+        number[counted[order]] = np.repeat(np.where(often, np.cumsum(often) - 1, -1).astype(np.int32), counts)
+        late = np.flatnonzero(second)
+        number[late] = number[late - 1]
+        stay = np.flatnonzero(number >= 0)
         chosen = code[begin[often]]
-        return np.stack([chosen >> np.uint64(symbol), chosen & np.uint64((1 << symbol) - 1)], 1).astype(np.int64), counts[often], at, number[at]
+        pairs = np.stack([chosen >> np.uint64(symbol), chosen & np.uint64((1 << symbol) - 1)], 1).astype(np.int64)
+        return at[stay], number[stay], pairs, counts[often], second[stay]
 
     @staticmethod
-    def _apart(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places without overlaps: of neighbouring ones every second is left out, from the left."""
-        if not len(at):
-            return at, which
-        new_run = np.concatenate([[True], np.diff(at) != 1])
-        begun = np.maximum.accumulate(np.where(new_run, at, 0))
-        keep = (at - begun) % 2 == 0
-        return at[keep], which[keep]
+    def _chosen(joined: np.ndarray, which: np.ndarray, pairs: np.ndarray, counts: np.ndarray, second: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+        """Places that are replaced, places that neither are nor overlap one that is, and the pairs that get rules.
+
+        A place is taken if its pair is more frequent than those that it overlaps, of about equally frequent ones by scrambled
+        numbers. Pairs that keep enough places get rules, and these also take what is then left of their places. The
+        first in this order keeps all its places, so every round has a rule.
+        """
+        mixed = (pairs[:, 0].astype(np.uint64) << np.uint64(32) | pairs[:, 1].astype(np.uint64)) * SCRAMBLE >> np.uint64(32)
+        rank = ((CLASSES * np.log2(counts)).astype(np.uint64) + np.uint64(1) << np.uint64(32) | mixed)[which]
+        rank[second] = 0
+        beats = rank[1:] > rank[:-1]
+        taken = rank > 0
+        taken[1:] &= ~joined | beats
+        taken[:-1] &= ~joined | ~beats
+        used = np.bincount(which[taken], minlength=len(pairs)) >= np.maximum(least, KEPT * counts)
+        if not used.any():
+            used[np.argmax(counts)] = True
+            taken = ~second
+        taken &= used[which]
+        free = ~_overlapped(taken, joined)
+        rest = np.flatnonzero(free & used[which])
+        taken[rest[~_every_second(rest, joined)]] = True
+        return taken, ~_overlapped(taken, joined), used
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         return expand(symbols, self.first, self.rules)
 
 
+def _every_second(some: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Of some places, by their numbers, the second, fourth and so on of every run of places that overlap; ``joined[k]``: place k overlaps the next."""
+    k = np.arange(len(some))
+    begins = np.ones(len(some), bool)
+    begins[1:] = (np.diff(some) != 1) | ~joined[some[1:] - 1]
+    return (k - np.maximum.accumulate(np.where(begins, k, 0))) % 2 == 1
+
+
+def _overlapped(taken: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """The places taken and those that overlap one."""
+    out = taken.copy()
+    out[1:] |= joined & taken[:-1]
+    out[:-1] |= joined & taken[1:]
+    return out
+
+
 def expand(symbols: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
     """Token ids of any part of a compressed stream."""
     seq = symbols.astype(np.int64)
@@ -252,7 +292,6 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_token
         bpe = loaded(vocabulary)
         part, seq = TaskContext.get().partitionId(), 0
         first = len(bpe.tokens)
-        end = np.array([END_ID], np.uint32)
         ids: list[int] = []
         encoded: list[np.ndarray] = []
         held = 0
@@ -263,9 +302,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_token
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [held], "n_bytes": [len(data)]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                tokens = np.concatenate([bpe.encode_ids(text.as_py()), end])
-                ids.append(doc_id.as_py())
+            found, ends = bpe.encode_texts(batch.column(1))
+            found, stops = np.insert(found, ends, END_ID), ends + np.arange(1, len(ends) + 1)
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), np.append(0, stops)[:-1].tolist(), stops.tolist(), strict=True):
+                tokens = found[a:b]
+                ids.append(doc_id)
                 encoded.append(tokens)
                 held += len(tokens)
                 if held >= shard_tokens:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -352,6 +353,42 @@ def test_grammar_goes_on_until_nothing_pays():
         assert all(shard.tokens(k, a, min(a + 3, len(whole))).tolist() == whole[a : a + 3] for a in range(0, len(whole), 2))
 
 
+def test_grammar_isnt_stopped_by_a_run():
+    """The most frequent pair is that of a run, whose places overlap too much for a rule; the other pairs, which overlap one another, get theirs."""
+    first = 40
+    assert token_files.worth(first) == 6
+    stream = np.array([7] * 11 + [1, 2, 3] * 9 + [0], np.uint32)
+    grammar = token_files.Grammar(first)
+    symbols, marks = grammar.compress(stream, np.arange(len(stream)) == len(stream) - 1)
+    assert len(grammar.rules) and grammar.expand(symbols).tolist() == stream.tolist() and marks.tolist() == [False] * (len(symbols) - 1) + [True]
+    pairs = Counter(zip(symbols[:-2].tolist(), symbols[1:-1].tolist(), strict=True))
+    assert all(n < 6 or a == b for (a, b), n in pairs.items())
+
+
+def test_bpe_of_many_texts_at_once(monkeypatch):
+    """Texts side by side, nulls, empty ones, slices, special tokens and cut words give what the library gives for each, whatever the stretches are."""
+    tokenizer, rng = Tokenizer.from_file(VOCABULARY), random.Random(3)
+    parts = ["the", "The", "THERE", "\u00c9l\u00e8ve", "na\u00efve", "\u0100\u012f\u0130", "x\u00d7y", "it's", "'tis", "<|endoftext|>", "a<|", "|>b", "1234", "a1b22", ".,!?", "caf\u00e9-bar", "e\u0301", "\u6f22\u5b57", "\x01", "\x1c", "\u00a0", "w" * 60, "zq" * 30 + "1"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\t  "]) for _ in range(rng.randint(0, 12))) for _ in range(600)] + [None, "", " \n", None, "end"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for stretch, together in ((1, 1), (64, 256), (1 << 22, 1)):
+        monkeypatch.setattr(bpe, "STRETCH", stretch)
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        tree = bpe.TreeBpe(VOCABULARY)
+        assert tree.merges is not None
+        for a, b in ((0, len(texts)), (17, 40), (len(texts) - 5, len(texts)), (5, 5)):
+            ids, ends = tree.encode_texts(pa.array(texts, pa.string()).slice(a, b - a))
+            assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want[a:b] and len(ends) == b - a
+
+
+def test_merges_of_many_runs():
+    """Merges are applied run by run as the library applies them, also where one pair occurs again and again."""
+    tree, rng = bpe.TreeBpe(VOCABULARY), random.Random(5)
+    runs = [("".join(rng.choice(letters) for _ in range(rng.randint(1, 48)))) for letters in ("ab", "ehnrst", "abcdefghijklmnopqrstuvwxyz", ".,!?#", "e\u00e9\u00fc") for _ in range(300)]
+    ids, size = tree.merges.encode([r.encode() for r in runs])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size))[:-1]] == [[t.id for t in tree.tokenizer.model.tokenize(r.translate(bpe.SHOWN))] for r in runs]
+
+
 def test_bpe(docs, texts, spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     extra = [(-1, "Ünïcode x İstanbul \u001c a<|endoftext|>b ΣΑΣ it's 12 é")]
