@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import give_back
+from .common import by_parts, give_back
 
 #: Code points in a leaf of the tree; pieces of up to twice as many are encoded whole.
 LEAF = 4096
@@ -37,7 +37,7 @@ WINDOW = 64
 #: A shared token lies at least so far from the cut: farther than any special token is long.
 MARGIN = 24
 #: Words that a worker remembers, and their bytes. When its memory is full, between two texts, those of several texts stay, half of it at most.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 1 << 23
+REMEMBERED, REMEMBERED_BYTES = 200_000, 1 << 23
 #: Characters of the longest word that is cut into runs here.
 LONGEST = 48
 
@@ -61,7 +61,7 @@ BYTE_LETTERS = _byte_letters()
 SHOWN = {c: "".join(BYTE_LETTERS[b] for b in chr(c).encode("utf-8")) for c in range(0xA1, 0x130)}
 
 #: Bytes of text that are cut together; a longer piece without white space is not divided.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 #: Fewer new words than these go to the library's model one by one.
 TOGETHER = 256
 #: What a byte is when plain words are cut: HARD ones keep their whole word from being cut.
@@ -481,10 +481,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in batches:
-            found, ends = bpe.encode_texts(batch.column(1))
+
+        def encoded(part: pa.RecordBatch) -> pa.RecordBatch:
+            found, ends = bpe.encode_texts(part.column(1))
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+
+        yield from by_parts(batches, 1, encoded)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -515,14 +518,17 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         decimal = [str(i) for i in range(len(bpe.tokens))]
-        for batch in batches:
+
+        def digests(part: pa.RecordBatch) -> pa.RecordBatch:
             n, ids_hash, text_hash = [], [], []
-            found, ends = bpe.encode_texts(batch.column(1))
+            found, ends = bpe.encode_texts(part.column(1))
             for a, b in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
                 ids = found[a:b].tolist()
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                 text_hash.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        yield from by_parts(batches, 1, digests)
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import by_parts
+
 #: A candidate needs this score; a passed checksum adds so much, a context word within so many code points before it as much as it says.
 THRESHOLD, CHECKSUM_GAIN, CONTEXT_CHARS, CONTEXT_GAIN, CONTEXT_LOSS = 0.6, 0.4, 48, 0.4, 0.3
 BASE = ("email", "ip", "card", "phone")
@@ -210,15 +212,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
 
+    def marked(part: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(part.columns)
+        texts = [redact(t, find_spans(t)) for t in part.column(names.index("text")).to_pylist()]
+        columns[names.index("text")] = pa.array(texts, part.schema.field("text").type)
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            before = part.column(k).to_pylist()
+            columns[k] = pa.array([None if n is None and t is None else len(t or "") for n, t in zip(before, texts, strict=True)], part.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            texts = [redact(t, find_spans(t)) for t in batch.column(names.index("text")).to_pylist()]
-            columns[names.index("text")] = pa.array(texts, batch.schema.field("text").type)
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                before = batch.column(k).to_pylist()
-                columns[k] = pa.array([None if n is None and t is None else len(t or "") for n, t in zip(before, texts, strict=True)], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+        return by_parts(batches, names.index("text"), marked)
 
     return docs.mapInArrow(run, docs.schema)

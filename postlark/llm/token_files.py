@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import loaded
-from .common import as_uri, fresh_path, open_file, put_file, written
+from .common import PART, as_uri, fresh_path, open_file, parts, put_file, written
 
 MAGIC = b"RPSHARD1"
 END_ID = 2
@@ -301,10 +302,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_token
             put_file(path, data)
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [held], "n_bytes": [len(data)]})
 
-        for batch in batches:
-            found, ends = bpe.encode_texts(batch.column(1))
+        for some in chain.from_iterable(parts(batch, 1, PART) for batch in batches):
+            found, ends = bpe.encode_texts(some.column(1))
             found, stops = np.insert(found, ends, END_ID), ends + np.arange(1, len(ends) + 1)
-            for doc_id, a, b in zip(batch.column(0).to_pylist(), np.append(0, stops)[:-1].tolist(), stops.tolist(), strict=True):
+            for doc_id, a, b in zip(some.column(0).to_pylist(), np.append(0, stops)[:-1].tolist(), stops.tolist(), strict=True):
                 tokens = found[a:b]
                 ids.append(doc_id)
                 encoded.append(tokens)
@@ -318,9 +319,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, shard_token
     ordered = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = written(ordered.mapInArrow(run, "path string, part long, seq long, n_docs long, n_tokens long, n_bytes long"), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the writing job
-    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("part_base"))
+    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("part_base"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.join(parts, "part").select("path", "part", "seq", "n_docs", "n_tokens", "n_bytes", (F.col("part_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("base"))
+    return shards.join(totals, "part").select("path", "part", "seq", "n_docs", "n_tokens", "n_bytes", (F.col("part_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("base"))
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:

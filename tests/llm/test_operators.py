@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from postlark.llm import bpe, chat, mixing, ngram_join, pii, repeats, rules, spotsigs, token_files, warc
+from postlark.llm import bpe, chat, common, mixing, ngram_join, pii, repeats, rules, spotsigs, token_files, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -389,6 +389,37 @@ def test_merges_of_many_runs():
     assert [x.tolist() for x in np.split(ids, np.cumsum(size))[:-1]] == [[t.id for t in tree.tokenizer.model.tokenize(r.translate(bpe.SHOWN))] for r in runs]
 
 
+class Mapped:
+    """Stands for a DataFrame: mapInArrow gives the function that a task would call."""
+
+    def __init__(self, schema):
+        self.schema, self.columns = schema, schema.names
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_batches_are_worked_on_in_parts(docs, monkeypatch):
+    rows = docs.select("doc_id", "text")
+    frame, table = Mapped(rows.schema), rows.toArrow().combine_chunks()
+    whole = table.to_batches()[0]
+    size = dict(enumerate(len((t or "").encode()) for t in table["text"].to_pylist()[3:]))
+    for run in (bpe.encode_documents(frame, VOCABULARY), bpe.round_trip_digests(frame, VOCABULARY), pii.redacted(frame)):
+        monkeypatch.setattr(common, "PART", 1 << 40)
+        (at_once,) = run(iter([whole.slice(3)]))
+        monkeypatch.setattr(common, "PART", 5000)
+        out = list(run(iter([whole.slice(3), whole.slice(0, 0)])))
+        assert pa.Table.from_batches(out) == pa.Table.from_batches([at_once]) and at_once.num_rows == len(size)
+        at = 0
+        for part in out[:-1]:
+            assert sum(size[n] for n in range(at + 1, at + part.num_rows)) <= 5000
+            at += part.num_rows
+        assert out[-1].num_rows == 0 and len(out) > 20
+
+
 def test_bpe(docs, texts, spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     extra = [(-1, "Ünïcode x İstanbul \u001c a<|endoftext|>b ΣΑΣ it's 12 é")]
